@@ -3,7 +3,7 @@ import importlib
 
 from lexweave.plans.catalog.registry import QUERIES, SQL
 
-for _m in ("documents",):
+for _m in ("documents", "lookups"):
     importlib.import_module(f"{__name__}.{_m}")
 
 __all__ = ["QUERIES", "SQL"]
