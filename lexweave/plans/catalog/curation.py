@@ -93,7 +93,7 @@ def _plant_sql(offset):
 
 _TERMS = ["artificial intelligence", "machine learning", *fixed.EXTRA_TERMS]
 _HIT = "list_filter([" + ", ".join(
-    f"case when contains(lower(x), '{t}') then '{t}' end" for t in _TERMS) + r", case when regexp_matches(x, '\bAI\b') then 'AI' end], lambda y: y is not null)"
+    f"case when contains(lower(x), '{t}') then '{t}' end" for t in _TERMS) + r", case when regexp_matches(x, '(^|[^\p{L}\p{N}_])AI($|[^\p{L}\p{N}_])') then 'AI' end], lambda y: y is not null)"
 _REL = f"""d as (select doc_id as bill_id, {_plant_sql(0)} as title, case when doc_id % 2 = 0 then {_plant_sql(1)} else '' end as short_title, lang as policy_area,
   {_plant_sql(3)} || ' ' || lang as subjects, text || {_plant_sql(2)} as summary, {_plant_sql(4)} as alt from documents),
 loc as (unpivot d on title, short_title, policy_area, subjects, summary into name loc value x),
@@ -103,7 +103,7 @@ agg as (select bill_id, any_value(alt) as alt, sum(len(h) * case loc when 'title
   bool_or(loc in ('title', 'short_title') and list_has_any(h, ['artificial intelligence', 'machine learning', 'AI'])) as in_title,
   string_agg(loc || ':' || len(h), ';' order by loc) filter (len(h) > 0) as places from hit group by bill_id),
 alt as (select *, case when anchored then 0 else contains(lower(alt), 'artificial intelligence')::int + contains(lower(alt), 'machine learning')::int
-  + regexp_matches(alt, '\\bAI\\b')::int + 1 end as n_alt from agg)"""
+  + regexp_matches(alt, '(^|[^a-z])AI($|[^a-z])')::int + 1 end as n_alt from agg)"""
 
 
 @query("centrality", f"""with {_REL} select bill_id, round(s + n_alt * 2.0, 3)::double as centrality_score, anchored or n_alt > 0 as has_anchor,
