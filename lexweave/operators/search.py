@@ -153,8 +153,9 @@ def phrase_hits(index: DataFrame, phrases: DataFrame, prefixes: bool = False) ->
         "phrase", "prefix", F.size("words").alias("n"), F.posexplode("words").alias("off", "word"))
     open_end = F.col("prefix") & (F.col("off") == F.col("n") - 1)
     keys = ["doc", "parent", "topic", "len"]
-    words = index.select(*keys, F.posexplode("words").alias("at", "word"))
-    start = F.when(F.col("n") > 1, F.col("at") - F.col("off")).otherwise(0).alias("start")
+    # the outer form keeps the planner from testing (and so tokenising) each text twice
+    words = index.select(*keys, F.posexplode_outer("words").alias("at", "word"))
+    start = F.when(F.col("n") > 1, F.col("at") - F.col("off")).alias("start")
     found = words.join(units.where(~open_end).drop("prefix"), "word").select(*keys, "phrase", "n", start)
     if prefixes:
         initial = F.substring("word", 1, 1)
@@ -162,10 +163,23 @@ def phrase_hits(index: DataFrame, phrases: DataFrame, prefixes: bool = False) ->
         found = found.unionByName(
             words.withColumn("initial", initial).join(stems, "initial").where(F.col("word").startswith(F.col("stem")))
             .select(*keys, "phrase", "n", start))
-    runs = found.groupBy(*keys, "phrase", "n", "start").agg(F.count(F.lit(1)).alias("c"))
-    times = F.sum(F.when(F.col("n") == 1, F.col("c")).when(F.col("c") == F.col("n"), 1).otherwise(0))
-    per_phrase = runs.groupBy(*keys, "phrase").agg(times.alias("freq")).where("freq > 0")
-    return per_phrase.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("phrase", "freq"))).alias("freqs"))
+    per_phrase = found.groupBy(*keys, "phrase", "n").agg(F.count(F.lit(1)).alias("c"), F.collect_list("start").alias("starts"))
+    freq = F.when(F.col("n") == 1, F.col("c")).otherwise(_full_runs(F.array_sort("starts"), F.col("n")))
+    return (
+        per_phrase.withColumn("freq", freq).where("freq > 0")
+        .groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("phrase", "freq"))).alias("freqs"))
+    )
+
+
+def _full_runs(starts: Column, n: Column) -> Column:
+    """How many values of a sorted array occur exactly ``n`` times (every word of a phrase present)."""
+    zero = F.struct(F.lit(-1).alias("at"), F.lit(0).alias("run"), F.lit(0).cast("long").alias("hits"))
+
+    def step(acc: Column, s: Column) -> Column:
+        run = F.when(acc["at"] == s, acc["run"] + 1).otherwise(1)
+        return F.struct(s.alias("at"), run.alias("run"), (acc["hits"] + (run == n).cast("long")).alias("hits"))
+
+    return F.aggregate(starts, zero, step, lambda a: a["hits"])
 
 
 def collection_stats(index: DataFrame) -> DataFrame:
