@@ -89,7 +89,8 @@ def _assemble(located: DataFrame) -> DataFrame:
 def walk(nodes: DataFrame) -> DataFrame:
     """Sections of every document, one row each, before ids are attached to bills.
 
-    ``bill_id, pos, chain, local_id, xml_id, level, enum, heading, text_self, text_full, ordinal``.
+    ``bill_id, pos, local_id, xml_id, level, enum, heading, text_self, text_full, ordinal, id_path,
+    enum_path``. All grouping is by document, so the fragments are shuffled once.
     """
     frags = nd.fragments(nodes).repartition("bill_id")
     own = _assemble(_locate(frags))
@@ -112,7 +113,7 @@ def walk(nodes: DataFrame) -> DataFrame:
     s = s.withColumn("ordinal", F.when(F.col("parent_pos").isNull(), F.col("tops")).otherwise(
         F.row_number().over(siblings) - 1).cast("int"))
     s = s.withColumn("local_id", F.coalesce("xml_id", F.concat(F.lit("gen-"), F.col("gen").cast("string"))))
-    return _with_full_text(s)
+    return _with_paths(_with_full_text(s))
 
 
 def _with_full_text(s: DataFrame) -> DataFrame:
@@ -135,33 +136,31 @@ def _with_full_text(s: DataFrame) -> DataFrame:
         .withColumn("txt", F.when(live, F.concat(F.when(
             (F.col("p_step") == 0) & (F.col("pos") <= F.col("p_end")), " ").otherwise("\n"), F.col("txt"))))
     )
-    keep = ["chain", "level", "xml_id", "local_id", "parent_pos", "enum", "heading", "text_self", "ordinal"]
+    keep = ["chain", "level", "xml_id", "local_id", "enum", "heading", "text_self", "ordinal"]
     carrier = F.when(F.col("step") == 1, F.struct(*keep))
     sent = pieces.select(
         "bill_id", "pos", "step", "txt", carrier.alias("me"), F.explode("chain").alias("to"))
     sent = sent.where((F.col("to") != F.col("pos")) | (F.col("step") == 1)).withColumn(
         "me", F.when(F.col("to") == F.col("pos"), F.col("me")))
-    sent = sent.where(F.col("txt").isNotNull() | F.col("me").isNotNull())
+    sent = sent.where(F.col("txt").isNotNull() | (F.col("step") == 1))
     piece = F.when(F.col("txt").isNotNull(), F.struct("pos", "step", "txt"))
     full = F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["txt"]), "")
-    return (
-        sent.groupBy("bill_id", "to").agg(tx.clean_block(full).alias("text_full"), F.first("me", ignorenulls=True).alias("me"))
-        .select("bill_id", F.col("to").alias("pos"), "me.*", "text_full")
-    )
+    return sent.groupBy("bill_id", "to").agg(
+        tx.clean_block(full).alias("text_full"), F.first("me", ignorenulls=True).alias("me"),
+        F.collect_list(F.when(F.col("step") == 1, F.col("pos"))).alias("below"))
 
 
-def ancestry(walked: DataFrame) -> DataFrame:
-    """Ids and enumerators along the path of every section (no text is moved)."""
-    slim = walked.select("bill_id", "pos", "local_id", "enum")
-    steps = walked.select("bill_id", "pos", F.posexplode("chain").alias("depth", "anc"))
-    return (
-        steps.join(slim.select("bill_id", F.col("pos").alias("anc"), "local_id", "enum"), ["bill_id", "anc"])
-        .groupBy("bill_id", "pos")
-        .agg(F.array_sort(F.collect_list(F.struct("depth", "local_id", "enum"))).alias("a"))
-        .select("bill_id", "pos",
-                F.transform("a", lambda x: x["local_id"]).alias("id_path"),
-                F.filter(F.transform("a", lambda x: x["enum"]), lambda e: e.isNotNull()).alias("enum_path"))
-    )
+def _with_paths(full: DataFrame) -> DataFrame:
+    """Let every section tell its id and enumerator to itself and all its descendants."""
+    step = F.struct(F.size("me.chain").alias("depth"), F.col("me.local_id").alias("local_id"), F.col("me.enum").alias("enum"))
+    told = full.select("bill_id", "to", step.alias("step"), "me", "text_full", F.explode("below").alias("pos"))
+    mine = F.col("to") == F.col("pos")
+    got = told.groupBy("bill_id", "pos").agg(
+        F.array_sort(F.collect_list("step")).alias("steps"), F.first(F.when(mine, F.col("me")), ignorenulls=True).alias("me"),
+        F.first(F.when(mine, F.col("text_full")), ignorenulls=True).alias("text_full"))
+    return got.select(
+        "bill_id", "pos", "me.*", "text_full", F.transform("steps", lambda x: x["local_id"]).alias("id_path"),
+        F.filter(F.transform("steps", lambda x: x["enum"]), lambda e: e.isNotNull()).alias("enum_path"))
 
 
 def section_table(nodes: DataFrame, bills: DataFrame) -> DataFrame:
@@ -169,14 +168,13 @@ def section_table(nodes: DataFrame, bills: DataFrame) -> DataFrame:
 
     ``bills`` needs ``bill_id, congress, bill_type, bill_number``. Repeated ids keep the first.
     """
-    w = walk(nodes)
     head = bills.select("bill_id", ids.bill_urn("congress", "bill_type", "bill_number").alias("bill_urn"),
                         tx.bill_citation("congress", "bill_type", "bill_number").alias("bill_cite"))
     full = lambda x: F.concat(F.col("bill_id"), F.lit("::"), x)
     urn = lambda x: F.concat(F.col("bill_urn"), F.lit("::"), x)
     parent = F.try_element_at("id_path", F.lit(-2))
-    rows = (
-        w.join(ancestry(w), ["bill_id", "pos"]).join(head, "bill_id")
+    return (
+        keep_first(walk(nodes), ["bill_id", "local_id"], [F.col("pos")]).join(head, "bill_id")
         .select(
             full(F.col("local_id")).alias("section_id"), urn(F.col("local_id")).alias("section_urn"),
             "bill_id", "bill_urn", full(parent).alias("parent_section_id"), urn(parent).alias("parent_urn"),
@@ -186,5 +184,4 @@ def section_table(nodes: DataFrame, bills: DataFrame) -> DataFrame:
             F.transform("id_path", lambda x: F.concat(F.col("bill_id"), F.lit("::"), x)).alias("ancestor_path"),
             "enum_path",
         )
-    )
-    return keep_first(rows, ["section_id"], [F.col("pos")])
+    )
\ No newline at end of file

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexweave.operators import extracts, nodes, sections, tree
 from lexweave.plans.catalog.registry import query
+from lexweave.sources.tables import stage
 
 
 def lines(load):
@@ -39,7 +40,7 @@ def derived(load):
     d = lines(load)
     key = F.concat(F.lit("118-hr-"), F.col("doc_id").cast("string")).alias("bill_id")
     bills = load("documents").select(key, F.lit(118).cast("long").alias("congress"), F.lit("hr").alias("bill_type"), F.col("doc_id").alias("bill_number"))
-    return bills, nodes.elements(d.select(key, xml.cast("binary").alias("xml")))
+    return bills, stage(nodes.elements(d.select(key, xml.cast("binary").alias("xml"))), "nodes")
 
 
 _L = r"""raw as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(regexp_replace(regexp_replace(l, '[^\p{L}\p{N} .,;:-]+', ' ', 'g'), ' +', ' ', 'g'))), lambda l: l <> '') as ls from documents),

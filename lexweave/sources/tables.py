@@ -1,8 +1,12 @@
 """Reading tables so that the work spreads over the cluster."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from lexweave.session import checkpoint_dir
+
 
 def spread(df: DataFrame) -> DataFrame:
     """Redistribute an input that arrives in fewer pieces than there are cores.
@@ -18,3 +22,13 @@ def read_table(spark: SparkSession, folder: str, name: str, heavy: bool = False)
     """One parquet table; ``heavy`` marks tables whose rows are expensive to process."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     return spread(df) if heavy else df
+
+
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Write an expensive intermediate once to the shared checkpoint folder and read it back.
+
+    The result survives lost executors and keeps column pruning and filter pushdown.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/stage-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
