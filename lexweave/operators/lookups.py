@@ -15,7 +15,7 @@ from lexweave.operators.rank import keep_first, top_k
 
 
 def _cites(sections: DataFrame) -> DataFrame:
-    return sections.select("section_urn", "canonical_citation")
+    return sections.select("section_urn", F.col("canonical_citation").alias("section_citation"))
 
 
 def _statutes(statutes: DataFrame) -> DataFrame:
@@ -117,7 +117,7 @@ def terms_of(bill_urns: DataFrame, terms: DataFrame, sections: DataFrame, statut
     return (
         keep_first(mine, ["term_id"], [F.col("section_urn"), F.col("surface_form"), F.col("definition_type"), F.col("statute_id")])
         .join(_cites(sections), "section_urn", "left").join(_statutes(statutes), "statute_id", "left")
-        .select("bill_urn", "term_id", "surface_form", "section_urn", F.coalesce("canonical_citation", F.lit("")).alias("citation"),
+        .select("bill_urn", "term_id", "surface_form", "section_urn", F.coalesce("section_citation", F.lit("")).alias("citation"),
                 F.coalesce("scope", F.lit(fixed.DEFAULT_SCOPE)).alias("scope"), F.coalesce("definition_type", F.lit("direct")).alias("definition_type"),
                 "definition_text", "statute_id", "statute_citation")
     )
@@ -145,7 +145,7 @@ def bills_defining(terms: DataFrame, bills: DataFrame, sections: DataFrame, stat
         rows.join(bills.select("bill_urn", "short_title", "title", "congress"), "bill_urn")
         .join(_cites(sections), "section_urn", "left").join(_statutes(statutes), "statute_id", "inner" if by_reference_to else "left")
         .select("bill_urn", "short_title", "title", "congress", "surface_form", "section_urn",
-                F.col("canonical_citation").alias("citation"), "definition_type", "statute_id", "statute_citation").distinct()
+                F.col("section_citation").alias("citation"), "definition_type", "statute_id", "statute_citation").distinct()
     )
 
 
@@ -155,7 +155,7 @@ def definitions_of(terms: DataFrame, bills: DataFrame, sections: DataFrame, stat
         _matching(terms, [term], None, None)
         .join(bills.select("bill_urn", "short_title", "congress"), "bill_urn")
         .join(_cites(sections), "section_urn", "left").join(_statutes(statutes), "statute_id", "left")
-        .select("bill_urn", "short_title", "congress", F.col("canonical_citation").alias("citation"), "definition_type",
+        .select("bill_urn", "short_title", "congress", F.col("section_citation").alias("citation"), "definition_type",
                 "definition_text", "statute_citation").distinct()
     )
 
@@ -166,7 +166,7 @@ def amendments_of(bill_urns: DataFrame, amends: DataFrame, sections: DataFrame,
     return (
         amends.join(bill_urns.select("bill_urn").distinct(), "bill_urn", "left_semi")
         .join(_cites(sections), "section_urn", "left").join(_statutes(statutes), "statute_id", "left")
-        .select("bill_urn", "amendment_id", "section_urn", F.coalesce("canonical_citation", F.lit("")).alias("citation"),
+        .select("bill_urn", "amendment_id", "section_urn", F.coalesce("section_citation", F.lit("")).alias("citation"),
                 "operation_type", "before_text", "after_text", "statute_id", "statute_citation")
     )
 
@@ -175,7 +175,7 @@ def amendments_targeting(amends: DataFrame, sections: DataFrame, statutes: DataF
     """All operations on one statute section."""
     hit = amends.where(F.col("statute_id") == ids.normalise_statute(F.lit(statute)))
     return hit.join(_cites(sections), "section_urn").join(_statutes(statutes), "statute_id").select(
-        "amendment_id", "bill_urn", "section_urn", F.col("canonical_citation").alias("citation"), "operation_type",
+        "amendment_id", "bill_urn", "section_urn", F.col("section_citation").alias("citation"), "operation_type",
         "before_text", "after_text", "statute_id", "statute_citation")
 
 

@@ -46,8 +46,10 @@ def gate(calls: DataFrame, limit: int, exempt: list[str] = (), opening: DataFram
         start = F.coalesce("opening", F.lit(0))
     before = start + F.col("total_after") - F.col("tokens")
     admitted = is_exempt("email", list(exempt)) | (before < limit)
-    return r.withColumn("total_after", start + F.col("total_after")).withColumn("admitted", admitted).withColumn(
-        "charged", F.when(F.col("admitted"), F.col("tokens")).otherwise(F.lit(0)))
+    return (
+        r.withColumn("admitted", admitted).withColumn("total_after", start + F.col("total_after"))
+        .withColumn("charged", F.when(F.col("admitted"), F.col("tokens")).otherwise(F.lit(0)))
+    )
 
 
 def charged_totals(decided: DataFrame) -> DataFrame:

@@ -8,13 +8,17 @@ from lexweave import fixed, schemas
 from lexweave.functions import ids, text as tx
 from lexweave.operators.rank import keep_first
 
-_DIR = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("dir")
+
+
+def _folder(path: str) -> Column:
+    """Folder of a file, without the scheme (readers spell local paths differently)."""
+    return F.regexp_replace(F.regexp_replace(path, "/[^/]*$", ""), "^file:/+", "/").alias("dir")
 
 
 def _json(spark: SparkSession, base: str, name: str, ddl: str) -> DataFrame:
     return (
         spark.read.schema(ddl).option("multiLine", True).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", name).json(base).select(_DIR, "*")
+        .option("pathGlobFilter", name).json(base).select(_folder("_metadata.file_path"), "*")
     )
 
 
@@ -27,7 +31,7 @@ def scan(spark: SparkSession, base: str) -> DataFrame:
     meta = _json(spark, base, "metadata.json", schemas.METADATA_DDL).where("bill_id is not null")
     xml = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "bill.xml").load(base)
-        .select(F.regexp_replace("path", "/[^/]*$", "").alias("dir"), F.col("content").alias("xml"))
+        .select(_folder("path"), F.col("content").alias("xml"))
     )
     return keep_first(meta, ["bill_id"], [F.col("dir")]).join(xml, "dir")
 
@@ -38,7 +42,7 @@ def read_provenance(spark: SparkSession, base: str) -> DataFrame:
 
 def xml_format(xml) -> Column:
     """``uslm`` when the namespace stands in the first 500 characters."""
-    head = F.decode(F.substring(tx.col(xml), 1, 2000), F.lit("ISO-8859-1"))
+    head = F.decode(F.substring(tx.col(xml), 1, 2000), "ISO-8859-1")
     return F.when(F.contains(F.substring(head, 1, 500), F.lit(fixed.USLM_MARKER)), "uslm").otherwise("pre-uslm")
 
 
