@@ -9,9 +9,6 @@ from lexweave.functions import ids, text as tx
 from lexweave.operators import nodes as nd
 from lexweave.operators.rank import keep_first
 
-_KEY = ["bill_id", "owner", "chain", "direct", "kind", "part"]
-
-
 def _locate(frags: DataFrame) -> DataFrame:
     """Find the section that owns each text piece and the role the piece plays in it.
 
@@ -55,35 +52,48 @@ def _locate(frags: DataFrame) -> DataFrame:
         .withColumn("txt", F.when(breaks & F.col("tbl").isNull(), F.concat(F.lit("\n"), "txt")).otherwise(F.col("txt")))
         .withColumn("c", F.explode_outer(F.when(F.col("tbl").isNotNull(), cells)))
         .where(F.col("tbl").isNull() | F.col("c").isNotNull())
-        .select(*_KEY, "ord", "txt", "tbl", F.col("c.tr").alias("tr"), F.col("c.cell").alias("cell"))
+        .select(
+            "bill_id", F.col("owner.pos").alias("pos"), "owner", "chain", "direct",
+            F.struct("kind", "part", F.coalesce("tbl", "ord").alias("at"), F.col("c.tr").alias("tr"), F.col("c.cell").alias("cell"), "ord",
+                     "tbl", "txt").alias("piece"))
     )
 
 
-def _pack(ord_col: str, text: Column) -> Column:
-    return F.array(F.struct(F.col(ord_col).alias("o"), text.alias("t")))
+def _text(pieces: Column) -> Column:
+    """Pieces of one element to text: blank-joined; table cells by `` | ``, table rows by line.
+
+    ``pieces`` are in order. Rows without any text are dropped, empty cells of other rows stay.
+    """
+    plain = F.array_join(F.transform(F.filter(pieces, lambda x: x["txt"] != ""), lambda x: x["txt"]), " ")
+    live = F.array_distinct(F.transform(F.filter(pieces, lambda x: x["tr"].isNotNull() & (tx.strip(x["txt"]) != "")), lambda x: x["tr"]))
+    kept = F.filter(pieces, lambda x: x["tbl"].isNull() | F.array_contains(live, x["tr"]))
 
+    def part(x: Column, i: Column) -> Column:
+        before = F.try_element_at(kept, F.when(i > 0, i))
+        cell = (before["tbl"] == x["tbl"]) & (before["tr"] == x["tr"]) & (before["cell"] == x["cell"])
+        sep = F.when(x["tbl"].isNull() | cell, " ").when((before["tbl"] == x["tbl"]) & (before["tr"] == x["tr"]), " | ").when(
+            before["tbl"] == x["tbl"], "\n").otherwise(" ")
+        opens = x["tbl"].isNotNull() & ~F.coalesce((i > 0) & cell, F.lit(False))
+        txt = F.when(x["tbl"].isNull(), x["txt"]).otherwise(F.regexp_replace(x["txt"], r"(?U)\s+", " "))
+        return F.when(opens | (txt != ""), F.concat(F.when(i == 0, "").otherwise(sep), txt))
 
-def _join(parts: str, sep: str) -> Column:
-    return F.array_join(F.transform(F.array_sort(parts), lambda x: x["t"]), sep)
+    tabular = F.array_join(F.array_compact(F.transform(kept, part)), "")
+    return F.when(F.exists(pieces, lambda x: x["tbl"].isNotNull()), tabular).otherwise(plain)
 
 
 def _assemble(located: DataFrame) -> DataFrame:
-    """Cells -> rows -> tables -> text, all grouped by document, so one shuffle serves them all."""
-    plain = F.col("tbl").isNull()
-    piece = F.when(F.col("txt") != "", F.struct(F.col("ord").alias("o"), F.col("txt").alias("t")))
-    by_cell = located.groupBy(*_KEY, "tbl", "tr", "cell").agg(F.collect_list(piece).alias("v"))
-    by_cell = by_cell.withColumn("v", F.when(plain, F.col("v")).otherwise(_pack("cell", tx.clean_inline(_join("v", " ")))))
-    by_row = by_cell.groupBy(*_KEY, "tbl", "tr").agg(F.flatten(F.collect_list("v")).alias("v"))
-    by_row = by_row.withColumn("v", F.when(plain, F.col("v")).when(
-        F.exists("v", lambda x: x["t"] != ""), _pack("tr", _join("v", " | "))))
-    by_table = by_row.where(F.col("v").isNotNull()).groupBy(*_KEY, "tbl").agg(F.flatten(F.collect_list("v")).alias("v"))
-    by_table = by_table.withColumn("v", F.when(plain, F.col("v")).otherwise(_pack("tbl", _join("v", "\n"))))
-    text = by_table.groupBy(*_KEY).agg(F.flatten(F.collect_list("v")).alias("v")).withColumn("t", _join("v", " "))
-    return text.groupBy("bill_id", "owner", "chain", "direct").agg(
-        F.min_by("t", F.when(F.col("kind") == "enum", F.col("part"))).alias("enum_raw"),
-        F.min_by("t", F.when(F.col("kind") == "head", F.col("part"))).alias("head_raw"),
-        F.max(F.when(F.col("kind") == "self", F.col("t"))).alias("self_raw"),
-    )
+    """One row per section with its raw enumerator, heading and own text."""
+    got = located.groupBy("bill_id", "pos").agg(
+        F.first("owner").alias("owner"), F.first("chain").alias("chain"), F.first("direct").alias("direct"),
+        F.array_sort(F.collect_list("piece")).alias("pieces"))
+
+    def first_child(kind: str) -> Column:
+        mine = F.filter("pieces", lambda x: x["kind"] == kind)
+        return F.when(F.size(mine) > 0, _text(F.filter(mine, lambda x: x["part"] == F.try_element_at(mine, F.lit(1))["part"])))
+
+    return got.select(
+        "bill_id", "owner", "chain", "direct", first_child("enum").alias("enum_raw"), first_child("head").alias("head_raw"),
+        _text(F.filter("pieces", lambda x: x["kind"] == "self")).alias("self_raw"))
 
 
 def walk(nodes: DataFrame) -> DataFrame:
@@ -123,19 +133,17 @@ def _with_full_text(s: DataFrame) -> DataFrame:
     encloses the second; otherwise a new line starts. That rule does not depend on the section
     whose text is built, so each piece gets its separator once and is sent to all its ancestors.
     """
-    order = Window.partitionBy("bill_id").orderBy("pos", "step")
+    # what the last section with any text before this one ended on: its label (0) or its text (1)
+    ends_on = F.when(F.col("text_self") != "", F.struct(F.lit(1).alias("step"), F.col("end").alias("end"))).when(
+        F.col("label") != "", F.struct(F.lit(0).alias("step"), F.col("end").alias("end")))
+    before = Window.partitionBy("bill_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumn("prev", F.last(ends_on, ignorenulls=True).over(before))
+    outer = F.when((F.col("prev.step") == 0) & (F.col("pos") <= F.col("prev.end")), " ").otherwise("\n")
+    said = F.col("label") != ""
     pieces = s.withColumn("p", F.explode(F.array(
-        F.struct(F.lit(0).alias("step"), F.col("label").alias("txt")),
-        F.struct(F.lit(1).alias("step"), F.col("text_self").alias("txt")),
+        F.struct(F.lit(0).alias("step"), F.when(said, F.concat(outer, "label")).alias("txt")),
+        F.struct(F.lit(1).alias("step"), F.when(F.col("text_self") != "", F.concat(F.when(said, " ").otherwise(outer), "text_self")).alias("txt")),
     ))).select("*", "p.step", "p.txt").drop("p")
-    # empty own text stays as a carrier of the section's columns, without taking part in the order
-    live = F.col("txt") != ""
-    last = lambda c: F.last(F.when(live, F.col(c)), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    pieces = (
-        pieces.withColumn("p_step", last("step")).withColumn("p_end", last("end"))
-        .withColumn("txt", F.when(live, F.concat(F.when(
-            (F.col("p_step") == 0) & (F.col("pos") <= F.col("p_end")), " ").otherwise("\n"), F.col("txt"))))
-    )
     keep = ["chain", "level", "xml_id", "local_id", "enum", "heading", "text_self", "ordinal"]
     carrier = F.when(F.col("step") == 1, F.struct(*keep))
     sent = pieces.select(

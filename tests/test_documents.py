@@ -73,6 +73,19 @@ def test_namespaced_titled_bill_and_missing_body(bill):
     assert bill[1].where("bill_id = '118-s-8'").count() == 0
 
 
+def test_tables_and_broken_nesting(spark):
+    xml = """<bill><legis-body><section id="A"><table><tr><td></td><td> </td></tr><tr><th>a
+ b</th><th/><td>c<b>d</b></td></tr><tr><td>e</td></tr></table><text>tail <paragraph id="X"><text>kept inline</text></paragraph></text></section>
+ <list><section id="B"><quoted-block><text>plain</text></quoted-block></section></list>
+ <section id="C"><quoted-block>lost<section id="D"><text>in</text></section></quoted-block></section></legis-body></bill>"""
+    n, bills = parse(spark, [("118-hr-1", xml)])
+    rows = {r.xml_id: r for r in sections.section_table(n, bills).collect()}
+    assert set(rows) == {"A", "B", "C", "D"}  # a container inside plain text is no section
+    assert rows["A"].text_self == "a b | | c d\ne tail kept inline"
+    assert rows["B"].text_self == "plain" and (rows["A"].ordinal, rows["B"].ordinal, rows["C"].ordinal) == (0, 1, 1)
+    assert rows["C"].text_self == "" and rows["C"].text_full == "in" and rows["D"].parent_section_id == "118-hr-1::C"
+
+
 def test_parents_exist_and_paths_agree(bill):
     s = bill[1]
     orphans = s.where("parent_section_id is not null").join(
