@@ -14,6 +14,33 @@ from lexweave.functions import ids, text as tx
 from lexweave.operators.rank import keep_first, top_k
 
 
+# Keys of at most this many rows are broadcast (about 6 MB of section ids).
+FEW_ROWS = 100_000
+
+
+class Near:
+    """Cut tables down to what a few result rows refer to before joining them.
+
+    The rows are counted up to ``FEW_ROWS`` once. If they fit, their keys are broadcast and a table
+    is filtered where it lies, so a point question never shuffles it. If not, tables stay whole and
+    are joined by shuffling.
+    """
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+        self.few = rows.limit(FEW_ROWS + 1).count() <= FEW_ROWS
+
+    def __call__(self, table: DataFrame, key: str) -> DataFrame:
+        if not self.few:
+            return table
+        return self.only(table, key)
+
+    def only(self, table: DataFrame, key: str) -> DataFrame:
+        """Exactly the table rows the few (or many) rows refer to."""
+        keys = self.rows.select(key).distinct()
+        return table.join(F.broadcast(keys) if self.few else keys, key, "left_semi")
+
+
 def _cites(sections: DataFrame) -> DataFrame:
     return sections.select("section_urn", F.col("canonical_citation").alias("section_citation"))
 
@@ -63,13 +90,15 @@ def section_lookup(requests: DataFrame, sections: DataFrame, bills: DataFrame, c
 
     ``requests``: ``section_id`` (and ``as_of`` date when the flag is set, which only adds a note).
     """
-    wanted = requests.join(sections, "section_id", "left").withColumn("not_found", F.col("section_urn").isNull())
+    near = Near(requests.select("section_id"))
+    wanted = requests.join(near(sections, "section_id"), "section_id", "left").withColumn("not_found", F.col("section_urn").isNull())
+    parents = Near(requests.select(F.col("section_id").alias("parent_section_id")))
     kids = ordered_list(
-        sections.join(requests.select(F.col("section_id").alias("parent_section_id")).distinct(), "parent_section_id", "left_semi")
-        .withColumnRenamed("parent_section_id", "p"), "p", ["ordinal", "section_id"], F.col("section_id"), "child_section_ids"
+        parents.only(sections, "parent_section_id").withColumnRenamed("parent_section_id", "p"), "p", ["ordinal", "section_id"], F.col("section_id"), "child_section_ids"
     ).withColumnRenamed("p", "section_id")
-    bill = bills.select("bill_id", "canonical_package_id", "canonical_version_code", "canonical_version_date")
-    counts = adjacency(cites, internal)
+    found = Near(wanted.where(~F.col("not_found")).select("bill_id", "section_urn", F.col("section_urn").alias("target_urn")))
+    bill = found(bills.select("bill_id", "canonical_package_id", "canonical_version_code", "canonical_version_date"), "bill_id")
+    counts = adjacency(found(cites, "section_urn"), None if internal is None else found(internal, "target_urn"))
     note = F.when(F.col("not_found"), "section_id not found in corpus")
     if as_of:
         note = note.when(F.col("as_of").isNotNull(), F.concat(
@@ -113,10 +142,11 @@ def adjacency(cites: DataFrame, internal: DataFrame | None = None) -> DataFrame:
 # -- terms -----------------------------------------------------------------
 def terms_of(bill_urns: DataFrame, terms: DataFrame, sections: DataFrame, statutes: DataFrame) -> DataFrame:
     """Defined terms of the requested bills, one row per term id, with citation and target."""
-    mine = terms.join(bill_urns.select("bill_urn").distinct(), "bill_urn", "left_semi")
+    mine = Near(bill_urns).only(terms, "bill_urn")
+    near = Near(mine.select("section_urn", "statute_id"))
     return (
         keep_first(mine, ["term_id"], [F.col("section_urn"), F.col("surface_form"), F.col("definition_type"), F.col("statute_id")])
-        .join(_cites(sections), "section_urn", "left").join(_statutes(statutes), "statute_id", "left")
+        .join(near(_cites(sections), "section_urn"), "section_urn", "left").join(near(_statutes(statutes), "statute_id"), "statute_id", "left")
         .select("bill_urn", "term_id", "surface_form", "section_urn", F.coalesce("section_citation", F.lit("")).alias("citation"),
                 F.coalesce("scope", F.lit(fixed.DEFAULT_SCOPE)).alias("scope"), F.coalesce("definition_type", F.lit("direct")).alias("definition_type"),
                 "definition_text", "statute_id", "statute_citation")
@@ -141,9 +171,11 @@ def bills_defining(terms: DataFrame, bills: DataFrame, sections: DataFrame, stat
                    also_match: list[str] = (), definition_type: str | None = None, by_reference_to: str | None = None) -> DataFrame:
     """Every bill that defines a term (exact surface form, case-insensitive), complete and distinct."""
     rows = _matching(terms, [term, *also_match], definition_type, by_reference_to)
+    near = Near(rows.select("bill_urn", "section_urn", "statute_id"))
     return (
-        rows.join(bills.select("bill_urn", "short_title", "title", "congress"), "bill_urn")
-        .join(_cites(sections), "section_urn", "left").join(_statutes(statutes), "statute_id", "inner" if by_reference_to else "left")
+        rows.join(near(bills.select("bill_urn", "short_title", "title", "congress"), "bill_urn"), "bill_urn")
+        .join(near(_cites(sections), "section_urn"), "section_urn", "left")
+        .join(near(_statutes(statutes), "statute_id"), "statute_id", "inner" if by_reference_to else "left")
         .select("bill_urn", "short_title", "title", "congress", "surface_form", "section_urn",
                 F.col("section_citation").alias("citation"), "definition_type", "statute_id", "statute_citation").distinct()
     )
@@ -151,10 +183,11 @@ def bills_defining(terms: DataFrame, bills: DataFrame, sections: DataFrame, stat
 
 def definitions_of(terms: DataFrame, bills: DataFrame, sections: DataFrame, statutes: DataFrame, term: str) -> DataFrame:
     """Each bill's definition of one term, side by side."""
+    rows = _matching(terms, [term], None, None)
+    near = Near(rows.select("bill_urn", "section_urn", "statute_id"))
     return (
-        _matching(terms, [term], None, None)
-        .join(bills.select("bill_urn", "short_title", "congress"), "bill_urn")
-        .join(_cites(sections), "section_urn", "left").join(_statutes(statutes), "statute_id", "left")
+        rows.join(near(bills.select("bill_urn", "short_title", "congress"), "bill_urn"), "bill_urn")
+        .join(near(_cites(sections), "section_urn"), "section_urn", "left").join(near(_statutes(statutes), "statute_id"), "statute_id", "left")
         .select("bill_urn", "short_title", "congress", F.col("section_citation").alias("citation"), "definition_type",
                 "definition_text", "statute_citation").distinct()
     )
@@ -163,9 +196,10 @@ def definitions_of(terms: DataFrame, bills: DataFrame, sections: DataFrame, stat
 # -- amendments ------------------------------------------------------------
 def amendments_of(bill_urns: DataFrame, amends: DataFrame, sections: DataFrame, statutes: DataFrame) -> DataFrame:
     """Operations issued by the requested bills; the target is optional."""
+    mine = Near(bill_urns).only(amends, "bill_urn")
+    near = Near(mine.select("section_urn", "statute_id"))
     return (
-        amends.join(bill_urns.select("bill_urn").distinct(), "bill_urn", "left_semi")
-        .join(_cites(sections), "section_urn", "left").join(_statutes(statutes), "statute_id", "left")
+        mine.join(near(_cites(sections), "section_urn"), "section_urn", "left").join(near(_statutes(statutes), "statute_id"), "statute_id", "left")
         .select("bill_urn", "amendment_id", "section_urn", F.coalesce("section_citation", F.lit("")).alias("citation"),
                 "operation_type", "before_text", "after_text", "statute_id", "statute_citation")
     )
@@ -174,7 +208,8 @@ def amendments_of(bill_urns: DataFrame, amends: DataFrame, sections: DataFrame,
 def amendments_targeting(amends: DataFrame, sections: DataFrame, statutes: DataFrame, statute: str) -> DataFrame:
     """All operations on one statute section."""
     hit = amends.where(F.col("statute_id") == ids.normalise_statute(F.lit(statute)))
-    return hit.join(_cites(sections), "section_urn").join(_statutes(statutes), "statute_id").select(
+    near = Near(hit.select("section_urn", "statute_id"))
+    return hit.join(near(_cites(sections), "section_urn"), "section_urn").join(near(_statutes(statutes), "statute_id"), "statute_id").select(
         "amendment_id", "bill_urn", "section_urn", F.col("section_citation").alias("citation"), "operation_type",
         "before_text", "after_text", "statute_id", "statute_citation")
 
@@ -185,10 +220,12 @@ def bills_amending(amends: DataFrame, bills: DataFrame, statutes: DataFrame, wan
     ``wanted`` restricts the statutes (a condition on ``statute_id``).
     """
     rows = amends.where(F.col("statute_id").isNotNull() if wanted is None else wanted)
+    near = Near(rows.select("bill_urn", "statute_id"))
     return (
         rows.groupBy("statute_id", "bill_urn")
         .agg(F.count_distinct("amendment_id").alias("n_operations"), F.sort_array(F.collect_set("operation_type")).alias("operation_types"))
-        .join(bills.select("bill_urn", "short_title", "title", "congress"), "bill_urn").join(_statutes(statutes), "statute_id")
+        .join(near(bills.select("bill_urn", "short_title", "title", "congress"), "bill_urn"), "bill_urn")
+        .join(near(_statutes(statutes), "statute_id"), "statute_id")
     )
 
 
@@ -199,7 +236,7 @@ def neighbourhood(roots: DataFrame, sections: DataFrame, cites: DataFrame, inter
 
     ``truncated`` is set when the outgoing side is full. Unknown roots give no rows.
     """
-    known = sections.join(roots.select("section_urn").distinct(), "section_urn", "left_semi").select(F.col("section_urn").alias("root"))
+    known = Near(roots).only(sections.select("section_urn"), "section_urn").select(F.col("section_urn").alias("root"))
     parts = []
     if types is None or "cites" in types:
         if direction in ("out", "both"):
@@ -211,7 +248,7 @@ def neighbourhood(roots: DataFrame, sections: DataFrame, cites: DataFrame, inter
     if not parts:
         return known.limit(0).select("root", *[F.lit(None).cast("string").alias(c) for c in ("source_id", "target_id", "direction")])
     edges = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    kept = top_k(edges.join(known, "root", "left_semi"), ["root", "direction"], [F.col("source_id"), F.col("target_id")], max_nodes, "n")
+    kept = top_k(Near(known).only(edges, "root"), ["root", "direction"], [F.col("source_id"), F.col("target_id")], max_nodes, "n")
     full = kept.groupBy("root").agg(F.max(F.when(F.col("direction") == "out", F.col("n"))).alias("out_n"))
     return kept.drop("n").join(full, "root").withColumn("truncated", F.coalesce(F.col("out_n") == max_nodes, F.lit(False))).drop("out_n")
 
@@ -237,7 +274,7 @@ def resolve_citations(requests: DataFrame, bills: DataFrame, sections: DataFrame
         .where(F.col("asked_congress").isNull() | (F.col("asked_congress") == F.col("congress")))
         .withColumn("key", F.transform("enums", stripped))
     )
-    named = sections.where(F.size("enum_path") == F.size("ancestor_path")).select(
+    named = Near(cand.select("bill_id"))(sections, "bill_id").where(F.size("enum_path") == F.size("ancestor_path")).select(
         "bill_id", "section_id", "ordinal", "enum_path", F.transform("enum_path", stripped).alias("key"))
     match = cand.join(named, ["bill_id", "key"]).where(F.forall(
         F.zip_with("enums", "enum_path", lambda a, b: (a == b) | (stripped(a) == b)), lambda x: x))

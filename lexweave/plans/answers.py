@@ -43,8 +43,9 @@ class Knowledge:
         return lookups.coverage(self.bills).withColumn("k", F.lit(1)).join(lookups.coverage_note(self.bills).withColumn("k", F.lit(1)), "k").drop("k")
 
     def get_bill(self, bill: str) -> DataFrame:
-        mine = self.bills.join(self._urn(bill), "bill_urn", "left_semi")
-        part = lambda df: df.join(mine.select("bill_id"), "bill_id", "left_semi")
+        mine = lookups.Near(self._urn(bill)).only(self.bills, "bill_urn")
+        near = lookups.Near(mine.select("bill_id"))
+        part = lambda df: near.only(df, "bill_id")
         return lookups.bill_cards(mine, part(self.cosponsors), part(self.sections), part(self.bill_versions))
 
     def get_section(self, section_id: str, as_of: str | None = None) -> DataFrame:
@@ -53,7 +54,7 @@ class Knowledge:
 
     def get_section_tree(self, bill: str) -> DataFrame:
         """Every section of a bill with its own text; order by ``pos``."""
-        return tree.own_text(self.sections.join(self._urn(bill), "bill_urn", "left_semi"))
+        return tree.own_text(lookups.Near(self._urn(bill)).only(self.sections, "bill_urn"))
 
     def get_defined_terms(self, bill: str) -> DataFrame:
         return lookups.terms_of(self._urn(bill), self.defined_terms, self.sections, self.statute_sections)
