@@ -58,74 +58,69 @@ def is_by_reference(text) -> Column:
     return reduce(lambda a, b: a | b, [tx.col(text).rlike(p) for p in fixed.BY_REFERENCE])
 
 
-def definition_containers(nodes: DataFrame, frags: DataFrame) -> DataFrame:
-    """Outermost containers headed ``Definition(s)…`` outside quoted blocks."""
-    body = _body(nodes).where(nd.outside_quotes())
-    up = F.try_element_at("rel", F.lit(-2))
-    heads = (
-        body.where(F.col("tag").isin(fixed.HEADING_TAGS) & nd.is_level(up))
-        .groupBy("bill_id", up["pos"].alias("pos"), up["end"].alias("end"), up["id"].alias("id"))
-        .agg(F.min("pos").alias("head_pos"))
-    )
-    head_text = nd.subtree_text(frags, fixed.HEADING_TAGS, True, "head_text").withColumnRenamed("pos", "head_pos")
-    matched = heads.join(head_text, ["bill_id", "head_pos"]).where(F.col("head_text").rlike(fixed.DEFINITIONS_HEADING))
-    seen = F.max("end").over(Window.partitionBy("bill_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+def _boxed(frags: DataFrame) -> DataFrame:
+    """Pieces below a definitions container: ``box`` (the outermost, outside quoted blocks), what
+    follows it on the path (``child``), the path from there (``sub``) and whether a quote lies between.
+    """
+    kind = F.transform("rel", lambda p: F.when(nd.is_quoted(p), "q").when(nd.is_level(p) & p["defines"], "d").otherwise("-"))
     return (
-        matched.withColumn("seen", seen)
-        .where(F.col("seen").isNull() | (F.col("pos") > F.col("seen")))
-        .where(F.coalesce("id", F.lit("")) != "")
-        .select("bill_id", "pos", "id")
+        frags.where(F.exists("rel", lambda p: p["defines"])).withColumn("kind", kind)
+        .withColumn("b", F.array_position("kind", F.lit("d")).cast("int")).withColumn("q", F.array_position("kind", F.lit("q")).cast("int"))
+        .where((F.col("b") > 0) & ((F.col("q") == 0) | (F.col("b") < F.col("q"))))
+        .withColumn("box", F.try_element_at("rel", F.greatest("b", F.lit(1)))).where(nd.has_id(F.col("box")))
+        .withColumn("child", F.try_element_at("rel", F.col("b") + 1))
+        .withColumn("sub", F.slice("rel", F.col("b") + 2, F.size("rel")))
+        .withColumn("quoted", F.col("q") > 0)
     )
 
 
-def defined_terms(nodes: DataFrame) -> DataFrame:
-    """One row per child container of a definitions container that has an id and a surface form."""
-    frags = _frags(nodes)
-    body = _body(nodes)
-    boxes = definition_containers(nodes, frags)
-    up = F.try_element_at("rel", F.lit(-2))
-    children = (
-        body.where(F.col("tag").isin(fixed.LEVELS) & (F.coalesce("id", F.lit("")) != "") & up["pos"].isNotNull())
-        .select("bill_id", "pos", F.col("id").alias("local_id"), up["pos"].alias("box_pos"))
-        .join(boxes.select("bill_id", F.col("pos").alias("box_pos"), F.col("id").alias("container_id")),
-              ["bill_id", "box_pos"])
-    )
-    scope = nd.container_text(frags, boxes, "scope_text", own_only=True).withColumnRenamed("pos", "box_pos")
-    full = nd.container_text(frags, children, "full_text")
-
-    def inside(df: DataFrame, value: Column, out: str) -> DataFrame:
-        """First value, in document order, below each candidate child."""
-        return (
-            df.select("bill_id", "pos", value.alias("v"), F.explode(F.transform(F.filter(
-                "rel", nd.is_level), lambda p: p["pos"])).alias("at"))
-            .where(F.col("v").isNotNull())
-            .groupBy("bill_id", F.col("at").alias("pos")).agg(F.min_by("v", "pos").alias(out))
-        )
+def _first_text(pieces: Column) -> Column:
+    """Text of the first element, in document order, that has any."""
+    at = F.array_sort(F.array_distinct(F.transform(pieces, lambda x: x["at"])))
+    texts = F.transform(at, lambda a: tx.clean_inline(F.array_join(F.transform(F.array_sort(F.filter(
+        pieces, lambda x: (x["at"] == a) & (x["txt"] != ""))), lambda x: x["txt"]), " ")))
+    return F.try_element_at(F.filter(texts, lambda t: t != ""), F.lit(1))
+
 
-    def marked(tag: str) -> DataFrame:
-        text = nd.subtree_text(frags, [tag], True, "t")
-        rows = body.where(F.col("tag") == tag).select("bill_id", "pos", "rel").join(text, ["bill_id", "pos"])
-        return inside(rows, tx.blank_to_null("t"), tag)
+def defined_terms(nodes: DataFrame) -> DataFrame:
+    """One row per child container of a definitions container that has an id and a surface form.
 
-    heading = (
-        body.where(F.col("tag").isin(fixed.HEADING_TAGS)).select("bill_id", "pos", up["pos"].alias("at"))
-        .join(nd.subtree_text(frags, fixed.HEADING_TAGS, True, "h"), ["bill_id", "pos"], "left")
-        .groupBy("bill_id", F.col("at").alias("pos")).agg(F.min_by(F.coalesce("h", F.lit("")), "pos").alias("heading"))
+    A piece of text finds its definitions container and term on its own path, so only text inside
+    definitions is shuffled, once.
+    """
+    boxed = _boxed(_frags(nodes))
+    child, live = F.col("child"), ~F.col("quoted")
+    piece = F.when(live & (F.col("txt") != ""), F.struct(F.col("ord").alias("o"), F.col("txt").alias("t")))
+
+    def marks(tag: str) -> Column:
+        """The marked elements a piece lies in, unless a quoted block comes between."""
+        inside = F.transform("sub", lambda p, i: F.when(
+            (p["tag"] == tag) & ~F.exists(F.slice("sub", i + 2, F.size("sub")), nd.is_quoted), F.struct(p["pos"].alias("at"), "ord", "txt")))
+        return F.flatten(F.collect_list(F.array_compact(inside)))
+
+    top = F.try_element_at("sub", F.lit(1))
+    head = F.when(live & top["tag"].isin(fixed.HEADING_TAGS), F.struct(top["pos"].alias("at"), "ord", "txt"))
+    rows = (
+        boxed.where(nd.is_level(child) & nd.has_id(child))
+        .groupBy("bill_id", F.col("box.pos").alias("box_pos"), F.col("box.id").alias("container_id"), child["pos"].alias("pos"), child["id"].alias("local_id"))
+        .agg(F.array_sort(F.collect_list(piece)).alias("all"), marks("term").alias("term"), marks("quote").alias("quote"), F.collect_list(head).alias("head"))
     )
-    refs = body.where((F.col("tag") == "external-xref") & F.col("legal_doc").startswith("usc"))
-    target = inside(refs, F.struct(ids.parse_cite(F.coalesce("cite", F.lit("")), "legal_doc").alias("c")), "ref")
-    rows = children.join(full, ["bill_id", "pos"], "left").join(scope, ["bill_id", "box_pos"], "left")
-    for part in (marked("term"), marked("quote"), heading, target):
-        rows = rows.join(part, ["bill_id", "pos"], "left")
-    text = F.coalesce("full_text", F.lit(""))
-    by_ref = is_by_reference(text)
+    own = boxed.where(live & (child.isNull() | ~nd.is_level(child)))
+    scope = own.groupBy("bill_id", F.col("box.pos").alias("box_pos")).agg(tx.clean_inline(nd.ordered_text()).alias("scope_text"))
+    first_head = F.filter("head", lambda x: x["at"] == F.array_min(F.transform("head", lambda y: y["at"])))
+    refs = _boxed(_body(nodes).where((F.col("tag") == "external-xref") & F.col("legal_doc").startswith("usc")))
+    target = refs.where(nd.is_level(F.col("child"))).groupBy("bill_id", F.col("child.pos").alias("pos")).agg(
+        F.min_by(F.struct(ids.parse_cite(F.coalesce("cite", F.lit("")), "legal_doc").alias("c")), F.col("pos")).alias("ref"))
+    rows = rows.join(scope, ["bill_id", "box_pos"], "left").join(target, ["bill_id", "pos"], "left")
+    text = tx.clean_inline(F.array_join(F.transform("all", lambda x: x["t"]), " "))
+    by_ref = is_by_reference("text")
     return (
-        rows.withColumn("surface_form", F.coalesce("term", "quote", tx.blank_to_null("heading")))
+        rows.withColumn("text", text).withColumn("surface_form", F.coalesce(_first_text(F.col("term")), _first_text(F.col("quote")), _first_text(first_head)))
         .where(F.col("surface_form").isNotNull())
         .select(
             "bill_id", "pos", "local_id", "container_id", "surface_form",
             scope_of(F.coalesce("scope_text", F.lit(""))).alias("scope"),
-            F.substring(text, 1, fixed.DEFINITION_CHARS).alias("definition_text"),
+            F.substring("text", 1, fixed.DEFINITION_CHARS).alias("definition_text"),
             F.when(by_ref, "by_reference").otherwise("direct").alias("definition_type"),
             F.when(by_ref, F.col("ref.c.statute_id")).alias("statute_id"),
             F.when(by_ref, F.col("ref.c.label")).alias("statute_label"),
@@ -168,7 +163,7 @@ def amendments(nodes: DataFrame) -> DataFrame:
     )
     boxes = blocks.select("bill_id", F.col("pos").alias("block"), F.posexplode(
         F.filter("around", nd.is_level)).alias("depth", "p")).select("bill_id", "block", "depth", F.col("p.pos").alias("pos"))
-    prose = nd.container_text(frags, boxes.select("bill_id", "pos").distinct(), "prose").withColumn(
+    prose = nd.quoting_container_text(frags, "prose").withColumn(
         "prose", F.substring("prose", 1, fixed.OPERATION_CHARS)).where("prose != ''")
     prose = boxes.join(prose, ["bill_id", "pos"]).groupBy("bill_id", F.col("block").alias("pos")).agg(
         F.max_by("prose", "depth").alias("prose"))

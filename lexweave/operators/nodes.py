@@ -1,11 +1,13 @@
 """Documents -> one row per XML element, and the text fragments they hold.
 
-The only Python here turns one document's tree into flat rows. Everything a legal text
-means (sections, citations, terms, amendments) is decided later by DataFrame code over
-these rows.
+The only Python here turns one document's tree into flat rows and marks, along each path,
+which elements have a container or a quoted block below them and which are headed as
+definitions. What that means (sections, citations, terms, amendments) is decided by DataFrame
+code over these rows, mostly without looking at any other row.
 """
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
@@ -19,17 +21,18 @@ from lexweave.functions.text import clean_inline
 NODE_SCHEMA = (
     "bill_id string, error string, body_pos int, has_body boolean, pos int, end int, tag string, id string,"
     "legal_doc string, cite string, date string, stage string, text string, tail string,"
-    "path array<struct<pos:int,end:int,tag:string,id:string,holds:boolean>>"
+    "path array<struct<pos:int,end:int,tag:string,id:string,holds:boolean,quotes:boolean,defines:boolean>>"
 )
 _ATTRS = ["id", "legal-doc", "parsable-cite", "date", "bill-stage"]
+_MARKS = ["holds", "quotes", "defines"]
 _PATH = pa.struct([("pos", pa.int32()), ("end", pa.int32()), ("tag", pa.string()),
-                   ("id", pa.string()), ("holds", pa.bool_())])
+                   ("id", pa.string()), *((m, pa.bool_()) for m in _MARKS)])
 
 
 def _tree_rows(root: ET.Element) -> dict:
     """Document order columns of a tree; ``pos``/``end`` number the start and end events."""
-    out = {k: [] for k in ("pos", "end", "tag", "text", "tail", "chain", "holds", *_ATTRS)}
-    clock, todo = 0, [(root, (), None)]
+    out = {k: [] for k in ("pos", "end", "tag", "text", "tail", "chain", *_MARKS, *_ATTRS)}
+    clock, todo, headed = 0, [(root, (), None)], set()
     while todo:
         elem, chain, closing = todo.pop()
         if closing is not None:
@@ -40,13 +43,16 @@ def _tree_rows(root: ET.Element) -> dict:
         chain += (row,)
         tag = elem.tag.rsplit("}", 1)[-1]
         for key, value in (("pos", clock), ("end", -1), ("tag", tag), ("text", elem.text),
-                           ("tail", elem.tail), ("chain", chain), ("holds", False)):
+                           ("tail", elem.tail), ("chain", chain), *((m, False) for m in _MARKS)):
             out[key].append(value)
         for name in _ATTRS:
             out[name].append(elem.get(name))
-        if tag in fixed.LEVELS:
-            for above in chain[:-1]:
-                out["holds"][above] = True
+        mark = "holds" if tag in fixed.LEVELS else "quotes" if tag == "quoted-block" else None
+        for above in chain[:-1] if mark else ():
+            out[mark][above] = True
+        if tag in fixed.HEADING_TAGS and len(chain) > 1 and chain[-2] not in headed:
+            headed.add(chain[-2])
+            out["defines"][chain[-2]] = bool(re.match(fixed.DEFINITIONS_HEADING, " ".join(" ".join(elem.itertext()).split())))
         clock += 1
         todo.append((elem, chain, row))
         todo.extend((child, chain, None) for child in reversed(elem))
@@ -63,7 +69,7 @@ def _document_batch(bill_id: str, xml: bytes) -> pa.RecordBatch:
     col = {k: pa.array(rows[k], pa.int32()) for k in ("pos", "end")}
     col |= {k: pa.array(rows[k], pa.string()) for k in ("tag", "text", "tail", *_ATTRS)}
     elements = pa.StructArray.from_arrays(
-        [col["pos"], col["end"], col["tag"], col["id"], pa.array(rows["holds"], pa.bool_())],
+        [col["pos"], col["end"], col["tag"], col["id"], *[pa.array(rows[m], pa.bool_()) for m in _MARKS]],
         fields=list(_PATH))
     offsets, flat = [0], []
     for chain in rows["chain"]:
@@ -181,21 +187,11 @@ def subtree_text(frags: DataFrame, tags: list[str], skip_quotes: bool, out: str)
     )
 
 
-def container_text(frags: DataFrame, wanted: DataFrame, out: str, own_only: bool = False) -> DataFrame:
-    """Text of the wanted containers outside quoted blocks: ``bill_id, pos, <out>``.
-
-    ``own_only`` leaves out nested containers. ``wanted`` holds ``bill_id, pos``.
-    """
-    def step(p: Column, i: Column) -> Column:
-        keep = is_level(p)
-        if own_only:
-            below = F.try_element_at("rel", (i + 2).cast("int"))
-            keep = keep & (below.isNull() | ~is_level(below))
-        return F.when(keep, p["pos"])
-
+def quoting_container_text(frags: DataFrame, out: str) -> DataFrame:
+    """Text, outside quoted blocks, of every container that has one below: ``bill_id, pos, <out>``."""
+    around = F.transform(F.filter("rel", lambda p: is_level(p) & p["quotes"]), lambda p: p["pos"])
     return (
-        frags.where(outside_quotes())
-        .select("bill_id", "ord", "txt", F.explode(F.array_compact(F.transform("rel", step))).alias("pos"))
-        .join(wanted.select("bill_id", "pos"), ["bill_id", "pos"], "left_semi")
+        frags.where(outside_quotes()).where(F.exists("rel", lambda p: is_level(p) & p["quotes"]))
+        .select("bill_id", "ord", "txt", F.explode(around).alias("pos"))
         .groupBy("bill_id", "pos").agg(clean_inline(ordered_text()).alias(out))
     )

@@ -26,7 +26,7 @@ def _locate(frags: DataFrame) -> DataFrame:
             F.slice("inner", F.lit(1), F.greatest(F.col("stop") - 1, F.lit(0)))))
         .withColumn("k", (F.size("run") - F.array_position(
             F.reverse(F.transform("run", nd.is_level)), F.lit(True)) + 1).cast("int"))
-        .withColumn("owner", F.element_at("run", F.greatest("k", F.lit(1))))
+        .withColumn("owner", F.try_element_at("run", F.greatest("k", F.lit(1))))
         .withColumn("below", F.try_element_at("inner", F.greatest("k", F.lit(1)) + 1))
         .withColumn("chain", F.transform(F.filter("run", nd.is_level), lambda p: p["pos"]))
         .withColumn("direct", (F.col("first") == 1) & (F.size("chain") == 1))
