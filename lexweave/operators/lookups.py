@@ -23,12 +23,12 @@ class Near:
 
     The rows are counted up to ``FEW_ROWS`` once. If they fit, their keys are broadcast and a table
     is filtered where it lies, so a point question never shuffles it. If not, tables stay whole and
-    are joined by shuffling.
+    are joined by shuffling. ``check=False`` (a request batch known to be large) skips the count.
     """
 
-    def __init__(self, rows: DataFrame):
+    def __init__(self, rows: DataFrame, check: bool = True):
         self.rows = rows
-        self.few = rows.limit(FEW_ROWS + 1).count() <= FEW_ROWS
+        self.few = check and rows.limit(FEW_ROWS + 1).count() <= FEW_ROWS
 
     def __call__(self, table: DataFrame, key: str) -> DataFrame:
         if not self.few:
@@ -85,18 +85,18 @@ def bill_sources() -> Column:
 
 
 def section_lookup(requests: DataFrame, sections: DataFrame, bills: DataFrame, cites: DataFrame,
-                   internal: DataFrame | None = None, as_of: bool = False) -> DataFrame:
+                   internal: DataFrame | None = None, as_of: bool = False, few: bool = False) -> DataFrame:
     """Sections by id with children, citation counts and version; unknown ids come back flagged.
 
     ``requests``: ``section_id`` (and ``as_of`` date when the flag is set, which only adds a note).
     """
-    near = Near(requests.select("section_id"))
+    near = Near(requests.select("section_id"), few)
     wanted = requests.join(near(sections, "section_id"), "section_id", "left").withColumn("not_found", F.col("section_urn").isNull())
-    parents = Near(requests.select(F.col("section_id").alias("parent_section_id")))
+    parents = Near(requests.select(F.col("section_id").alias("parent_section_id")), few)
     kids = ordered_list(
         parents.only(sections, "parent_section_id").withColumnRenamed("parent_section_id", "p"), "p", ["ordinal", "section_id"], F.col("section_id"), "child_section_ids"
     ).withColumnRenamed("p", "section_id")
-    found = Near(wanted.where(~F.col("not_found")).select("bill_id", "section_urn", F.col("section_urn").alias("target_urn")))
+    found = Near(wanted.where(~F.col("not_found")).select("bill_id", "section_urn", F.col("section_urn").alias("target_urn")), few)
     bill = found(bills.select("bill_id", "canonical_package_id", "canonical_version_code", "canonical_version_date"), "bill_id")
     counts = adjacency(found(cites, "section_urn"), None if internal is None else found(internal, "target_urn"))
     note = F.when(F.col("not_found"), "section_id not found in corpus")
@@ -140,10 +140,13 @@ def adjacency(cites: DataFrame, internal: DataFrame | None = None) -> DataFrame:
 
 
 # -- terms -----------------------------------------------------------------
-def terms_of(bill_urns: DataFrame, terms: DataFrame, sections: DataFrame, statutes: DataFrame) -> DataFrame:
-    """Defined terms of the requested bills, one row per term id, with citation and target."""
-    mine = Near(bill_urns).only(terms, "bill_urn")
-    near = Near(mine.select("section_urn", "statute_id"))
+def terms_of(bill_urns: DataFrame, terms: DataFrame, sections: DataFrame, statutes: DataFrame, few: bool = False) -> DataFrame:
+    """Defined terms of the requested bills, one row per term id, with citation and target.
+
+    ``few`` says that little is asked for (it is checked): tables are then filtered in place.
+    """
+    mine = Near(bill_urns, few).only(terms, "bill_urn")
+    near = Near(mine.select("section_urn", "statute_id"), few)
     return (
         keep_first(mine, ["term_id"], [F.col("section_urn"), F.col("surface_form"), F.col("definition_type"), F.col("statute_id")])
         .join(near(_cites(sections), "section_urn"), "section_urn", "left").join(near(_statutes(statutes), "statute_id"), "statute_id", "left")
@@ -194,10 +197,10 @@ def definitions_of(terms: DataFrame, bills: DataFrame, sections: DataFrame, stat
 
 
 # -- amendments ------------------------------------------------------------
-def amendments_of(bill_urns: DataFrame, amends: DataFrame, sections: DataFrame, statutes: DataFrame) -> DataFrame:
+def amendments_of(bill_urns: DataFrame, amends: DataFrame, sections: DataFrame, statutes: DataFrame, few: bool = False) -> DataFrame:
     """Operations issued by the requested bills; the target is optional."""
-    mine = Near(bill_urns).only(amends, "bill_urn")
-    near = Near(mine.select("section_urn", "statute_id"))
+    mine = Near(bill_urns, few).only(amends, "bill_urn")
+    near = Near(mine.select("section_urn", "statute_id"), few)
     return (
         mine.join(near(_cites(sections), "section_urn"), "section_urn", "left").join(near(_statutes(statutes), "statute_id"), "statute_id", "left")
         .select("bill_urn", "amendment_id", "section_urn", F.coalesce("section_citation", F.lit("")).alias("citation"),
@@ -220,7 +223,7 @@ def bills_amending(amends: DataFrame, bills: DataFrame, statutes: DataFrame, wan
     ``wanted`` restricts the statutes (a condition on ``statute_id``).
     """
     rows = amends.where(F.col("statute_id").isNotNull() if wanted is None else wanted)
-    near = Near(rows.select("bill_urn", "statute_id"))
+    near = Near(rows.select("bill_urn", "statute_id"), wanted is not None)
     return (
         rows.groupBy("statute_id", "bill_urn")
         .agg(F.count_distinct("amendment_id").alias("n_operations"), F.sort_array(F.collect_set("operation_type")).alias("operation_types"))
@@ -231,12 +234,12 @@ def bills_amending(amends: DataFrame, bills: DataFrame, statutes: DataFrame, wan
 
 # -- citation graph --------------------------------------------------------
 def neighbourhood(roots: DataFrame, sections: DataFrame, cites: DataFrame, internal: DataFrame | None = None,
-                  direction: str = "both", types: list[str] | None = None, max_nodes: int = 50) -> DataFrame:
+                  direction: str = "both", types: list[str] | None = None, max_nodes: int = 50, few: bool = False) -> DataFrame:
     """Edges around each root section (``section_urn``), at most ``max_nodes`` per direction.
 
     ``truncated`` is set when the outgoing side is full. Unknown roots give no rows.
     """
-    known = Near(roots).only(sections.select("section_urn"), "section_urn").select(F.col("section_urn").alias("root"))
+    known = Near(roots, few).only(sections.select("section_urn"), "section_urn").select(F.col("section_urn").alias("root"))
     parts = []
     if types is None or "cites" in types:
         if direction in ("out", "both"):
@@ -248,13 +251,13 @@ def neighbourhood(roots: DataFrame, sections: DataFrame, cites: DataFrame, inter
     if not parts:
         return known.limit(0).select("root", *[F.lit(None).cast("string").alias(c) for c in ("source_id", "target_id", "direction")])
     edges = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    kept = top_k(Near(known).only(edges, "root"), ["root", "direction"], [F.col("source_id"), F.col("target_id")], max_nodes, "n")
+    kept = top_k(Near(known, few).only(edges, "root"), ["root", "direction"], [F.col("source_id"), F.col("target_id")], max_nodes, "n")
     full = kept.groupBy("root").agg(F.max(F.when(F.col("direction") == "out", F.col("n"))).alias("out_n"))
     return kept.drop("n").join(full, "root").withColumn("truncated", F.coalesce(F.col("out_n") == max_nodes, F.lit(False))).drop("out_n")
 
 
 # -- citation strings ------------------------------------------------------
-def resolve_citations(requests: DataFrame, bills: DataFrame, sections: DataFrame) -> DataFrame:
+def resolve_citations(requests: DataFrame, bills: DataFrame, sections: DataFrame, few: bool = False) -> DataFrame:
     """``Sec. 3(a)(1) of H.R. N[, Cth Cong.]`` -> section ids.
 
     ``requests``: ``request_id, text``. Without a congress every bill of that type and number is a
@@ -263,18 +266,18 @@ def resolve_citations(requests: DataFrame, bills: DataFrame, sections: DataFrame
     """
     p = fixed.SECTION_OF_BILL
     stripped = lambda e: F.regexp_replace(e, "^0+", "")
-    subs = F.regexp_extract_all(F.coalesce(tx.grab("text", p, 2), F.lit("")), F.lit(r"\(([0-9a-zA-Z]+)\)"), F.lit(1))
-    first = stripped(tx.grab("text", p, 1))
+    group = lambda i: tx.blank_to_null(F.regexp_extract("text", p, i))
+    subs = F.regexp_extract_all(F.coalesce(group(2), F.lit("")), F.lit(r"\(([0-9a-zA-Z]+)\)"), F.lit(1))
+    first = stripped(group(1))
     parsed = requests.select(
-        "request_id", ids.bill_type(tx.grab("text", p, 3)).alias("bill_type"), tx.grab("text", p, 4).cast("long").alias("bill_number"),
-        tx.blank_to_null(tx.grab("text", p, 5)).cast("long").alias("asked_congress"),
-        F.concat(F.array(F.when(first == "", "0").otherwise(first)), subs).alias("enums"))
+        "request_id", ids.bill_type(group(3)).alias("bill_type"), group(4).cast("long").alias("bill_number"),
+        group(5).cast("long").alias("asked_congress"), F.concat(F.array(F.when(first == "", "0").otherwise(first)), subs).alias("enums"))
     cand = (
         parsed.join(bills.select("bill_id", "bill_type", "bill_number", "congress"), ["bill_type", "bill_number"])
         .where(F.col("asked_congress").isNull() | (F.col("asked_congress") == F.col("congress")))
         .withColumn("key", F.transform("enums", stripped))
     )
-    named = Near(cand.select("bill_id"))(sections, "bill_id").where(F.size("enum_path") == F.size("ancestor_path")).select(
+    named = Near(cand.select("bill_id"), few)(sections, "bill_id").where(F.size("enum_path") == F.size("ancestor_path")).select(
         "bill_id", "section_id", "ordinal", "enum_path", F.transform("enum_path", stripped).alias("key"))
     match = cand.join(named, ["bill_id", "key"]).where(F.forall(
         F.zip_with("enums", "enum_path", lambda a, b: (a == b) | (stripped(a) == b)), lambda x: x))

@@ -50,28 +50,28 @@ class Knowledge:
 
     def get_section(self, section_id: str, as_of: str | None = None) -> DataFrame:
         asked = self.spark.range(1).select(F.lit(section_id).alias("section_id"), F.lit(as_of).cast("date").alias("as_of"))
-        return lookups.section_lookup(asked, self.sections, self.bills, self.citations, as_of=True)
+        return lookups.section_lookup(asked, self.sections, self.bills, self.citations, as_of=True, few=True)
 
     def get_section_tree(self, bill: str) -> DataFrame:
         """Every section of a bill with its own text; order by ``pos``."""
         return tree.own_text(lookups.Near(self._urn(bill)).only(self.sections, "bill_urn"))
 
     def get_defined_terms(self, bill: str) -> DataFrame:
-        return lookups.terms_of(self._urn(bill), self.defined_terms, self.sections, self.statute_sections)
+        return lookups.terms_of(self._urn(bill), self.defined_terms, self.sections, self.statute_sections, few=True)
 
     def get_amendments(self, bill: str) -> DataFrame:
-        return lookups.amendments_of(self._urn(bill), self.amendments, self.sections, self.statute_sections)
+        return lookups.amendments_of(self._urn(bill), self.amendments, self.sections, self.statute_sections, few=True)
 
     def get_citation_graph(self, section: str, direction: str = "both", types: list[str] | None = None, max_nodes: int = 50) -> DataFrame:
         root = self.spark.range(1).select(ids.to_section_urn(F.lit(section)).alias("section_urn"))
-        return lookups.neighbourhood(root, self.sections, self.citations, None, direction, types, max_nodes)
+        return lookups.neighbourhood(root, self.sections, self.citations, None, direction, types, max_nodes, few=True)
 
     def get_amendments_targeting(self, statute: str) -> DataFrame:
         return lookups.amendments_targeting(self.amendments, self.sections, self.statute_sections, statute)
 
     def resolve_citation(self, text: str) -> DataFrame:
         asked = self.spark.range(1).select(F.lit(0).alias("request_id"), F.lit(text).alias("text"))
-        return lookups.resolve_citations(asked, self.bills, self.sections)
+        return lookups.resolve_citations(asked, self.bills, self.sections, few=True)
 
     def find_bills_defining(self, term: str, also_match: list[str] = (), definition_type: str | None = None, by_reference_to: str | None = None) -> DataFrame:
         return lookups.bills_defining(self.defined_terms, self.bills, self.sections, self.statute_sections, term, also_match, definition_type, by_reference_to)

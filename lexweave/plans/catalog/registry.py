@@ -9,7 +9,7 @@ from lexweave.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-HEAVY = {"documents", "pages", "conversations", "embeddings"}
+HEAVY = {"documents", "pages", "conversations", "embeddings", "orders", "lineitem"}
 
 
 def query(name: str, sql: str | None = None):
