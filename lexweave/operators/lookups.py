@@ -37,8 +37,8 @@ class Near:
 
     def only(self, table: DataFrame, key: str) -> DataFrame:
         """Exactly the table rows the few (or many) rows refer to."""
-        keys = self.rows.select(key).distinct()
-        return table.join(F.broadcast(keys) if self.few else keys, key, "left_semi")
+        keys = self.rows.select(key)
+        return table.join(F.broadcast(keys) if self.few else keys.distinct(), key, "left_semi")
 
 
 def _cites(sections: DataFrame) -> DataFrame:
