@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lexweave import fixed
 from lexweave.functions.text import clean_inline
+from lexweave.session import ship_package
 
 NODE_SCHEMA = (
     "bill_id string, error string, body_pos int, has_body boolean, pos int, end int, tag string, id string,"
@@ -95,6 +96,7 @@ def elements(docs: DataFrame) -> DataFrame:
 
     An unreadable document yields a single row that carries ``error``.
     """
+    ship_package(docs.sparkSession)
     return docs.select("bill_id", "xml").mapInArrow(_flatten, NODE_SCHEMA)
 
 
