@@ -30,8 +30,14 @@ NUM, DEN = 80, 100
 GROUPS = 32
 #: Frequent shingles known to all tasks (a fixed bound), and how many each task may propose.
 FREQUENT, PROPOSED = 1 << 17, 4096
+#: A cell of a frequent shingle is dealt to so many parts.
+SALTS = 16
 BLOCK = 2048
 LEAF = 16
+#: Classes or pairs that a task remembers, to name each once.
+SEEN = 1 << 18
+#: The largest bitmap of wanted texts: 16 MB.
+MAX_BITS = 27
 
 
 # -- sets of shingles ------------------------------------------------------------------------------
@@ -126,51 +132,50 @@ def counts_of(u: np.ndarray) -> np.ndarray:
     return np.bincount((u & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32)
 
 
-SIGNED = "doc_id long, th long, cls long, n long, counts array<int>, cells array<long>"
+def class_of(u: np.ndarray) -> int | None:
+    return int.from_bytes(hashlib.blake2b(u.tobytes(), digest_size=8).digest(), "little", signed=True) if len(u) else None
+
+
+SIGNED = "doc_id long, th long, cls long, n long, counts array<int>, cells array<long>, rare int"
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """Per row its text's class (a digest of the shingle set), set size, count vector and cells."""
+    """Per row its text's class (a digest of the shingle set), set size, count vector and cells, of which the first ``rare`` are not frequent.
+
+    Of rows of one class that a task meets, the first names the cells; so a class that a third of all rows hold is no crowd.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(frequent(docs.select("t")))
 
     def run(batches):
-        f = shared.value
+        f, seen = shared.value, set()
         for b in slices(batches, "t"):
-            cls, n, counts, cells, at = [], [], [], [], [0]
+            cls, n, counts, cells, at, split = [], [], [], [], [0], []
             sets = list(shingle_sets(*text_bytes(b.column("t"))))
             ranks = f.rank(np.concatenate(sets))
             start = 0
             for u in sets:
                 r = ranks[start: start + len(u)]
                 start += len(u)
-                p = prefix_length(len(u)) if len(u) else 0
+                c = class_of(u)
+                p = prefix_length(len(u)) if len(u) and c not in seen else 0
+                if len(seen) < SEEN:
+                    seen.add(c)
                 rare = u[r == 0][:p]
                 common = np.flatnonzero(r)
                 extra = u[common[np.argsort(r[common])][: p - len(rare)]] if len(rare) < p else u[:0]
-                cls.append(int.from_bytes(hashlib.blake2b(u.tobytes(), digest_size=8).digest(), "little", signed=True) if len(u) else None)
+                cls.append(c)
+                split.append(len(rare))
                 n.append(len(u))
                 counts.append(counts_of(u))
                 cells += [rare, extra]
                 at.append(at[-1] + p)
             flat = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(cells).view(np.int64)))
             grid = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * GROUPS, pa.int32()), pa.array(np.concatenate(counts)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), grid, flat],
-                                             ["doc_id", "th", "cls", "n", "counts", "cells"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), grid, flat, pa.array(split, pa.int32())],
+                                             ["doc_id", "th", "cls", "n", "counts", "cells", "rare"])
     return docs.mapInArrow(run, SIGNED)
 
 
-def full_sets(docs: DataFrame) -> DataFrame:
-    """Per row its class and the whole set."""
-    def run(batches):
-        for b in slices(batches, "t"):
-            sets = [u for u in shingle_sets(*text_bytes(b.column("t"))) if len(u)]
-            cls = [int.from_bytes(hashlib.blake2b(u.tobytes(), digest_size=8).digest(), "little", signed=True) for u in sets]
-            at = np.append(0, np.cumsum([len(u) for u in sets])).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(
-                np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)))], ["cls", "set"])
-    return docs.mapInArrow(run, "cls long, set array<long>")
-
-
 # -- trees of bounding boxes -----------------------------------------------------------------------
 
 class Tree(NamedTuple):
@@ -250,17 +255,98 @@ def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # -- the join --------------------------------------------------------------------------------------
 
-def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (x, y) that are links: bounded by size and counts first, then by the sets themselves."""
+def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (cell, part, class) in; out the pairs (x, y) of the least class of a part and every other one.
+
+    ``cell`` is null where the pair is all there is to compare. Otherwise the row also keeps y as a member of
+    the cell: in a rare cell all but the least, in a cell dealt to parts all, the least being its own x.
+    Only the row before is remembered, so a cell of any size passes through.
+    """
+    now = lead = last = second = None
+    seen: set[tuple[int, int]] = set()
+    out: list[tuple[int | None, int, int]] = []
+
+    def end():
+        if second is not None and (lead, second) not in seen:
+            if len(seen) < SEEN:
+                seen.add((lead, second))
+            out.append((None, lead, second))
+
+    for b in batches:
+        for cell, part, c in zip(*(b.column(k).to_pylist() for k in ("cell", "part", "cls"))):
+            if (cell, part) != now:
+                end()
+                now, lead, last, second = (cell, part), c, c, None
+                if part >= 0:
+                    out.append((cell, c, c))
+            elif c != last:
+                if part >= 0:
+                    out.append((cell, lead, c))
+                elif last == lead:
+                    second = c
+                else:
+                    if second is not None:
+                        out.append((cell, lead, second))
+                        second = None
+                    out.append((cell, lead, c))
+                last = c
+        if len(out) > 50_000:
+            yield pa.RecordBatch.from_pydict(dict(zip(("cell", "x", "y"), map(list, zip(*out)))), schema=STARS)
+            out.clear()
+    end()
+    if out:
+        yield pa.RecordBatch.from_pydict(dict(zip(("cell", "x", "y"), map(list, zip(*out)))), schema=STARS)
+
+
+STARS = pa.schema([("cell", pa.int64()), ("x", pa.int64()), ("y", pa.int64())])
+
+
+def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (x, y) that are links: bounded by size and counts first, then by the sets themselves.
+
+    Only texts of classes in pairs that pass the bounds are read again and brought together.
+    """
     c = classes.select("cls", "n", "counts")
     a, b = (c.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("counts").alias(f"c{k}")) for k in "xy")
     bound = F.aggregate(F.zip_with("cx", "cy", lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
-    likely = (pairs.join(a, "x").join(b, "y").where((DEN * F.col("nx") >= NUM * F.col("ny")) & (DEN * F.col("ny") >= NUM * F.col("nx")))
-              .where(DEN * bound >= NUM * (F.col("nx") + F.col("ny") - bound)).select("x", "y", "nx", "ny"))
-    sx, sy = sets.select(F.col("cls").alias("x"), F.col("set").alias("sx")), sets.select(F.col("cls").alias("y"), F.col("set").alias("sy"))
-    both = F.size(F.array_intersect("sx", "sy"))
-    met = likely.join(sx, "x").join(sy, "y").withColumn("both", both)
-    return met.where(DEN * F.col("both") >= NUM * (F.col("nx") + F.col("ny") - F.col("both"))).select("x", "y")
+    sized = (DEN * F.col("nx") >= NUM * F.col("ny")) & (DEN * F.col("ny") >= NUM * F.col("nx"))
+    likely = stage(pairs.join(a, "x").join(b, "y").where(sized).where(DEN * bound >= NUM * (F.col("nx") + F.col("ny") - bound)).select("x", "y"), "likely")
+    wanted = stage(likely.select(F.explode(F.array("x", "y")).alias("cls")).distinct().join(classes, "cls").select(
+        "cls", F.col("first.doc_id").alias("_d"), F.col("first.th").alias("_t")), "wanted")
+    held = (among(texts, wanted).join(wanted, texts["doc_id"].eqNullSafe(wanted["_d"]) & (texts["th"] == wanted["_t"])).select("cls", "t").dropDuplicates(["cls"]))
+    held = stage(held, "texts")
+    tx, ty = held.select(F.col("cls").alias("x"), F.col("t").alias("tx")), held.select(F.col("cls").alias("y"), F.col("t").alias("ty"))
+    return likely.join(tx, "x").join(ty, "y").mapInArrow(linked, "x long, y long")
+
+
+def among(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Texts that may be wanted, by a bitmap of hashed keys of at most 2^MAX_BITS bits; a join then tells exactly.
+
+    So a join with many wanted keys need not shuffle all texts. Where the keys outgrow the bitmap it lets more
+    pass, never fewer.
+    """
+    bits = 1 << min(MAX_BITS, max(16, (16 * wanted.count()).bit_length()))
+    place = lambda d, t: F.pmod(F.xxhash64(d, t), F.lit(bits))
+    at = wanted.select(place(F.col("_d"), F.col("_t")).alias("p"))
+    cells = at.groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("b")).toArrow()
+    grid = np.zeros(bits >> 5, np.uint32)
+    grid[cells["w"].to_numpy()] = cells["b"].to_numpy().astype(np.uint32)
+    shared = texts.sparkSession.sparkContext.broadcast(grid)
+
+    def run(batches):
+        for b in batches:
+            p = b.column("p").to_numpy()
+            yield b.filter(pa.array((shared.value[p >> 5] >> (p & 31).astype(np.uint32)) & 1 == 1)).drop_columns(["p"])
+    return texts.withColumn("p", place(F.col("doc_id"), F.col("th"))).mapInArrow(run, texts.schema)
+
+
+def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for b in slices([whole], "tx"):
+            a, c = (list(shingle_sets(*text_bytes(b.column(k)))) for k in ("tx", "ty"))
+            n = np.array([len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(a, c)], np.int64)
+            total = np.array([len(p) + len(q) for p, q in zip(a, c)], np.int64) - n
+            yield b.select(["x", "y"]).filter(pa.array(DEN * n >= NUM * total))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -291,11 +377,10 @@ def components(links: DataFrame) -> DataFrame:
 def cell_pairs(members: DataFrame, classes: DataFrame, comps: DataFrame) -> DataFrame:
     """Pairs in one cell, of classes in different components, whose count vectors allow a link.
 
-    The least class of a cell has been compared with all others already and stays away. Cells whose
-    others lie in one component are done. A cell of more than BLOCK members is cut into blocks by
-    hash, and every two blocks meet in a task of their own.
+    Cells whose members lie in one component are done. A cell of more than BLOCK members is cut into
+    blocks by hash, and every two blocks meet in a task of their own.
     """
-    known = members.where("cls != lead").join(comps, F.col("cls") == F.col("node"), "left").select("cell", "cls", F.coalesce("comp", "cls").alias("comp"))
+    known = members.join(comps, F.col("cls") == F.col("node"), "left").select("cell", "cls", F.coalesce("comp", "cls").alias("comp"))
     open_cells = known.groupBy("cell").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("m")).where("a != b")
     many = open_cells.select("cell", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     dealt = known.join(many, "cell").withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
@@ -316,7 +401,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     repeated rows and equal sets are one class that needs no pairs; an empty table gives an empty
     one; further columns play no part. Two different sets would be taken as one only if their 64-bit digests met.
 
-    First every class is compared with the least class of each of its cells; what is then connected
+    First every class is compared with the least class of each of its cells (of each part, where the shingle is frequent); what is then connected
     needs no further pairs, so a group of copies costs as many comparisons as it has members. Cells in which
     several components are left are searched with their trees.
     """
@@ -326,16 +411,11 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     filled = mine.where("n > 0")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     classes = stage(filled.groupBy("cls").agg(F.min(first).alias("first"), F.first("n").alias("n"), F.first("counts").alias("counts")), "classes")
-    named = filled.select("cls", F.explode("cells").alias("cell"))
-    leads = named.groupBy("cell").agg(F.min("cls").alias("lead"), F.max("cls").alias("last")).where("lead != last").select("cell", "lead")
-    members = stage(named.join(leads, "cell").groupBy("cell", "cls").agg(F.first("lead").alias("lead")), "members")
-    wanted = members.select("cls").distinct().join(classes, "cls").select("cls", "first.doc_id", "first.th")
-    texts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["th"] == wanted["th"]), "left_semi")
-    sets = stage(full_sets(texts.select("t")).dropDuplicates(["cls"]), "sets")
-    stars = members.where("cls != lead").select(F.col("lead").alias("x"), F.col("cls").alias("y")).distinct()
-    links = stage(verified(stars, classes, sets), "links")
-    comps = components(links)
-    more = verified(cell_pairs(members, classes, comps), classes, sets)
+    part = F.when(F.col("pos") >= F.col("rare"), F.pmod(F.col("cls"), F.lit(SALTS)).cast("int")).otherwise(-1)
+    named = filled.select("cls", "rare", F.posexplode("cells").alias("pos", "cell")).select("cell", part.alias("part"), "cls")
+    met = stage(named.repartition("cell", "part").sortWithinPartitions("cell", "part", "cls").mapInArrow(stars, "cell long, x long, y long"), "stars")
+    links = stage(verified(met.where("x != y").select("x", "y").distinct(), classes, rows), "links")
+    more = verified(cell_pairs(met.where("cell is not null").select("cell", F.col("y").alias("cls")), classes, components(links)), classes, rows)
     final = components(stage(links.unionByName(more), "links"))
     placed = classes.join(final, F.col("cls") == F.col("node"), "left").select("cls", "first", F.coalesce("comp", "cls").alias("group"))
     heads = placed.groupBy("group").agg(F.min("first").alias("head"))
