@@ -313,7 +313,7 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFram
     likely = stage(pairs.join(a, "x").join(b, "y").where(sized).where(DEN * bound >= NUM * (F.col("nx") + F.col("ny") - bound)).select("x", "y"), "likely")
     wanted = stage(likely.select(F.explode(F.array("x", "y")).alias("cls")).distinct().join(classes, "cls").select(
         "cls", F.col("first.doc_id").alias("_d"), F.col("first.th").alias("_t")), "wanted")
-    held = (among(texts, wanted).join(wanted, texts["doc_id"].eqNullSafe(wanted["_d"]) & (texts["th"] == wanted["_t"])).select("cls", "t").dropDuplicates(["cls"]))
+    held = (among(texts, wanted).join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t"))).select("cls", "t").dropDuplicates(["cls"]))
     held = stage(held, "texts")
     tx, ty = held.select(F.col("cls").alias("x"), F.col("t").alias("tx")), held.select(F.col("cls").alias("y"), F.col("t").alias("ty"))
     return likely.join(tx, "x").join(ty, "y").mapInArrow(linked, "x long, y long")
