@@ -11,6 +11,7 @@ in the order of rising frequency. No pair is lost, and most cells hold one text.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -27,11 +28,11 @@ from lexweave.sources.tables import stage
 SHINGLE = 5
 #: The threshold as a share of whole numbers, so that nothing is rounded.
 NUM, DEN = 80, 100
-GROUPS = 32
-#: Frequent shingles known to all tasks (a fixed bound), and how many each task may propose.
-FREQUENT, PROPOSED = 1 << 17, 4096
-#: A cell of a frequent shingle is dealt to so many parts.
-SALTS = 16
+GROUPS = 256
+#: Frequent shingles known to all tasks (a fixed bound), and the share of a text's shingles that is counted for them.
+FREQUENT, COUNTED = 1 << 20, 0.25
+#: A cell of a frequent shingle is dealt to parts of about so many texts.
+PART = 256
 BLOCK = 2048
 LEAF = 16
 #: Classes or pairs that a task remembers, to name each once.
@@ -74,54 +75,50 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
-def proposals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The shingles that most texts of this task hold, with the number of texts."""
-    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for b in slices(batches, "t"):
-        sets = list(shingle_sets(*text_bytes(b.column("t"))))
-        k, c = np.unique(np.concatenate(sets), return_counts=True)
-        k, c = np.concatenate([keys, k[c > 1]]), np.concatenate([counts, c[c > 1]])
-        keys, back = np.unique(k, return_inverse=True)
-        counts = np.bincount(back, c, len(keys)).astype(np.int64)
-        if len(keys) > 4 * PROPOSED:
-            top = np.argsort(-counts, kind="stable")[: 2 * PROPOSED]
-            keys, counts = keys[top], counts[top]
-    top = np.argsort(-counts, kind="stable")[:PROPOSED]
-    top = top[counts[top] > 2]
-    if len(top):
-        yield pa.RecordBatch.from_pydict({"h": keys[top].view(np.int64), "n": counts[top]})
-
-
 class Frequent(NamedTuple):
-    """Frequent shingles sorted by hash, with their rank from rarest to commonest, and a bitmap to rule others out."""
+    """Frequent shingles sorted by hash, with the number of texts that count them, and a bitmap to rule others out."""
     keys: np.ndarray
-    ranks: np.ndarray
+    counts: np.ndarray
     bits: np.ndarray
 
-    def rank(self, u: np.ndarray) -> np.ndarray:
+    def count(self, u: np.ndarray) -> np.ndarray:
         """0 for shingles that are not frequent."""
         out = np.zeros(len(u), np.int64)
         maybe = np.flatnonzero(self.bits[(u >> np.uint64(40)).astype(np.int64)])
         if len(maybe) and len(self.keys):
             place = np.minimum(np.searchsorted(self.keys, u[maybe]), len(self.keys) - 1)
-            out[maybe] = np.where(self.keys[place] == u[maybe], self.ranks[place], 0)
+            out[maybe] = np.where(self.keys[place] == u[maybe], self.counts[place], 0)
         return out
 
 
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first shingles of every text by hash, a few more than its cells would be; of equal sets in one task, once."""
+    seen: set[int | None] = set()
+    for b in slices(batches, "t"):
+        new = []
+        for u in shingle_sets(*text_bytes(b.column("t"))):
+            c = class_of(u)
+            if c not in seen:
+                if len(seen) < SEEN:
+                    seen.add(c)
+                new.append(u[: int(COUNTED * len(u)) + 2])
+        if new:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(new).view(np.int64))], ["h"])
+
+
 def frequent(docs: DataFrame) -> Frequent:
-    """The commonest shingles of the whole table, at most FREQUENT of them.
+    """The commonest of the shingles that can be cells, at most FREQUENT of them.
 
-    They only set the order in which a text names its cells. Any order finds all pairs, so what
-    tasks do not propose costs time, never a result.
+    They only set the order in which a text names its cells, so that common passages come last. Any order
+    finds all pairs; a shingle that is not counted here costs time, never a result.
     """
-    rows = (docs.mapInArrow(proposals, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-            .orderBy(F.desc("n"), "h").limit(FREQUENT).collect())
-    keys = np.array([r.h for r in rows], np.int64).view(np.uint64)
-    ranks = np.arange(len(keys), 0, -1)
+    rows = (docs.mapInArrow(counted, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
+            .orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow())
+    keys, counts = rows["h"].to_numpy().view(np.uint64), rows["n"].to_numpy()
     order = np.argsort(keys)
     bits = np.zeros(1 << 24, bool)
     bits[(keys >> np.uint64(40)).astype(np.int64)] = True
-    return Frequent(keys[order], ranks[order], bits)
+    return Frequent(keys[order], counts[order], bits)
 
 
 def prefix_length(n: int) -> int:
@@ -136,11 +133,11 @@ def class_of(u: np.ndarray) -> int | None:
     return int.from_bytes(hashlib.blake2b(u.tobytes(), digest_size=8).digest(), "little", signed=True) if len(u) else None
 
 
-SIGNED = "doc_id long, th long, cls long, n long, counts array<int>, cells array<long>, rare int"
+SIGNED = "doc_id long, th long, cls long, n long, counts array<int>, cells array<long>, parts array<int>"
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """Per row its text's class (a digest of the shingle set), set size, count vector and cells, of which the first ``rare`` are not frequent.
+    """Per row its text's class (a digest of the shingle set), set size, count vector and cells, and into how many parts each cell is dealt.
 
     Of rows of one class that a task meets, the first names the cells; so a class that a third of all rows hold is no crowd.
     """
@@ -149,30 +146,32 @@ def signed(docs: DataFrame) -> DataFrame:
     def run(batches):
         f, seen = shared.value, set()
         for b in slices(batches, "t"):
-            cls, n, counts, cells, at, split = [], [], [], [], [0], []
+            cls, n, counts, cells, at, parts = [], [], [], [], [0], []
             sets = list(shingle_sets(*text_bytes(b.column("t"))))
-            ranks = f.rank(np.concatenate(sets))
+            counts_all = f.count(np.concatenate(sets))
             start = 0
             for u in sets:
-                r = ranks[start: start + len(u)]
+                r = counts_all[start: start + len(u)]
                 start += len(u)
                 c = class_of(u)
                 p = prefix_length(len(u)) if len(u) and c not in seen else 0
                 if len(seen) < SEEN:
                     seen.add(c)
-                rare = u[r == 0][:p]
-                common = np.flatnonzero(r)
-                extra = u[common[np.argsort(r[common])][: p - len(rare)]] if len(rare) < p else u[:0]
+                first = np.flatnonzero(r == 0)[:p]
+                if len(first) < p:
+                    common = np.flatnonzero(r)
+                    first = np.append(first, common[np.argsort(r[common], kind="stable")][: p - len(first)])
                 cls.append(c)
-                split.append(len(rare))
                 n.append(len(u))
                 counts.append(counts_of(u))
-                cells += [rare, extra]
+                cells.append(u[first])
+                parts.append(r[first] // PART + 1)
                 at.append(at[-1] + p)
             flat = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(cells).view(np.int64)))
+            dealt = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(parts).astype(np.int32)))
             grid = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * GROUPS, pa.int32()), pa.array(np.concatenate(counts)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), grid, flat, pa.array(split, pa.int32())],
-                                             ["doc_id", "th", "cls", "n", "counts", "cells", "rare"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), grid, flat, dealt],
+                                             ["doc_id", "th", "cls", "n", "counts", "cells", "parts"])
     return docs.mapInArrow(run, SIGNED)
 
 
@@ -220,37 +219,36 @@ def may_link(overlap: np.ndarray, n: int, m: np.ndarray) -> np.ndarray:
 
 
 def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (cell, block pair, side) in, pairs of classes of different components out, one tree per block."""
-    def flush(rows: list[tuple]) -> tuple[list[int], list[int]]:
-        cls = np.array([r[0] for r in rows], np.int64)
-        comp, side = np.array([r[1] for r in rows]), np.array([r[4] for r in rows])
-        sizes, points = np.array([r[2] for r in rows], np.int64), np.array([r[3] for r in rows], np.int32)
-        out: tuple[list[int], list[int]] = ([], [])
+    """Rows sorted by (cell, block) in, pairs of classes of different components out, one tree per block."""
+    def pairs(cls, comp, sizes, points, side) -> tuple[np.ndarray, np.ndarray]:
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         if not len(left) or not len(right) or comp.min() == comp.max():
-            return out
+            return cls[:0], cls[:0]
         t = Tree.pack(points[right], sizes[right])
-        for i in left.tolist():
+        x, y = [cls[:0]], [cls[:0]]
+        for i in left:
             js = right[t.search(points[i], int(sizes[i]))]
             js = js[(comp[js] != comp[i]) & ((side[js] == 1) | (cls[js] > cls[i]))]
-            out[0].extend([int(cls[i])] * len(js))
-            out[1].extend(cls[js].tolist())
-        return out
-
-    held, now = [], None
-    for b in batches:
-        for key, block, *row in zip(*(b.column(c).to_pylist() for c in ("cell", "block", "cls", "comp", "n", "counts", "side"))):
-            if (key, block) != now:
-                if len(held) > 1:
-                    x, y = flush(held)
-                    if x:
-                        yield pa.RecordBatch.from_pydict({"x": x, "y": y})
-                held, now = [], (key, block)
-            held.append(tuple(row))
-    if len(held) > 1:
-        x, y = flush(held)
-        if x:
-            yield pa.RecordBatch.from_pydict({"x": x, "y": y})
+            x.append(np.repeat(cls[i], len(js)))
+            y.append(cls[js])
+        return np.concatenate(x), np.concatenate(y)
+
+    held = None
+    for b in itertools.chain((pa.Table.from_batches([b]) for b in batches), [None]):
+        t = b if held is None else held if b is None else pa.concat_tables([held, b])
+        if t is None or not t.num_rows:
+            continue
+        cell, block, cls, comp, n, side = (t[k].to_numpy() for k in ("cell", "block", "cls", "comp", "n", "side"))
+        ends = np.flatnonzero((cell[1:] != cell[:-1]) | (block[1:] != block[:-1])) + 1
+        ends = np.append(ends, len(cell)) if b is None else ends
+        if len(ends):
+            points = t["counts"].combine_chunks().slice(0, int(ends[-1])).flatten().to_numpy().reshape(-1, GROUPS)
+            got = [pairs(cls[a:e], comp[a:e], n[a:e], points[a:e], side[a:e]) for a, e in zip([0, *ends[:-1]], ends) if e - a > 1]
+            x, y = (np.concatenate([cls[:0], *(g[k] for g in got)]) for k in (0, 1))
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
+            t = t.slice(int(ends[-1]))
+        held = t
 
 
 # -- the join --------------------------------------------------------------------------------------
@@ -301,20 +299,22 @@ def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 STARS = pa.schema([("cell", pa.int64()), ("x", pa.int64()), ("y", pa.int64())])
 
 
-def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (x, y) that are links: bounded by size and counts first, then by the sets themselves.
-
-    Only texts of classes in pairs that pass the bounds are read again and brought together.
-    """
+def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (x, y) whose sizes and count vectors allow a link."""
     c = classes.select("cls", "n", "counts")
     a, b = (c.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("counts").alias(f"c{k}")) for k in "xy")
     bound = F.aggregate(F.zip_with("cx", "cy", lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
     sized = (DEN * F.col("nx") >= NUM * F.col("ny")) & (DEN * F.col("ny") >= NUM * F.col("nx"))
-    likely = stage(pairs.join(a, "x").join(b, "y").where(sized).where(DEN * bound >= NUM * (F.col("nx") + F.col("ny") - bound)).select("x", "y"), "likely")
+    return pairs.join(a, "x").join(b, "y").where(sized & (DEN * bound >= NUM * (F.col("nx") + F.col("ny") - bound))).select("x", "y")
+
+
+def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (x, y) that are links by the sets themselves; only the texts of these pairs are read again and brought together."""
+    likely = stage(pairs, "likely")
     wanted = stage(likely.select(F.explode(F.array("x", "y")).alias("cls")).distinct().join(classes, "cls").select(
         "cls", F.col("first.doc_id").alias("_d"), F.col("first.th").alias("_t")), "wanted")
-    held = (among(texts, wanted).join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t"))).select("cls", "t").dropDuplicates(["cls"]))
-    held = stage(held, "texts")
+    match = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t"))
+    held = stage(among(texts, wanted).join(wanted, match).select("cls", "t").dropDuplicates(["cls"]), "texts")
     tx, ty = held.select(F.col("cls").alias("x"), F.col("t").alias("tx")), held.select(F.col("cls").alias("y"), F.col("t").alias("ty"))
     return likely.join(tx, "x").join(ty, "y").mapInArrow(linked, "x long, y long")
 
@@ -411,10 +411,10 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     filled = mine.where("n > 0")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     classes = stage(filled.groupBy("cls").agg(F.min(first).alias("first"), F.first("n").alias("n"), F.first("counts").alias("counts")), "classes")
-    part = F.when(F.col("pos") >= F.col("rare"), F.pmod(F.col("cls"), F.lit(SALTS)).cast("int")).otherwise(-1)
-    named = filled.select("cls", "rare", F.posexplode("cells").alias("pos", "cell")).select("cell", part.alias("part"), "cls")
+    part = F.when(F.col("c.parts") > 1, F.pmod(F.xxhash64("c.cells", "cls"), F.col("c.parts")).cast("int")).otherwise(-1)
+    named = filled.select("cls", F.explode(F.arrays_zip("cells", "parts")).alias("c")).select(F.col("c.cells").alias("cell"), part.alias("part"), "cls")
     met = stage(named.repartition("cell", "part").sortWithinPartitions("cell", "part", "cls").mapInArrow(stars, "cell long, x long, y long"), "stars")
-    links = stage(verified(met.where("x != y").select("x", "y").distinct(), classes, rows), "links")
+    links = stage(verified(bounded(met.where("x != y").select("x", "y").distinct(), classes), classes, rows), "links")
     more = verified(cell_pairs(met.where("cell is not null").select("cell", F.col("y").alias("cls")), classes, components(links)), classes, rows)
     final = components(stage(links.unionByName(more), "links"))
     placed = classes.join(final, F.col("cls") == F.col("node"), "left").select("cls", "first", F.coalesce("comp", "cls").alias("group"))
