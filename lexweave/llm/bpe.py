@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import functools
 import json
+import os
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -18,7 +19,9 @@ from lexweave.session import ship_package
 #: A stretch of more bytes is halved down to pieces of this size; a text of more bytes is spread over tasks.
 LEAF_BYTES = 4096
 LONG_BYTES = 1 << 20
-CACHE = 100_000
+ENCODE_BYTES = 8 << 20
+#: Chunks that a worker remembers, and chunks that are encoded put together.
+CACHE, JOINED = 200_000, 2000
 
 
 @functools.lru_cache(1)
@@ -39,6 +42,7 @@ class Codec:
     """One byte-level BPE vocabulary file; made once in each Python worker."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -56,7 +60,10 @@ class Codec:
         self.sizes = np.array([len(x) for x in raw], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.table = np.frombuffer(b"".join(raw), np.uint8)
-        self.known: dict[bytes, tuple[int, ...]] = {}
+        self.known = pa.array([], pa.large_binary())
+        self.known_ids, self.known_sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.sure = np.zeros(256, bool)
+        self.sure[[*range(0x21, 0x7F), *range(0xC3, 0xE0)]] = True
 
     # -- one stretch without split points ------------------------------------------------------
 
@@ -112,17 +119,53 @@ class Codec:
             ids += [token] if token is not None else self.halves(data, leaf)
         return ids
 
-    def chunk_ids(self, chunks: list[bytes], leaf: int) -> list[tuple[int, ...]]:
-        """The ids of chunks that no merge leaves, from the ones met before or else encoded now."""
-        new = [c for c in chunks if c not in self.known]
-        if len(self.known) + len(new) > CACHE:
-            self.known = {}
-            new = chunks
-        short = [c for c in new if len(c) <= leaf]
-        got = self.whole.encode_batch_fast([c.decode() for c in short], add_special_tokens=False)
-        self.known.update(zip(short, (tuple(e.ids) for e in got)))
-        self.known.update((c, tuple(self.long_text(c.decode(), leaf))) for c in new if len(c) > leaf)
-        return [self.known[c] for c in chunks]
+    def fresh(self, chunks: pa.LargeBinaryArray, leaf: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks, one after the other, and how many each has.
+
+        Chunks that begin with a blank and a byte that surely is no white space are encoded many at a time, put
+        together: between two of them the pre-tokenizer always splits, and the bytes of the tokens tell where.
+        """
+        data, offs = text_bytes(chunks)
+        size = np.diff(offs)
+        first, second = (data[np.minimum(offs[:-1] + k, len(data) - 1)] for k in (0, 1))
+        joined = (size > 1) & (size <= leaf) & (first == 0x20) & self.sure[second]
+        for token in self.added:
+            joined &= ~pc.match_substring(chunks, token.encode()).to_numpy(zero_copy_only=False)
+        many = np.flatnonzero(joined)
+        flat, at = text_bytes(chunks.take(pa.array(many)))
+        groups = np.unique(np.append(np.arange(0, len(many), JOINED), len(many)))
+        got = self.whole.encode_batch_fast([flat[at[i]: at[j]].tobytes().decode() for i, j in zip(groups[:-1], groups[1:])], add_special_tokens=False)
+        ids = np.concatenate([np.zeros(0, np.int32), *(np.array(e.ids, np.int32) for e in got)])
+        bounds = np.searchsorted(np.append(0, np.cumsum(self.sizes[ids])), at)
+        single = np.flatnonzero(~joined)
+        alone = [self.whole.encode(x, add_special_tokens=False).ids if n <= leaf else self.long_text(x, leaf)
+                 for x, n in zip(chunks.take(pa.array(single)).cast(pa.large_string()).to_pylist(), size[single])]
+        counts = np.zeros(len(chunks), np.int64)
+        counts[many] = np.diff(bounds)
+        counts[single] = [len(x) for x in alone]
+        pool = np.concatenate([ids, *(np.array(x, np.int32) for x in alone)])
+        begins = np.zeros(len(chunks), np.int64)
+        begins[many] = bounds[:-1]
+        begins[single] = len(ids) + np.cumsum(counts[single]) - counts[single]
+        return gather(pool, begins, counts, np.arange(len(chunks)))[0], counts
+
+    def chunk_ids(self, chunks: pa.LargeBinaryArray, leaf: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A table of ids, and where in it those of each chunk start and how many they are; chunks met before are not encoded again."""
+        place = pc.index_in(chunks, value_set=self.known).fill_null(-1).to_numpy(zero_copy_only=False)
+        new = np.flatnonzero(place < 0)
+        unknown = chunks.take(pa.array(new))
+        ids, counts = self.fresh(unknown, leaf) if len(new) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        table = np.append(self.known_ids, ids)
+        sizes = np.append(self.known_sizes, counts)
+        starts = np.cumsum(sizes) - sizes
+        at = place.copy()
+        at[new] = len(self.known) + np.arange(len(new))
+        if len(self.known) < CACHE:
+            fits = min(len(new), CACHE - len(self.known))
+            self.known = pa.concat_arrays([self.known, unknown.slice(0, fits)])
+            self.known_sizes = sizes[: len(self.known)]
+            self.known_ids = table[: int(self.known_sizes.sum())]
+        return table, starts[at], sizes[at]
 
     def cut_points(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Where chunks start: at each text, and at each blank before a byte that surely is not white space.
@@ -130,9 +173,7 @@ class Codec:
         There the pre-tokenizer always splits, whatever stands around. Texts with an added token stay whole.
         """
         begins = np.zeros(len(data) + 1, bool)
-        nxt = data[1:]
-        sure = ((nxt > 0x20) & (nxt < 0x7F)) | ((nxt >= 0xC3) & (nxt <= 0xDF))
-        begins[:-2] = (data[:-1] == 0x20) & sure
+        begins[:-2] = (data[:-1] == 0x20) & self.sure[data[1:]]
         begins[offs] = True
         whole = data.tobytes()
         for token in map(str.encode, self.added):
@@ -150,10 +191,8 @@ class Codec:
         bounds = np.append(starts, len(data)).astype(np.int64)
         chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
         coded = chunks.dictionary_encode()
-        pieces = self.chunk_ids(coded.dictionary.to_pylist(), leaf)
-        sizes = np.array([len(p) for p in pieces], np.int64)
-        table = np.fromiter((i for p in pieces for i in p), np.int32, int(sizes.sum()))
-        ids, ends = gather(table, np.cumsum(sizes) - sizes, sizes, coded.indices.to_numpy(zero_copy_only=False))
+        table, begins, sizes = self.chunk_ids(coded.dictionary, leaf)
+        ids, ends = gather(table, begins, sizes, coded.indices.to_numpy(zero_copy_only=False))
         before = np.append(0, ends)[np.searchsorted(starts, offs)]
         return Encoded(ids, before)
 
@@ -187,7 +226,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", into: str = "ids
 
     def short(batches):
         c = codec(tokenizer)
-        for b in slices(batches, text):
+        for b in slices(batches, text, ENCODE_BYTES):
             e = c.encode(*text_bytes(b.column(text)), leaf_bytes)
             yield pa.RecordBatch.from_arrays([*map(b.column, others), id_lists(e)], [*others, into])
 

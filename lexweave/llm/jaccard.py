@@ -188,8 +188,10 @@ class Tree(NamedTuple):
 
     @classmethod
     def pack(cls, points: np.ndarray, sizes: np.ndarray) -> Tree:
-        spread = np.argsort(-points.var(0), kind="stable")[:2]
-        order = np.lexsort([*points.T[spread][::-1], sizes])
+        order = np.arange(len(points))
+        if len(points) > LEAF:
+            spread = np.argsort(-points.var(0), kind="stable")[:2]
+            order = np.lexsort([*points.T[spread][::-1], sizes])
         p, s = points[order], sizes[order]
         high, least, most = [], [], []
         h, a, b = p, s, s
@@ -201,8 +203,8 @@ class Tree(NamedTuple):
             most.append(b)
         return cls(order, p, s, high, least, most)
 
-    def search(self, q: np.ndarray, n: int) -> np.ndarray:
-        """Places of all points whose bound allows a link with a set of n shingles and counts q."""
+    def search(self, q: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of all points whose bound allows a link with a set of n shingles and counts q; the bounds as similarities."""
         nodes = np.zeros(1, np.int64)
         for level in range(len(self.high) - 1, -1, -1):
             bound = np.minimum(q, self.high[level][nodes]).sum(1)
@@ -210,7 +212,9 @@ class Tree(NamedTuple):
             below = (nodes[fits][:, None] * LEAF + np.arange(LEAF)).ravel()
             nodes = below[below < (len(self.high[level - 1]) if level else len(self.points))]
         bound = np.minimum(q, self.points[nodes]).sum(1)
-        return self.order[nodes[may_link(bound, n, self.sizes[nodes])]]
+        fits = may_link(bound, n, self.sizes[nodes])
+        bound, nodes = bound[fits], nodes[fits]
+        return self.order[nodes], bound / (n + self.sizes[nodes] - bound)
 
 
 def may_link(overlap: np.ndarray, n: int, m: np.ndarray) -> np.ndarray:
@@ -218,17 +222,32 @@ def may_link(overlap: np.ndarray, n: int, m: np.ndarray) -> np.ndarray:
     return DEN * overlap >= NUM * (n + m - overlap)
 
 
-def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (cell, block) in, pairs of classes of different components out, one tree per block."""
+def searched(batches: Iterator[pa.RecordBatch], best: bool) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (cell, block) in, pairs of classes of different components out, one tree per block.
+
+    All pairs that the bounds allow, or with ``best`` of every class the likeliest of each other component.
+    Members of a block's commonest component need no search of their own: the others find them.
+    """
     def pairs(cls, comp, sizes, points, side) -> tuple[np.ndarray, np.ndarray]:
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         if not len(left) or not len(right) or comp.min() == comp.max():
             return cls[:0], cls[:0]
+        major = None
+        if len(left) == len(right):
+            names, times = np.unique(comp, return_counts=True)
+            major = names[times.argmax()]
+            left = left[comp[left] != major]
         t = Tree.pack(points[right], sizes[right])
         x, y = [cls[:0]], [cls[:0]]
         for i in left:
-            js = right[t.search(points[i], int(sizes[i]))]
-            js = js[(comp[js] != comp[i]) & ((side[js] == 1) | (cls[js] > cls[i]))]
+            places, likeness = t.search(points[i], int(sizes[i]))
+            js = right[places]
+            keep = comp[js] != comp[i]
+            if best:
+                js = js[keep][np.argsort(-likeness[keep], kind="stable")]
+                js = js[np.unique(comp[js], return_index=True)[1]]
+            else:
+                js = js[keep & ((side[js] == 1) | (comp[js] == major) | (cls[js] > cls[i]))]
             x.append(np.repeat(cls[i], len(js)))
             y.append(cls[js])
         return np.concatenate(x), np.concatenate(y)
@@ -374,7 +393,7 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots.select("node", F.col("node").alias("comp")))
 
 
-def cell_pairs(members: DataFrame, classes: DataFrame, comps: DataFrame) -> DataFrame:
+def cell_pairs(members: DataFrame, classes: DataFrame, comps: DataFrame, best: bool) -> DataFrame:
     """Pairs in one cell, of classes in different components, whose count vectors allow a link.
 
     Cells whose members lie in one component are done. A cell of more than BLOCK members is cut into
@@ -389,7 +408,8 @@ def cell_pairs(members: DataFrame, classes: DataFrame, comps: DataFrame) -> Data
         F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"))
     full = sides.join(classes.select("cls", "n", "counts"), "cls")
     sorted_rows = full.repartition("cell", "block").sortWithinPartitions("cell", "block", "side")
-    return sorted_rows.mapInArrow(searched, "x long, y long").distinct()
+    found = sorted_rows.mapInArrow(lambda batches: searched(batches, best), "x long, y long")
+    return found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -403,7 +423,8 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
     First every class is compared with the least class of each of its cells (of each part, where the shingle is frequent); what is then connected
     needs no further pairs, so a group of copies costs as many comparisons as it has members. Cells in which
-    several components are left are searched with their trees.
+    several components are left are searched with their trees, first for the likeliest partner in each other
+    component, which joins what can be joined, then for all partners that are left.
     """
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
@@ -415,8 +436,12 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     named = filled.select("cls", F.explode(F.arrays_zip("cells", "parts")).alias("c")).select(F.col("c.cells").alias("cell"), part.alias("part"), "cls")
     met = stage(named.repartition("cell", "part").sortWithinPartitions("cell", "part", "cls").mapInArrow(stars, "cell long, x long, y long"), "stars")
     links = stage(verified(bounded(met.where("x != y").select("x", "y").distinct(), classes), classes, rows), "links")
-    more = verified(cell_pairs(met.where("cell is not null").select("cell", F.col("y").alias("cls")), classes, components(links)), classes, rows)
-    final = components(stage(links.unionByName(more), "links"))
+    members = met.where("cell is not null").select("cell", F.col("y").alias("cls"))
+    final = components(links)
+    for best in (True, False):
+        more = stage(verified(cell_pairs(members, classes, final, best), classes, rows), "links")
+        links = links.unionByName(more)
+        final = components(links)
     placed = classes.join(final, F.col("cls") == F.col("node"), "left").select("cls", "first", F.coalesce("comp", "cls").alias("group"))
     heads = placed.groupBy("group").agg(F.min("first").alias("head"))
     told = placed.join(heads, "group").select("cls", "group", "head")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm.bpe import Encoded, codec, id_lists
+from lexweave.llm.bpe import ENCODE_BYTES, Encoded, codec, id_lists
 from lexweave.llm.common import fresh_uri, slices, text_bytes
 from lexweave.session import ship_package
 
@@ -163,7 +163,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str, key: str = "d
 
     def parts(batches):
         c = codec(tokenizer)
-        for b in slices(batches, "t"):
+        for b in slices(batches, "t", ENCODE_BYTES):
             yield b.column("k").to_numpy(zero_copy_only=False), with_end(c.encode(*text_bytes(b.column("t"))), end_id)
 
     def run(batches):

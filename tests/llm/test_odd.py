@@ -136,7 +136,7 @@ def test_tree_finds_what_a_scan_finds():
     t = jaccard.Tree.pack(points, sizes)
     for i in range(50):
         want = np.flatnonzero(jaccard.may_link(np.minimum(points[i], points).sum(1), int(sizes[i]), sizes))
-        assert sorted(t.search(points[i], int(sizes[i])).tolist()) == want.tolist()
+        assert sorted(t.search(points[i], int(sizes[i]))[0].tolist()) == want.tolist()
 
 
 def test_shards(odd_docs):
