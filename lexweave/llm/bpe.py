@@ -19,7 +19,7 @@ from lexweave.session import ship_package
 #: A stretch of more bytes is halved down to pieces of this size; a text of more bytes is spread over tasks.
 LEAF_BYTES = 4096
 LONG_BYTES = 1 << 20
-ENCODE_BYTES = 8 << 20
+ENCODE_BYTES, DECODE_IDS = 4 << 20, 1 << 20
 #: Chunks that a worker remembers, and chunks that are encoded put together.
 CACHE, JOINED = 200_000, 2000
 
@@ -119,6 +119,9 @@ class Codec:
             ids += [token] if token is not None else self.halves(data, leaf)
         return ids
 
+    def ids_of(self, text: str) -> np.ndarray:
+        return np.array(self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+
     def fresh(self, chunks: pa.LargeBinaryArray, leaf: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of chunks, one after the other, and how many each has.
 
@@ -134,8 +137,7 @@ class Codec:
         many = np.flatnonzero(joined)
         flat, at = text_bytes(chunks.take(pa.array(many)))
         groups = np.unique(np.append(np.arange(0, len(many), JOINED), len(many)))
-        got = self.whole.encode_batch_fast([flat[at[i]: at[j]].tobytes().decode() for i, j in zip(groups[:-1], groups[1:])], add_special_tokens=False)
-        ids = np.concatenate([np.zeros(0, np.int32), *(np.array(e.ids, np.int32) for e in got)])
+        ids = np.concatenate([np.zeros(0, np.int32), *(self.ids_of(flat[at[i]: at[j]].tobytes().decode()) for i, j in zip(groups[:-1], groups[1:]))])
         bounds = np.searchsorted(np.append(0, np.cumsum(self.sizes[ids])), at)
         single = np.flatnonzero(~joined)
         alone = [self.whole.encode(x, add_special_tokens=False).ids if n <= leaf else self.long_text(x, leaf)
@@ -320,7 +322,7 @@ def decode(rows: DataFrame, tokenizer: str, ids: str = "ids", into: str = "decod
 
     def run(batches):
         c = codec(tokenizer)
-        for b in batches:
+        for b in id_slices(batches, ids):
             data, offs = c.decode(encoded_of(b.column(ids)))
             whole = data.tobytes()
             texts = [whole[s:e].decode("utf-8", "replace") for s, e in zip(offs[:-1].tolist(), offs[1:].tolist())]
@@ -328,6 +330,16 @@ def decode(rows: DataFrame, tokenizer: str, ids: str = "ids", into: str = "decod
     return rows.mapInArrow(run, schema)
 
 
+def id_slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that a piece has about DECODE_IDS ids."""
+    for b in batches:
+        ends, at = encoded_of(b.column(column)).at[1:], 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + DECODE_IDS, "right")))
+            yield b.slice(at, to - at)
+            at = to
+
+
 def encoded_of(col: pa.Array) -> Encoded:
     sizes = pc.list_value_length(col).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     return Encoded(pc.list_flatten(col).to_numpy(zero_copy_only=False), np.append(0, np.cumsum(sizes)))
