@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import functools
+import zlib
 from typing import NamedTuple
 
 import numpy as np
@@ -70,20 +71,25 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, key: str = "doc_i
 
     ``allowed`` says of a row whether its label may be seen. Two thirds of the sample make the
     dictionaries, the rest the weights, so that the score is calibrated on texts the dictionaries have
-    not seen. Null labels, null keys and empty texts teach nothing. Whole texts are taken until a class
+    not seen. Keys and sizes alone are ranked; only the chosen texts are read. Null labels, null keys and empty texts teach nothing. Whole texts are taken until a class
     has ``sample_bytes``. With one class missing, every text scores the share of class 1.
     """
-    rows = (docs.where(allowed & (F.octet_length(text) > 0)).join(labels.where(F.col(label).isin(0, 1)).select(key, F.col(label).alias("_y")).distinct(), key)
-            .select("_y", F.xxhash64(F.col(key)).alias("_h"), F.encode(F.col(text), "utf-8").alias("_t")))
-    sample: dict[int, list[bytes]] = {}
+    sizes = docs.where(allowed & (F.octet_length(text) > 0)).select(F.col(key).alias("k"), F.octet_length(text).alias("size"))
+    known = sizes.join(labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("k"), F.col(label).alias("y")).distinct(), "k")
+    picked: list[tuple[int, int]] = []
     for y in (0, 1):
-        got, size = [], 0
-        for r in rows.where(F.col("_y") == y).orderBy("_h", "_t").limit(sample_rows).collect():
-            size += len(r._t)
-            if size > sample_bytes:
+        room = sample_bytes
+        for r in known.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k", "size").limit(sample_rows).collect():
+            room -= r.size
+            if room < 0:
                 break
-            got.append(bytes(r._t))
-        sample[y] = got
+            picked.append((r.k, y))
+    sample: dict[int, list[bytes]] = {0: [], 1: []}
+    if picked:  # at most 2 x sample_rows keys, so they are broadcast
+        few = docs.sparkSession.createDataFrame(sorted(set(picked)), "k long, y int")
+        texts = docs.where(allowed & (F.octet_length(text) > 0)).join(F.broadcast(few), F.col(key) == F.col("k")).select("y", F.encode(F.col(text), "utf-8").alias("t"), "k")
+        for r in sorted(texts.collect(), key=lambda r: (zlib.crc32(str(r.k).encode()), bytes(r.t))):
+            sample[r.y].append(bytes(r.t))
     bad, good = sample[0], sample[1]
     if not bad or not good:
         share = min(max(len(good) / max(1, len(good) + len(bad)), 0.01), 0.99) if good or bad else 0.5
