@@ -333,16 +333,16 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFram
     wanted = stage(likely.select(F.explode(F.array("x", "y")).alias("cls")).distinct().join(classes, "cls").select(
         "cls", F.col("first.doc_id").alias("_d"), F.col("first.th").alias("_t")), "wanted")
     match = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t"))
-    held = stage(among(texts, wanted).join(wanted, match).select("cls", "t").dropDuplicates(["cls"]), "texts")
+    held = stage(among(texts, wanted, "doc_id", "th").join(wanted, match).select("cls", "t").dropDuplicates(["cls"]), "texts")
     tx, ty = held.select(F.col("cls").alias("x"), F.col("t").alias("tx")), held.select(F.col("cls").alias("y"), F.col("t").alias("ty"))
     return likely.join(tx, "x").join(ty, "y").mapInArrow(linked, "x long, y long")
 
 
-def among(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Texts that may be wanted, by a bitmap of hashed keys of at most 2^MAX_BITS bits; a join then tells exactly.
+def among(rows: DataFrame, wanted: DataFrame, key: str, th: str, inside: bool = True) -> DataFrame:
+    """Rows whose (key, text hash) may be wanted, by a bitmap of at most 2^MAX_BITS bits, or those that surely are not.
 
     So a join with many wanted keys need not shuffle all texts. Where the keys outgrow the bitmap it lets more
-    pass, never fewer.
+    pass, never fewer; a join then tells exactly.
     """
     bits = 1 << min(MAX_BITS, max(16, (16 * wanted.count()).bit_length()))
     place = lambda d, t: F.pmod(F.xxhash64(d, t), F.lit(bits))
@@ -350,13 +350,14 @@ def among(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     cells = at.groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("b")).toArrow()
     grid = np.zeros(bits >> 5, np.uint32)
     grid[cells["w"].to_numpy()] = cells["b"].to_numpy().astype(np.uint32)
-    shared = texts.sparkSession.sparkContext.broadcast(grid)
+    shared = rows.sparkSession.sparkContext.broadcast(grid)
 
     def run(batches):
         for b in batches:
-            p = b.column("p").to_numpy()
-            yield b.filter(pa.array((shared.value[p >> 5] >> (p & 31).astype(np.uint32)) & 1 == 1)).drop_columns(["p"])
-    return texts.withColumn("p", place(F.col("doc_id"), F.col("th"))).mapInArrow(run, texts.schema)
+            p = b.column("_place").to_numpy()
+            maybe = (shared.value[p >> 5] >> (p & 31).astype(np.uint32)) & 1 == 1
+            yield b.filter(pa.array(maybe == inside)).drop_columns(["_place"])
+    return rows.withColumn("_place", place(F.col(key), F.col(th))).mapInArrow(run, rows.schema)
 
 
 def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -461,15 +462,15 @@ def with_class(rows: DataFrame, told: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component, that of the smallest key; rows without shingles all stay.
 
-    Keepers are matched by key and text. Only keys that occur on several rows with that text need to be
-    told apart; of those one row stays.
+    Rows are known by key and text. Those that go, and keepers that stand on several rows (of which one
+    stays), are few; only rows that may be among them are joined, the others pass straight on.
     """
     found = stage(similar(docs, key, text), "similar")
-    keepers = found.where("keeper").groupBy("doc_id", "th").agg(F.count("*").alias("times"), F.max("n_shingles").alias("n"))
+    gone = found.where("not keeper").select("doc_id", "th").distinct().withColumn("one", F.lit(False))
+    twice = found.where("keeper and n_shingles > 0").groupBy("doc_id", "th").agg(F.count("*").alias("times")).where("times > 1")
+    told = stage(gone.unionByName(twice.select("doc_id", "th", F.lit(True).alias("one"))).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "one"), "told")
     tagged = docs.withColumns({"_k": F.col(key).cast("long"), "_th": F.xxhash64(text)})
-    def of(some: DataFrame) -> DataFrame:
-        some = some.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"))
-        return tagged.join(some, F.col("_k").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")), "left_semi")
-    single = of(keepers.where("times = 1 or n = 0"))
-    repeated = of(keepers.where("times > 1 and n > 0")).dropDuplicates(["_k", "_th"])
-    return single.unionByName(repeated).select(*docs.columns)
+    plain = among(tagged, told, "_k", "_th", inside=False)
+    maybe = among(tagged, told, "_k", "_th").join(told, F.col("_k").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")), "left")
+    stay, single = maybe.where("one is null"), maybe.where("one").dropDuplicates(["_k", "_th"])
+    return plain.select(*docs.columns).unionByName(stay.select(*docs.columns)).unionByName(single.select(*docs.columns))
