@@ -36,7 +36,7 @@ def secret_values(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents as token ids; ``exact`` tells whether decoding gave the text back."""
-    coded = bpe.decode(bpe.encode(docs.select(*COLUMNS), TOKENIZER), TOKENIZER)
+    coded = bpe.encode(docs.select(*COLUMNS), TOKENIZER, decoded="decoded")
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
                         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))
 

@@ -13,8 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import gather, slices, text_bytes
-from lexweave.session import ship_package
+from lexweave.llm.common import gather, ready, slices, text_bytes
 
 #: A stretch of more bytes is halved down to pieces of this size; a text of more bytes is spread over tasks.
 LEAF_BYTES = 4096
@@ -203,6 +202,11 @@ class Codec:
         data, ends = gather(self.table, self.starts, self.sizes, e.ids)
         return data, np.append(0, ends)[e.at]
 
+    def texts(self, e: Encoded) -> pa.Array:
+        data, offs = self.decode(e)
+        whole = data.tobytes()
+        return pa.array([whole[a:b].decode("utf-8", "replace") for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())], pa.string())
+
 
 @functools.lru_cache(4)
 def codec(path: str) -> Codec:
@@ -214,27 +218,30 @@ def id_lists(e: Encoded) -> pa.ListArray:
 
 
 def encode(docs: DataFrame, tokenizer: str, text: str = "text", into: str = "ids", leaf_bytes: int = LEAF_BYTES,
-           long_bytes: int = LONG_BYTES, keep_text: bool = True) -> DataFrame:
+           long_bytes: int = LONG_BYTES, keep_text: bool = True, decoded: str | None = None) -> DataFrame:
     """``docs`` with the token ids of the whole text in ``into`` (array of int), with or without the text itself.
 
+    With ``decoded`` the ids are decoded into that column as well, by the same workers.
+
     Null and empty texts have no ids; repeated rows are encoded each; an empty table gives an empty
     one. Texts over ``long_bytes`` are cut into pieces that are encoded in parallel and put together
     again, one text at a time; all others are encoded where they are read. ``into`` must be a new column;
     columns beginning with ``_piece`` are used on the way.
     """
-    ship_package(docs.sparkSession)
+    ready(docs.sparkSession)
     others = [c for c in docs.columns if keep_text or c != text]
-    schema = docs.select(*others, F.array().cast("array<int>").alias(into)).schema
+    schema = docs.select(*others, F.array().cast("array<int>").alias(into), *([F.lit("").alias(decoded)] if decoded else [])).schema
 
     def short(batches):
         c = codec(tokenizer)
         for b in slices(batches, text, ENCODE_BYTES):
             e = c.encode(*text_bytes(b.column(text)), leaf_bytes)
-            yield pa.RecordBatch.from_arrays([*map(b.column, others), id_lists(e)], [*others, into])
+            yield pa.RecordBatch.from_arrays([*map(b.column, others), id_lists(e), *([c.texts(e)] if decoded else [])], schema.names)
 
     is_long = F.coalesce(F.octet_length(text), F.lit(0)) > long_bytes
     usual = docs.where(~is_long).mapInArrow(short, schema)
-    return usual.unionByName(encode_long(docs.where(is_long), tokenizer, text, into, leaf_bytes, long_bytes).select(*others, into))
+    long = encode_long(docs.where(is_long), tokenizer, text, into, leaf_bytes, long_bytes).select(*others, into)
+    return usual.unionByName(decode(long, tokenizer, into, decoded) if decoded else long)
 
 
 def encode_long(docs: DataFrame, tokenizer: str, text: str, into: str, leaf: int, piece_bytes: int) -> DataFrame:
@@ -317,16 +324,13 @@ def tree(c: Codec, parts: list[list[int]]) -> list[int]:
 
 def decode(rows: DataFrame, tokenizer: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """``rows`` with the text of ``ids`` in ``into``; bytes that are no UTF-8 become replacement characters. Null: empty."""
-    ship_package(rows.sparkSession)
+    ready(rows.sparkSession)
     schema = rows.select("*", F.lit("").alias(into)).schema
 
     def run(batches):
         c = codec(tokenizer)
         for b in id_slices(batches, ids):
-            data, offs = c.decode(encoded_of(b.column(ids)))
-            whole = data.tobytes()
-            texts = [whole[s:e].decode("utf-8", "replace") for s, e in zip(offs[:-1].tolist(), offs[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, into])
+            yield pa.RecordBatch.from_arrays([*b.columns, c.texts(encoded_of(b.column(ids)))], [*b.schema.names, into])
     return rows.mapInArrow(run, schema)
 
 

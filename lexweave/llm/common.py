@@ -10,9 +10,10 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.session import checkpoint_dir
+from lexweave.session import checkpoint_dir, ship_package
 
 SLICE_BYTES = 4 << 20
+BATCH_SETTING, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 #: ASCII white space, and the ASCII letters that are lower-cased.
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
@@ -37,6 +38,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             to = max(at + 1, int(np.searchsorted(ends, start + limit, "right")))
             yield b.slice(at, to - at)
             at = to
+        pa.default_memory_pool().release_unused()
 
 
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -77,6 +79,13 @@ def gather(table: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ids: np.nda
     return table[where], ends
 
 
+def ready(spark: SparkSession) -> None:
+    """Ship the package, and keep the batches that Python workers get small, unless the session says otherwise."""
+    ship_package(spark)
+    if spark.conf.get(BATCH_SETTING) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_SETTING, str(2 * SLICE_BYTES))
+
+
 def fresh_uri(spark: SparkSession, label: str) -> str:
     """A new folder name under the cluster's shared checkpoint folder."""
     base = checkpoint_dir(spark)

@@ -10,8 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import slices, text_bytes, words
-from lexweave.session import ship_package
+from lexweave.llm.common import ready, slices, text_bytes, words
 
 WINDOW = 10
 #: Bytes of item text in one broadcast set; larger benchmarks are scanned block by block.
@@ -152,7 +151,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     benchmark hits nothing. The columns added must not exist in ``docs`` yet.
     """
     spark = docs.sparkSession
-    ship_package(spark)
+    ready(spark)
     items = benchmark.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(
         F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]

@@ -21,8 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import SPACES, slices, text_bytes, words
-from lexweave.session import ship_package
+from lexweave.llm.common import SPACES, ready, slices, text_bytes, words
 from lexweave.sources.tables import stage
 
 SHINGLE = 5
@@ -427,7 +426,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     several components are left are searched with their trees, first for the likeliest partner in each other
     component, which joins what can be joined, then for all partners that are left.
     """
-    ship_package(docs.sparkSession)
+    ready(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
     mine = stage(signed(rows), "signed")
     filled = mine.where("n > 0")

@@ -111,7 +111,8 @@ def judge(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
     rows are judged each; an empty table gives an empty one; further columns play no part. A column
     of ``keep`` may not carry the name of a count.
     """
-    counted = docs.select(*keep, *[c.alias(n) for n, c in measures(F.col(text)).items()])
+    # one generated row per row: a filter on a count is not pushed below it, so nothing is counted twice
+    counted = docs.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in measures(F.col(text)).items()]))))
     flat = counted.select(*keep, "by_word.*", "by_line.*", "word_chars", "n_symbols", "n_capitals")
     names = F.array_compact(F.array(*[F.when(fails(r), r.name) for r in (*base, *rules)]))
     base_failed = F.lit(False)

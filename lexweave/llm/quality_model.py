@@ -10,8 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import slices
-from lexweave.session import ship_package
+from lexweave.llm.common import ready, slices
 
 #: Labelled texts per class that are learned from at most (the bound of the sample), and bytes taken of all texts of a class.
 SAMPLE_ROWS = 2000
@@ -107,7 +106,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
 
     Repeated rows are scored each and alike; an empty table gives an empty one; ``into`` must be a new column.
     """
-    ship_package(docs.sparkSession)
+    ready(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of a fixed size
     schema = docs.select("*", F.lit(0.0).alias(into)).schema
 

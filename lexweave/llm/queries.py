@@ -48,7 +48,7 @@ def joined_ids(ids: Column) -> Column:
 @query
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = bpe.decode(bpe.encode(docs, TOKENIZER, keep_text=False), TOKENIZER)
+    rows = bpe.encode(docs, TOKENIZER, keep_text=False, decoded="decoded")
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined_ids(F.col("ids")), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 

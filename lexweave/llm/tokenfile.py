@@ -22,8 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.llm.bpe import ENCODE_BYTES, Encoded, codec, id_lists
-from lexweave.llm.common import fresh_uri, slices, text_bytes
-from lexweave.session import ship_package
+from lexweave.llm.common import fresh_uri, ready, slices, text_bytes
 
 MAGIC = b"PFR1"
 BLOCK = 8192
@@ -158,7 +157,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str, key: str = "d
     least long; repeated rows follow one another; an empty table writes no file; other columns play no part.
     Texts are dealt out by ranges of the key and sorted within them; a file never crosses a range.
     """
-    ship_package(docs.sparkSession)
+    ready(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("k"), F.col(text).alias("t"))
 
     def parts(batches):
@@ -196,7 +195,7 @@ def read(spark: SparkSession, path: str, ids: bool = True, checksum: bool = Fals
                     cols["ids"] = id_lists(Encoded(got.astype(np.int32), np.append(f.docs[:, 1], len(got))))
                 yield pa.RecordBatch.from_pydict({c: cols[c] for c in names})
     names = ["file", "place", "key", "first", "n_tokens", *["ids"] * ids, *["checksum"] * checksum]
-    ship_package(spark)
+    ready(spark)
     made = "file long, place long, key long, first long, n_tokens long" + (", ids array<int>" if ids else "") + (", checksum long" if checksum else "")
     return spark.read.schema(FILES).parquet(path).mapInArrow(run, made)
 

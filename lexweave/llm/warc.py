@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition,
                                     StringStartsWith, WriterCommitMessage)
 
-from lexweave.llm.common import filesystem
-from lexweave.session import ship_package
+from lexweave.llm.common import filesystem, ready
 from lexweave.sources.tables import stage
 
 VERSION = b"WARC/1.1\r\n"
@@ -199,7 +198,7 @@ class WarcSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    ship_package(spark)
+    ready(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
 
