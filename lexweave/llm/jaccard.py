@@ -317,10 +317,9 @@ def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 STARS = pa.schema([("cell", pa.int64()), ("x", pa.int64()), ("y", pa.int64())])
 
 
-def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
     """The pairs (x, y) whose sizes and count vectors allow a link."""
-    c = classes.select("cls", "n", "counts")
-    a, b = (c.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("counts").alias(f"c{k}")) for k in "xy")
+    a, b = (points.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("counts").alias(f"c{k}")) for k in "xy")
     bound = F.aggregate(F.zip_with("cx", "cy", lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
     sized = (DEN * F.col("nx") >= NUM * F.col("ny")) & (DEN * F.col("ny") >= NUM * F.col("nx"))
     return pairs.join(a, "x").join(b, "y").where(sized & (DEN * bound >= NUM * (F.col("nx") + F.col("ny") - bound))).select("x", "y")
@@ -393,7 +392,7 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots.select("node", F.col("node").alias("comp")))
 
 
-def cell_pairs(members: DataFrame, classes: DataFrame, comps: DataFrame, best: bool) -> DataFrame:
+def cell_pairs(members: DataFrame, points: DataFrame, comps: DataFrame, best: bool) -> DataFrame:
     """Pairs in one cell, of classes in different components, whose count vectors allow a link.
 
     Cells whose members lie in one component are done. A cell of more than BLOCK members is cut into
@@ -406,7 +405,7 @@ def cell_pairs(members: DataFrame, classes: DataFrame, comps: DataFrame, best: b
     sides = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         "cell", "cls", "comp", (F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")).alias("block"),
         F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"))
-    full = sides.join(classes.select("cls", "n", "counts"), "cls")
+    full = sides.join(points, "cls")
     sorted_rows = full.repartition("cell", "block").sortWithinPartitions("cell", "block", "side")
     found = sorted_rows.mapInArrow(lambda batches: searched(batches, best), "x long, y long")
     return found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
@@ -431,15 +430,17 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     mine = stage(signed(rows), "signed")
     filled = mine.where("n > 0")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
-    classes = stage(filled.groupBy("cls").agg(F.min(first).alias("first"), F.first("n").alias("n"), F.first("counts").alias("counts")), "classes")
+    classes = stage(filled.groupBy("cls").agg(F.min(first).alias("first")), "classes")
     part = F.when(F.col("c.parts") > 1, F.pmod(F.xxhash64("c.cells", "cls"), F.col("c.parts")).cast("int")).otherwise(-1)
     named = filled.select("cls", F.explode(F.arrays_zip("cells", "parts")).alias("c")).select(F.col("c.cells").alias("cell"), part.alias("part"), "cls")
     met = stage(named.repartition("cell", "part").sortWithinPartitions("cell", "part", "cls").mapInArrow(stars, "cell long, x long, y long"), "stars")
-    links = stage(verified(bounded(met.where("x != y").select("x", "y").distinct(), classes), classes, rows), "links")
+    ids = stage(met.select(F.explode(F.array("x", "y")).alias("cls")).distinct().select("cls", F.col("cls").alias("_d"), F.col("cls").alias("_t")), "ids")
+    points = stage(among(filled.select("cls", "n", "counts"), ids, "cls", "cls").join(ids.select("cls"), "cls").dropDuplicates(["cls"]), "points")
+    links = stage(verified(bounded(met.where("x != y").select("x", "y").distinct(), points), classes, rows), "links")
     members = met.where("cell is not null").select("cell", F.col("y").alias("cls"))
     final = components(links)
     for best in (True, False):
-        more = stage(verified(cell_pairs(members, classes, final, best), classes, rows), "links")
+        more = stage(verified(cell_pairs(members, points, final, best), classes, rows), "links")
         links = links.unionByName(more)
         final = components(links)
     placed = classes.join(final, F.col("cls") == F.col("node"), "left").select("cls", "first", F.coalesce("comp", "cls").alias("group"))
