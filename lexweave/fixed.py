@@ -122,12 +122,6 @@ OPERATION_DISPLAY = {
 }
 
 # -- text limits -----------------------------------------------------------
-RAW_CITE_CHARS = 300
-DEFINITION_CHARS = 4000
-OPERATION_CHARS = 500
-INSERTED_CHARS = 4000
-STATUS_CHARS = 120
-SUMMARY_CHARS = 500
 
 # -- version priority ------------------------------------------------------
 STAGE_PRIORITY = {
@@ -162,7 +156,6 @@ BM25_B = 0.75
 IDF_FLOOR = 1e-6
 FUSION_K = 60
 VECTOR_DIM = 384
-ENCODE_CHARS = 2000
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 QUERY_OPERATORS = r'["*]|\b(AND|OR|NOT|NEAR)\b'
 

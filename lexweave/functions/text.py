@@ -177,7 +177,7 @@ def action_parts(s) -> Column:
     return F.struct(
         iso_date(strip(F.when(has, F.substring_index(s, ":", 1)).otherwise(""))).alias("action_date"),
         blank_to_null(body).alias("action_text"),
-        blank_to_null(F.substring(body, 1, fixed.STATUS_CHARS)).alias("status"),
+        blank_to_null(body).alias("status"),
     )
 
 

@@ -45,7 +45,7 @@ def citations(nodes: DataFrame) -> DataFrame:
         "bill_id", "pos", "local_id", "xml_ref_id", "legal_doc",
         F.col("c.statute_id").alias("statute_id"), F.col("c.title").alias("target_title"),
         F.col("c.section").alias("target_section"), F.col("c.label").alias("statute_label"),
-        F.substring(F.coalesce("raw", F.lit("")), 1, fixed.RAW_CITE_CHARS).alias("raw_text"),
+        F.coalesce("raw", F.lit("")).alias("raw_text"),
     )
 
 
@@ -120,7 +120,7 @@ def defined_terms(nodes: DataFrame) -> DataFrame:
         .select(
             "bill_id", "pos", "local_id", "container_id", "surface_form",
             scope_of(F.coalesce("scope_text", F.lit(""))).alias("scope"),
-            F.substring("text", 1, fixed.DEFINITION_CHARS).alias("definition_text"),
+            F.col("text").alias("definition_text"),
             F.when(by_ref, "by_reference").otherwise("direct").alias("definition_type"),
             F.when(by_ref, F.col("ref.c.statute_id")).alias("statute_id"),
             F.when(by_ref, F.col("ref.c.label")).alias("statute_label"),
@@ -163,8 +163,7 @@ def amendments(nodes: DataFrame) -> DataFrame:
     )
     boxes = blocks.select("bill_id", F.col("pos").alias("block"), F.posexplode(
         F.filter("around", nd.is_level)).alias("depth", "p")).select("bill_id", "block", "depth", F.col("p.pos").alias("pos"))
-    prose = nd.quoting_container_text(frags, "prose").withColumn(
-        "prose", F.substring("prose", 1, fixed.OPERATION_CHARS)).where("prose != ''")
+    prose = nd.quoting_container_text(frags, "prose").where("prose != ''")
     prose = boxes.join(prose, ["bill_id", "pos"]).groupBy("bill_id", F.col("block").alias("pos")).agg(
         F.max_by("prose", "depth").alias("prose"))
 
@@ -194,7 +193,7 @@ def amendments(nodes: DataFrame) -> DataFrame:
         F.col("t.statute_id").alias("statute_id"), F.col("t.label").alias("statute_label"),
         locator(F.col("cite"), F.col("t")).alias("target_locator_json"),
         struck_text(text).alias("before_text"),
-        F.substring(F.coalesce("after", F.lit("")), 1, fixed.INSERTED_CHARS).alias("after_text"),
+        F.coalesce("after", F.lit("")).alias("after_text"),
     )
 
 
@@ -221,7 +220,7 @@ def thin_metadata(nodes: DataFrame) -> DataFrame:
         .groupBy("bill_id", "at").agg(
             F.min_by(tx.blank_to_null(tx.strip("txt")), F.when(F.col("name") & (F.col("txt") != ""), F.col("ord"))).alias("name"),
             F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "txt"))), lambda x: x["txt"]), "").alias("all"))
-        .withColumn("sponsor", F.coalesce("name", tx.blank_to_null(F.substring(tx.clean_inline("all"), 1, 200))))
+        .withColumn("sponsor", F.coalesce("name", tx.blank_to_null(tx.clean_inline("all"))))
         .groupBy("bill_id").agg(F.min_by("sponsor", F.when(F.col("sponsor").isNotNull(), F.col("at"))).alias("sponsor"))
     )
     rest = nodes.where(F.col("error").isNull()).groupBy("bill_id").agg(

@@ -12,7 +12,8 @@ def closure(parents: DataFrame, max_depth: int | None = None) -> DataFrame:
     """All (id, ancestor, distance) of a parent-pointer table ``id, parent``.
 
     Distances double with every join, so a tree of depth d takes log2(d) joins. Without
-    ``max_depth`` it goes on until nothing new appears, cutting the plan at a checkpoint each time.
+    ``max_depth`` it goes on until nothing new appears, cutting the plan at a checkpoint each time; pairs
+    that are known are not followed again, so it also ends on a cycle, where a node is its own ancestor.
     """
     pairs = parents.where("parent is not null").select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("distance"))
     reach = 1
@@ -22,7 +23,7 @@ def closure(parents: DataFrame, max_depth: int | None = None) -> DataFrame:
         more = far.join(up, "mid").select("id", "ancestor", "distance")
         if max_depth is None:
             checkpoint_dir(parents.sparkSession)
-            more = more.checkpoint()
+            more = more.dropDuplicates(["id", "ancestor"]).join(pairs, ["id", "ancestor"], "left_anti").checkpoint()
             if more.isEmpty():
                 break
         pairs = pairs.unionByName(more)
@@ -53,42 +54,11 @@ def outline(sections: DataFrame) -> DataFrame:
 
 
 # -- own text --------------------------------------------------------------
-def _rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)\s+$", "")
-
-
-def _marker_forms(citation: Column) -> list[Column]:
-    groups = F.regexp_extract_all(F.coalesce(citation, F.lit("")), F.lit(r"\(([0-9A-Za-z]+)\)"), F.lit(1))
-    number = tx.blank_to_null(F.regexp_extract(F.coalesce(citation, F.lit("")), r"(?:Sec\.|§)\s*([0-9A-Za-z]+)", 1))
-    t = F.coalesce(F.try_element_at(groups, F.lit(-1)), number)
-    return [F.concat(F.lit("("), t, F.lit(")")), F.concat(t, F.lit(".")), F.concat(t, F.lit(")"))]
-
-
-def _without_child(text: Column, child: Column) -> Column:
-    """Remove a child's rendered segment (marker, heading, body) where its body first stands."""
-    body = child["full"]
-    at = F.position(body, text)
-    before, after = F.left(text, at - 1), F.substr(text, at + F.length(body))
-    heading = tx.strip(F.coalesce(child["heading"], F.lit("")))
-    trimmed = _rstrip(before)
-    cut = F.when((heading != "") & trimmed.endswith(heading), F.left(trimmed, F.length(trimmed) - F.length(heading))).otherwise(before)
-    bare = _rstrip(cut)
-    out = F
-    for form in _marker_forms(child["citation"]):
-        out = out.when(bare.endswith(form), F.left(bare, F.length(bare) - F.length(form)))
-    return F.when((body == "") | (at < 1), text).otherwise(F.concat(out.otherwise(cut), after))
-
-
 def own_text(sections: DataFrame) -> DataFrame:
-    """Section tree rows with each node's own text: its full text minus its children's segments."""
-    kid = F.struct("ordinal", "section_id", F.coalesce("text_full", F.lit("")).alias("full"), "heading", F.col("canonical_citation").alias("citation"))
-    kids = sections.where("parent_section_id is not null").groupBy(F.col("parent_section_id").alias("section_id")).agg(
-        F.sort_array(F.collect_list(kid)).alias("kids"))
-    full = F.coalesce(tx.blank_to_null("text_full"), "text_self", F.lit(""))
-    own = F.aggregate(F.coalesce("kids", F.array().cast(
-        "array<struct<ordinal:int,section_id:string,full:string,heading:string,citation:string>>")), full, _without_child)
-    return sections.join(kids, "section_id", "left").withColumn("own_text", tx.strip(own)).withColumn(
-        "n_children", F.coalesce(F.size("kids"), F.lit(0))).drop("kids")
+    """Section tree rows with each node's own text, as the walk stored it, and the number of its children."""
+    kids = sections.where("parent_section_id is not null").groupBy(F.col("parent_section_id").alias("section_id")).agg(F.count("*").alias("kids"))
+    return (sections.join(kids, "section_id", "left").withColumn("own_text", tx.strip(F.coalesce("text_self", F.lit(""))))
+            .withColumn("n_children", F.coalesce("kids", F.lit(0)).cast("int")).drop("kids"))
 
 
 def blocks(tree: DataFrame) -> DataFrame:

@@ -75,7 +75,7 @@ def xml_citations(load):
     return extracts.attach(extracts.citations(n), s).select("section_id", "statute_id", "statute_label", "raw_text")
 
 
-@query("xml_terms", f"""with {_L} select bill_id || '::P' || n as section_id, w as surface_form, 'bill_local' as scope, left('(1) The term ' || w || ' ' || means, 4000) as definition_text,
+@query("xml_terms", f"""with {_L} select bill_id || '::P' || n as section_id, w as surface_form, 'bill_local' as scope, '(1) The term ' || w || ' ' || means as definition_text,
 case when n % 8 = 6 then 'by_reference' else 'direct' end as definition_type, case when n % 8 = 6 then 'statute:us/usc/' || (n + 1) || '/9' end as statute_id from m where n % 4 = 2""")
 def xml_terms(load):
     """Defined terms with scope, type and target."""
@@ -83,10 +83,10 @@ def xml_terms(load):
     return extracts.attach(extracts.defined_terms(n), s).select("section_id", "surface_form", "scope", "definition_text", "definition_type", "statute_id")
 
 
-@query("xml_amendments", f"""with {_L}, o as (select bill_id, n, line, left((n + 1) || '. H' || n || ' ' || line || ' by striking “old ' || n || '” and inserting the following: y' || n, 500) as op from m where n % 4 = 3)
+@query("xml_amendments", f"""with {_L}, o as (select bill_id, n, line, (n + 1) || '. H' || n || ' ' || line || ' by striking “old ' || n || '” and inserting the following: y' || n as op from m where n % 4 = 3)
 select bill_id || '::S' || n as section_id, row_number() over (partition by bill_id order by n) as n, op as operation_text,
 case when regexp_matches(op, 'by striking .*and inserting') then 'strike_and_insert' when regexp_matches(op, 'by striking\\b') then 'strike' else 'other' end as operation_type,
-nullif(regexp_extract(op, 'by striking “([^”]+)”', 1), '') as before_text, left('new ' || line, 4000) as after_text, 'statute:us/usc/' || n || '/1' as statute_id from o""")
+nullif(regexp_extract(op, 'by striking “([^”]+)”', 1), '') as before_text, 'new ' || line as after_text, 'statute:us/usc/' || n || '/1' as statute_id from o""")
 def xml_amendments(load):
     """Amendment operations with type, struck and inserted text and target."""
     n, s = parsed(load)
@@ -99,12 +99,10 @@ def xml_outline(load):
     return tree.outline(parsed(load)[1]).select("section_id", "level", "marker", "title")
 
 
-@query("xml_own_text", f"""with {_L} select section_id, text_self as own_text from sec where text_full not like '%' || chr(10) || '%' || chr(10) || '%' and bill_id in (select bill_id from (select bill_id, count(*) as c from l group by 1) where c < 3)""")
+@query("xml_own_text", f"""with {_L} select section_id, text_self as own_text from sec""")
 def xml_own_text(load):
-    """Own text recovered from full text for bills of at most two lines."""
-    _, s = parsed(load)
-    short = lines(load).where(F.size("lines") < 3).select(F.concat(F.lit("118-hr-"), F.col("doc_id").cast("string")).alias("bill_id"))
-    return tree.own_text(s.join(short, "bill_id", "left_semi")).select("section_id", "own_text")
+    """Own text of every section of every derived bill."""
+    return tree.own_text(parsed(load)[1]).select("section_id", "own_text")
 
 
 @query("xml_metadata", f"""with {_L} select distinct bill_id, 'Doc ' || doc_id as title, 'Introduced' as bill_stage from l""")

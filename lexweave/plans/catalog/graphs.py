@@ -79,12 +79,12 @@ select 'N' || n_nationkey, 'R' || n_regionkey, n_nationkey, n_name from nation u
 union all select t.id, nd.parent, distance + 1 from t join nd on nd.id = t.ancestor where nd.parent is not null) select * from t""")
 def tree_closure(load):
     """All ancestor pairs of the region, nation and customer tree."""
-    return tr.closure(nodes(load).select("id", "parent"), 4)
+    return tr.closure(nodes(load).select("id", "parent"))
 
 
 @query("root_index", f"""with recursive {_TREE}, t(id, root) as (select id, id from nd where parent is null union all select nd.id, t.root from nd join t on nd.parent = t.id) select * from t""")
 def root_index(load):
-    return tr.root_index(nodes(load).select("id", "parent"), 4)
+    return tr.root_index(nodes(load).select("id", "parent"))
 
 
 @query("outline", f"""with recursive {_TREE}, t(id, level, key, title) as (select id, 1, lpad(ordinal::varchar, 9, '0'), name from nd where parent is null
@@ -93,7 +93,7 @@ def outline(load):
     """Preorder keys and levels from parent pointers."""
     n = nodes(load)
     key = F.lpad(F.col("ordinal").cast("string"), 9, "0")
-    up = tr.closure(n.select("id", "parent"), 4).join(n.select(F.col("id").alias("ancestor"), key.alias("k")), "ancestor")
+    up = tr.closure(n.select("id", "parent")).join(n.select(F.col("id").alias("ancestor"), key.alias("k")), "ancestor")
     path = up.groupBy("id").agg(F.sort_array(F.collect_list(F.struct((-F.col("distance")).alias("d"), "k"))).alias("p"))
     full = F.concat(F.transform(F.coalesce("p", F.array().cast("array<struct<d:int,k:string>>")), lambda x: x["k"]), F.array(key))
     return n.join(path, "id", "left").select("id", F.size(full).alias("level"), F.array_join(full, "/").alias("key"), F.col("name").alias("title"))

@@ -158,19 +158,39 @@ def test_fusion(spark):
         ("b", round(1 / 62 + 1 / 61, 9), "d"), ("a", round(1 / 61, 9), "l"), ("c", round(1 / 62, 9), "d")]
 
 
-def test_dense_matches_brute_force_on_both_paths(spark, monkeypatch):
+def nearest(sections, queries, k):
+    want = {}
+    for j, topic, v in queries:
+        mine = [x for x in sections if x[2] == topic]
+        score = np.round(np.array([x[3] for x in mine]) @ np.array(v), 6)
+        want[j] = [mine[i][0] for i in sorted(range(len(mine)), key=lambda i: (-score[i], mine[i][0]))[:k]]
+    return want
+
+
+def found(spark, sections, queries, k):
+    sd = spark.createDataFrame(sections, "section_id long, bill_id long, topic string, vector array<double>")
+    qd = spark.createDataFrame(queries, "query_id long, topic string, vector array<double>")
+    got = {}
+    for r in dense.dense_scores(sd, qd, k).orderBy("query_id", F.desc("score"), "section_id").collect():
+        got.setdefault(r.query_id, []).append(r.section_id)
+    return got
+
+
+def test_dense_matches_brute_force_in_any_blocks(spark, monkeypatch):
     rng = np.random.default_rng(0)
     s = [(i, i // 3, "t" if i % 2 else "u", rng.normal(size=8).tolist()) for i in range(60)]
     q = [(j, "t", rng.normal(size=8).tolist()) for j in range(3)]
-    sd = spark.createDataFrame(s, "section_id long, bill_id long, topic string, vector array<double>")
-    qd = spark.createDataFrame(q, "query_id long, topic string, vector array<double>")
-    want = {j: [x[0] for x in sorted((x for x in s if x[2] == "t"), key=lambda x: (-round(float(np.dot(x[3], v)), 6), x[0]))[:5]] for j, _, v in q}
-    for cap in (2048, 1):
-        monkeypatch.setattr(dense, "MAX_MATRIX_QUERIES", cap)
-        got = {}
-        for r in dense.dense_scores(sd, qd, 5).orderBy("query_id", F.desc("score"), "section_id").collect():
-            got.setdefault(r.query_id, []).append(r.section_id)
-        assert got == want
+    for size in (1024, 7, 1):
+        monkeypatch.setattr(dense, "SECTION_BLOCK", size)
+        monkeypatch.setattr(dense, "QUERY_BLOCK", min(size, 2))
+        assert found(spark, s, q, 5) == nearest(s, q, 5)
+
+
+def test_dense_with_thousands_of_queries(spark):
+    rng = np.random.default_rng(1)
+    s = [(i, i, "tu"[i % 2], rng.normal(size=8).tolist()) for i in range(200)]
+    q = [(j, "tuv"[j % 3], rng.normal(size=8).tolist()) for j in range(3000)]
+    assert found(spark, s, q, 5) == {j: w for j, w in nearest([x for x in s if x[2] in "tu"], [x for x in q if x[1] != "v"], 5).items()}
 
 
 def test_encoding_resumes_and_skips_empty(spark):
@@ -191,6 +211,12 @@ def test_shared_terms(spark):
     assert graph.shared_term_edges(pairs, min_weight=2).count() == 0
 
 
+def test_closure_ends_on_a_cycle(spark):
+    ring = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a")], "id string, parent string")
+    got = {(r.id, r.ancestor) for r in tree.closure(ring).collect()}
+    assert got == {(x, y) for x in "abcd" for y in "abc"}
+
+
 def test_closure_until_done(spark):
     chain = spark.createDataFrame([("n0", None)] + [(f"n{i}", f"n{i-1}") for i in range(1, 9)], "id string, parent string")
     assert tree.closure(chain).count() == 36 == tree.closure(chain, 8).count()
