@@ -227,10 +227,10 @@ def searched(batches: Iterator[pa.RecordBatch], best: bool) -> Iterator[pa.Recor
     All pairs that the bounds allow, or with ``best`` of every class the likeliest of each other component.
     Members of a block's commonest component need no search of their own: the others find them.
     """
-    def pairs(cls, comp, sizes, points, side) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(cell, cls, comp, sizes, points, side) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         if not len(left) or not len(right) or comp.min() == comp.max():
-            return cls[:0], cls[:0]
+            return cls[:0], cls[:0], cls[:0]
         major = None
         if len(left) == len(right):
             names, times = np.unique(comp, return_counts=True)
@@ -249,7 +249,8 @@ def searched(batches: Iterator[pa.RecordBatch], best: bool) -> Iterator[pa.Recor
                 js = js[keep & ((side[js] == 1) | (comp[js] == major) | (cls[js] > cls[i]))]
             x.append(np.repeat(cls[i], len(js)))
             y.append(cls[js])
-        return np.concatenate(x), np.concatenate(y)
+        x, y = np.concatenate(x), np.concatenate(y)
+        return np.full(len(x), cell), x, y
 
     held = None
     for b in itertools.chain((pa.Table.from_batches([b]) for b in batches), [None]):
@@ -261,10 +262,10 @@ def searched(batches: Iterator[pa.RecordBatch], best: bool) -> Iterator[pa.Recor
         ends = np.append(ends, len(cell)) if b is None else ends
         if len(ends):
             points = t["counts"].combine_chunks().slice(0, int(ends[-1])).flatten().to_numpy().reshape(-1, GROUPS)
-            got = [pairs(cls[a:e], comp[a:e], n[a:e], points[a:e], side[a:e]) for a, e in zip([0, *ends[:-1]], ends) if e - a > 1]
-            x, y = (np.concatenate([cls[:0], *(g[k] for g in got)]) for k in (0, 1))
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
+            got = [pairs(cell[a], cls[a:e], comp[a:e], n[a:e], points[a:e], side[a:e]) for a, e in zip([0, *ends[:-1]], ends) if e - a > 1]
+            made = [np.concatenate([cls[:0], *(g[k] for g in got)]) for k in range(3)]
+            if len(made[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["cell", "x", "y"])
             t = t.slice(int(ends[-1]))
         held = t
 
@@ -393,7 +394,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def cell_pairs(members: DataFrame, points: DataFrame, comps: DataFrame, best: bool) -> DataFrame:
-    """Pairs in one cell, of classes in different components, whose count vectors allow a link.
+    """(cell, x, y): pairs in one cell, of classes in different components, whose count vectors allow a link.
 
     Cells whose members lie in one component are done. A cell of more than BLOCK members is cut into
     blocks by hash, and every two blocks meet in a task of their own.
@@ -407,8 +408,14 @@ def cell_pairs(members: DataFrame, points: DataFrame, comps: DataFrame, best: bo
         F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"))
     full = sides.join(points, "cls")
     sorted_rows = full.repartition("cell", "block").sortWithinPartitions("cell", "block", "side")
-    found = sorted_rows.mapInArrow(lambda batches: searched(batches, best), "x long, y long")
-    return found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    return sorted_rows.mapInArrow(lambda batches: searched(batches, best), "cell long, x long, y long")
+
+
+def still_apart(found: DataFrame, comps: DataFrame) -> DataFrame:
+    """Cells in which a likely pair is in two components still."""
+    a, b = (comps.select(F.col("node").alias(k), F.col("comp").alias(f"c{k}")) for k in "xy")
+    known = found.join(a, "x", "left").join(b, "y", "left")
+    return known.where(F.coalesce("cx", "x") != F.coalesce("cy", "y")).select("cell").distinct()
 
 
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -440,9 +447,12 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     members = met.where("cell is not null").select("cell", F.col("y").alias("cls"))
     final = components(links)
     for best in (True, False):
-        more = stage(verified(cell_pairs(members, points, final, best), classes, rows), "links")
-        links = links.unionByName(more)
+        seen = stage(cell_pairs(members, points, final, best), "found")
+        pairs = seen.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+        links = links.unionByName(stage(verified(pairs, classes, rows), "links"))
         final = components(links)
+        if best:  # where no likely pair is left, no pair passes the bounds
+            members = members.join(stage(still_apart(seen, final), "apart"), "cell", "left_semi")
     placed = classes.join(final, F.col("cls") == F.col("node"), "left").select("cls", "first", F.coalesce("comp", "cls").alias("group"))
     heads = placed.groupBy("group").agg(F.min("first").alias("head"))
     told = placed.join(heads, "group").select("cls", "group", "head")
