@@ -326,14 +326,20 @@ def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (x, y) that are links by the sets themselves; only the texts of these pairs are read again and brought together."""
+    """The pairs (x, y) that are links by the sets themselves.
+
+    Only texts of these pairs are read again. Each y goes once to the x it is paired with; an x with more than
+    PART partners is dealt to parts, each with its own copy of x.
+    """
     likely = stage(pairs, "likely")
-    wanted = stage(likely.select(F.explode(F.array("x", "y")).alias("cls")).distinct().join(classes, "cls").select(
-        "cls", F.col("first.doc_id").alias("_d"), F.col("first.th").alias("_t")), "wanted")
+    heads = likely.groupBy("x").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    others = likely.join(heads, "x").select("x", F.pmod(F.xxhash64("y"), F.col("parts")).cast("int").alias("part"), F.col("y").alias("cls"))
+    own = heads.select("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("x").alias("cls"))
+    wanted = stage(others.unionByName(own).join(classes, "cls").select(
+        "x", "part", "cls", F.col("first.doc_id").alias("_d"), F.col("first.th").alias("_t")), "wanted")
     match = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t"))
-    held = stage(among(texts, wanted, "doc_id", "th").join(wanted, match).select("cls", "t").dropDuplicates(["cls"]), "texts")
-    tx, ty = held.select(F.col("cls").alias("x"), F.col("t").alias("tx")), held.select(F.col("cls").alias("y"), F.col("t").alias("ty"))
-    return likely.join(tx, "x").join(ty, "y").mapInArrow(linked, "x long, y long")
+    met = among(texts, wanted, "doc_id", "th").join(wanted, match).select("x", "part", "cls", "t")
+    return met.repartition("x", "part").sortWithinPartitions("x", "part", F.col("cls") != F.col("x"), "cls").mapInArrow(linked, "x long, y long")
 
 
 def among(rows: DataFrame, wanted: DataFrame, key: str, th: str, inside: bool = True) -> DataFrame:
@@ -359,12 +365,22 @@ def among(rows: DataFrame, wanted: DataFrame, key: str, th: str, inside: bool =
 
 
 def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for b in slices([whole], "tx"):
-            a, c = (list(shingle_sets(*text_bytes(b.column(k)))) for k in ("tx", "ty"))
-            n = np.array([len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(a, c)], np.int64)
-            total = np.array([len(p) + len(q) for p, q in zip(a, c)], np.int64) - n
-            yield b.select(["x", "y"]).filter(pa.array(DEN * n >= NUM * total))
+    """Rows sorted by (x, part), x's own text first and then by class, in; out the pairs (x, y) that are links, repeated rows once."""
+    head, last = np.zeros(0, np.uint64), None
+    for b in slices(batches, "t"):
+        out = []
+        for x, part, c, u in zip(*(b.column(k).to_pylist() for k in ("x", "part", "cls")), shingle_sets(*text_bytes(b.column("t")))):
+            if (x, part, c) == last:
+                continue
+            last = (x, part, c)
+            if c == x:
+                head = u
+                continue
+            n = len(np.intersect1d(head, u, assume_unique=True))
+            if DEN * n >= NUM * (len(head) + len(u) - n):
+                out.append((x, c))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()) for k in zip(*out)], ["x", "y"])
 
 
 def components(links: DataFrame) -> DataFrame:
