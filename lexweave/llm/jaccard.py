@@ -128,11 +128,35 @@ def counts_of(u: np.ndarray) -> np.ndarray:
     return np.bincount((u & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32)
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Counts as nibbles, bytes or 32-bit numbers, the narrowest that holds them all; the length tells which."""
+    top = counts.max()
+    if top < 16:
+        return (counts[::2] | counts[1::2] << 4).astype(np.uint8).tobytes()
+    return counts.astype(np.uint8 if top < 256 else "<i4").tobytes()
+
+
+def unpacked(col: pa.Array) -> np.ndarray:
+    """The count vectors of a column, one per row."""
+    data, offs = text_bytes(col)
+    out = np.zeros((len(col), GROUPS), np.int32)
+    for size in (GROUPS // 2, GROUPS, 4 * GROUPS):
+        rows = np.flatnonzero(np.diff(offs) == size)
+        if not len(rows):
+            continue
+        raw = data[offs[rows][:, None] + np.arange(size)]
+        if size == GROUPS // 2:
+            out[rows, ::2], out[rows, 1::2] = raw & 15, raw >> 4
+        else:
+            out[rows] = raw if size == GROUPS else raw.view("<i4")
+    return out
+
+
 def class_of(u: np.ndarray) -> int | None:
     return int.from_bytes(hashlib.blake2b(u.tobytes(), digest_size=8).digest(), "little", signed=True) if len(u) else None
 
 
-SIGNED = "doc_id long, th long, cls long, n long, counts array<int>, cells array<long>, parts array<int>"
+SIGNED = "doc_id long, th long, cls long, n long, counts binary, cells array<long>, parts array<int>"
 
 
 def signed(docs: DataFrame) -> DataFrame:
@@ -162,14 +186,13 @@ def signed(docs: DataFrame) -> DataFrame:
                     first = np.append(first, common[np.argsort(r[common], kind="stable")][: p - len(first)])
                 cls.append(c)
                 n.append(len(u))
-                counts.append(counts_of(u))
+                counts.append(packed(counts_of(u)))
                 cells.append(u[first])
                 parts.append(r[first] // PART + 1)
                 at.append(at[-1] + p)
             flat = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(cells).view(np.int64)))
             dealt = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(parts).astype(np.int32)))
-            grid = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * GROUPS, pa.int32()), pa.array(np.concatenate(counts)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), grid, flat, dealt],
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(counts, pa.binary()), flat, dealt],
                                              ["doc_id", "th", "cls", "n", "counts", "cells", "parts"])
     return docs.mapInArrow(run, SIGNED)
 
@@ -260,7 +283,7 @@ def searched(batches: Iterator[pa.RecordBatch], best: bool) -> Iterator[pa.Recor
         ends = np.flatnonzero((cell[1:] != cell[:-1]) | (block[1:] != block[:-1])) + 1
         ends = np.append(ends, len(cell)) if b is None else ends
         if len(ends):
-            points = t["counts"].combine_chunks().slice(0, int(ends[-1])).flatten().to_numpy().reshape(-1, GROUPS)
+            points = unpacked(t["counts"].slice(0, int(ends[-1])).combine_chunks())
             got = [pairs(cls[a:e], comp[a:e], n[a:e], points[a:e], side[a:e]) for a, e in zip([0, *ends[:-1]], ends) if e - a > 1]
             x, y = (np.concatenate([cls[:0], *(g[k] for g in got)]) for k in (0, 1))
             if len(x):
@@ -320,9 +343,14 @@ STARS = pa.schema([("cell", pa.int64()), ("x", pa.int64()), ("y", pa.int64())])
 def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
     """The pairs (x, y) whose sizes and count vectors allow a link."""
     a, b = (points.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("counts").alias(f"c{k}")) for k in "xy")
-    bound = F.aggregate(F.zip_with("cx", "cy", lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
     sized = (DEN * F.col("nx") >= NUM * F.col("ny")) & (DEN * F.col("ny") >= NUM * F.col("nx"))
-    return pairs.join(a, "x").join(b, "y").where(sized & (DEN * bound >= NUM * (F.col("nx") + F.col("ny") - bound))).select("x", "y")
+    return pairs.join(a, "x").join(b, "y").where(sized).mapInArrow(within, "x long, y long")
+
+
+def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        bound = np.minimum(unpacked(b.column("cx")), unpacked(b.column("cy"))).sum(1)
+        yield b.select(["x", "y"]).filter(pa.array(may_link(bound, b.column("nx").to_numpy(), b.column("ny").to_numpy())))
 
 
 def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:

@@ -249,3 +249,13 @@ def test_quality_model(spark, odd_docs):
     none = quality_model.train(odd_docs.where("false"), labels, F.lit(True))
     assert {r.score for r in quality_model.score(odd_docs, none).collect()} == {0.5}
     assert quality_model.score(odd_docs.where("false"), m).collect() == []
+
+
+def test_count_vectors_of_any_size():
+    rng = np.random.default_rng(3)
+    rows = [rng.integers(0, top, jaccard.GROUPS).astype(np.int32) for top in (1, 16, 17, 256, 257, 1 << 30)]
+    for r, size in zip(rows, (128, 128, None, None, None, 1024)):
+        assert size is None or len(jaccard.packed(r)) == size
+    held = pa.array([b"?", *map(jaccard.packed, rows)], pa.binary())[1:]
+    assert (jaccard.unpacked(held) == np.array(rows)).all()
+    assert jaccard.unpacked(held[:0]).shape == (0, jaccard.GROUPS)
