@@ -439,12 +439,17 @@ def components(links: DataFrame) -> DataFrame:
 def cell_pairs(members: DataFrame, points: DataFrame, comps: DataFrame, best: bool) -> DataFrame:
     """Pairs in one cell, of classes in different components, whose count vectors allow a link.
 
-    Cells whose members lie in one component are done. A cell of more than BLOCK members is cut into
-    blocks by hash, and every two blocks meet in a task of their own.
+    Cells whose members lie in one component are done. Texts that share a passage share a cell for many of its
+    shingles; of cells with the same members (by count and a 128-bit digest) one is searched, as the others hold
+    the same pairs. A cell of more than BLOCK members is cut into blocks by hash, and every two blocks meet
+    in a task of their own.
     """
     known = members.join(comps, F.col("cls") == F.col("node"), "left").select("cell", "cls", F.coalesce("comp", "cls").alias("comp"))
-    open_cells = known.groupBy("cell").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("m")).where("a != b")
-    many = open_cells.select("cell", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    open_cells = known.groupBy("cell").agg(
+        F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("m"),
+        F.bit_xor(F.xxhash64("cls")).alias("d"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("e")).where("a != b")
+    alone = open_cells.groupBy("m", "d", "e").agg(F.min("cell").alias("cell"))
+    many = alone.select("cell", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     dealt = known.join(many, "cell").withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     sides = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         "cell", "cls", "comp", (F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")).alias("block"),
