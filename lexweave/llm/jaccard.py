@@ -248,14 +248,14 @@ def searched(batches: Iterator[pa.RecordBatch], best: bool) -> Iterator[pa.Recor
     """Rows sorted by (cell, block) in, pairs of classes of different components out, one tree per block.
 
     All pairs that the bounds allow, or with ``best`` of every class the likeliest of each other component.
-    Members of a block's commonest component need no search of their own: the others find them.
+    Members of the commonest component of a block that meets itself need no search of their own: the others find them.
     """
     def pairs(cls, comp, sizes, points, side) -> tuple[np.ndarray, np.ndarray]:
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         if not len(left) or not len(right) or comp.min() == comp.max():
             return cls[:0], cls[:0]
         major = None
-        if len(left) == len(right):
+        if side[0] == 2:
             names, times = np.unique(comp, return_counts=True)
             major = names[times.argmax()]
             left = left[comp[left] != major]

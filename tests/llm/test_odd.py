@@ -259,3 +259,13 @@ def test_count_vectors_of_any_size():
     held = pa.array([b"?", *map(jaccard.packed, rows)], pa.binary())[1:]
     assert (jaccard.unpacked(held) == np.array(rows)).all()
     assert jaccard.unpacked(held[:0]).shape == (0, jaccard.GROUPS)
+
+
+def test_cross_blocks_of_equal_halves_are_searched():
+    """Two classes of one component on the left, two other components on the right, all alike."""
+    rows = pa.RecordBatch.from_pydict({
+        "cell": [7] * 4, "block": [1] * 4, "cls": [10, 11, 20, 21], "comp": [1, 1, 2, 3], "n": [jaccard.GROUPS] * 4, "side": [0, 0, 1, 1],
+        "counts": pa.array([jaccard.packed(np.ones(jaccard.GROUPS, np.int32))] * 4, pa.binary())})
+    for best in (True, False):
+        got = {(x, y) for b in jaccard.searched(iter([rows]), best) for x, y in zip(*(c.to_pylist() for c in b.columns))}
+        assert got == {(10, 20), (10, 21), (11, 20), (11, 21)}
