@@ -17,6 +17,8 @@ SAMPLE_ROWS = 2000
 SAMPLE_BYTES = 16 << 20
 DICTIONARY_BYTES = 112 << 10
 LEVEL = 3
+#: Texts meet the dictionaries in pieces of so many bytes: zstandard drops a dictionary once its window has passed it.
+PIECE = 64 << 10
 
 
 class Model(NamedTuple):
@@ -33,11 +35,15 @@ def compressors(model: Model):
             for d in (model.good, model.bad, b"")]
 
 
+def size_in_pieces(compressor, text: bytes) -> int:
+    return sum(len(compressor.compress(text[i: i + PIECE])) for i in range(0, max(1, len(text)), PIECE))
+
+
 def features(texts: list[bytes], model: Model) -> np.ndarray:
     good, bad, plain = compressors(model)
     out = np.zeros((len(texts), 4))
     for i, t in enumerate(texts):
-        a, b, p, n = len(good.compress(t)), len(bad.compress(t)), len(plain.compress(t)), len(t) + 16
+        a, b, p, n = size_in_pieces(good, t), size_in_pieces(bad, t), len(plain.compress(t)), len(t) + 16
         out[i] = 1.0, 10 * (b - a) / max(a, b), p / n, np.log(n) / 10
     return out
 
@@ -70,19 +76,18 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, key: str = "doc_i
 
     ``allowed`` says of a row whether its label may be seen. Two thirds of the sample make the
     dictionaries, the rest the weights, so that the score is calibrated on texts the dictionaries have
-    not seen. Keys and sizes alone are ranked; only the chosen texts are read. Null labels, null keys and empty texts teach nothing. Whole texts are taken until a class
-    has ``sample_bytes``. With one class missing, every text scores the share of class 1.
+    not seen. Keys and sizes alone are ranked; only the chosen texts are read. Null labels, null keys and empty texts teach nothing. Whole texts are taken that fit into
+    ``sample_bytes`` of a class; one that does not is passed over. With one class missing, every text scores the share of class 1.
     """
     sizes = docs.where(allowed & (F.octet_length(text) > 0)).select(F.col(key).alias("k"), F.octet_length(text).alias("size"))
     known = sizes.join(labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("k"), F.col(label).alias("y")).distinct(), "k")
     picked: list[tuple[int, int]] = []
     for y in (0, 1):
         room = sample_bytes
-        for r in known.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k", "size").limit(sample_rows).collect():
-            room -= r.size
-            if room < 0:
-                break
-            picked.append((r.k, y))
+        for r in known.where((F.col("y") == y) & (F.col("size") <= sample_bytes)).orderBy(F.xxhash64("k"), "k", "size").limit(sample_rows).collect():
+            if r.size <= room:
+                room -= r.size
+                picked.append((r.k, y))
     sample: dict[int, list[bytes]] = {0: [], 1: []}
     if picked:  # at most 2 x sample_rows keys, so they are broadcast
         few = docs.sparkSession.createDataFrame(sorted(set(picked)), "k long, y int")

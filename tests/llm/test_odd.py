@@ -269,3 +269,24 @@ def test_cross_blocks_of_equal_halves_are_searched():
     for best in (True, False):
         got = {(x, y) for b in jaccard.searched(iter([rows]), best) for x, y in zip(*(c.to_pylist() for c in b.columns))}
         assert got == {(10, 20), (10, 21), (11, 20), (11, 21)}
+
+
+def test_quality_of_the_end_of_a_long_text():
+    """Good words after 4 MB of other bytes count as much as before them."""
+    rng = np.random.default_rng(5)
+    good, bad = (rng.integers(0, 256, quality_model.DICTIONARY_BYTES, np.uint8).tobytes() for _ in range(2))
+    other = rng.integers(0, 256, 4 << 20, np.uint8).tobytes()
+    m = quality_model.Model(good, bad, ())
+    first, last, none = quality_model.features([good + other, other + good, other], m)[:, 1]
+    assert last > 0.1 and abs(first - last) < 0.05 and abs(none) < 0.01
+
+
+def test_quality_sample_passes_over_a_text_that_does_not_fit(spark):
+    rows = [(i, f"good words of text {i} " * 9) for i in range(20)] + [(100 + i, f"BAD!! {i} " * 9) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") < 100).cast("int").alias("quality"))
+    first = docs.where("doc_id < 100").orderBy(F.xxhash64("doc_id")).first().doc_id
+    long = docs.withColumn("text", F.when(F.col("doc_id") == first, F.repeat("text", 100)).otherwise(F.col("text")))
+    m = quality_model.train(long, labels, F.lit(True), sample_bytes=5000)
+    assert m.good and m.bad
+    assert all((r.score > 0.5) == (r.doc_id < 100) for r in quality_model.score(docs, m).collect())
