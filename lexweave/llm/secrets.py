@@ -1,6 +1,7 @@
 """Secret scans: spans by pattern, and corpus-wide ownership of every candidate value."""
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -29,8 +30,9 @@ BASE = (
 EXTRA = (Kind("mixed", r"[A-Za-z0-9+/_-]{24,}", 0, 24, ("[0-9]", "[a-z]", "[A-Z]")),)
 #: Runs below the least length cannot hide a later match of these kinds, so the scan may skip them at once.
 FAST = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
-MAX_OWNERS = 1
-MAX_REPOSITORIES = 1000
+#: A value is widely copied if this share of all owners holds it, and this many; of few owners, all but one are enough.
+OWNER_SHARE = 0.1
+LEAST_OWNERS = 5
 
 
 def running(values: Column) -> Column:
@@ -101,9 +103,19 @@ def ownership(found: DataFrame, repository: str, owner: str) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.sum("n").alias("occurrences"), F.sum("repositories").alias("repositories"), F.count("o").alias("owners"))
 
 
-def verdict(max_owners: int, max_repositories: int) -> Column:
-    """A value is an ``example`` when many owners or repositories hold it; otherwise it looks ``live``."""
-    return F.when((F.col("owners") > max_owners) | (F.col("repositories") > max_repositories), "example").otherwise("live")
+def widely(all_owners: int, owner_share: float = OWNER_SHARE, least_owners: int = LEAST_OWNERS) -> int:
+    """How many owners make a value an example, never fewer than two; the number of its repositories plays no part."""
+    return max(2, min(least_owners, all_owners - 1), math.ceil(owner_share * all_owners))
+
+
+def verdict(enough: int) -> Column:
+    """A value is an ``example`` when ``enough`` owners hold it; otherwise it looks ``live``."""
+    return F.when(F.col("owners") >= enough, "example").otherwise("live")
+
+
+def owners_of(rows: DataFrame, owner: str) -> int:
+    """The number of distinct owners of all rows, with candidates or without."""
+    return rows.select(owner).where(F.col(owner).isNotNull()).distinct().count()
 
 
 FOUND = ("start", "rank", "end", "kind", "hash", "length")
@@ -115,21 +127,21 @@ def key_of(found: Column, *columns: Column) -> Column:
     return F.when(F.size(found) > 0, F.sha2(F.to_json(found), 256)).otherwise(spread)
 
 
-def judged(rows: DataFrame, repository: str, owner: str, max_owners: int, max_repositories: int) -> DataFrame:
+def judged(rows: DataFrame, repository: str, owner: str, enough: int) -> DataFrame:
     """Per distinct list of candidates (``key``) the spans that are reported, each with its owners and verdict."""
     holders = rows.where(F.size("found") > 0)
-    stats = ownership(holders, repository, owner).withColumn("verdict", verdict(max_owners, max_repositories))
+    stats = ownership(holders, repository, owner).withColumn("verdict", verdict(enough))
     each = holders.select("key", "found").distinct().select("key", F.explode("found").alias("s")).select("key", "s.*")
     told = each.join(stats, "hash").where(~F.col("kind").isin([k.name for k in EXTRA]) | (F.col("verdict") == "live"))
     return told.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(*FOUND, "owners", "repositories", "verdict"))).alias("spans"))
 
 
 def scan(docs: DataFrame, text: str = "text", repository: str = "doc_id", owner: str = "source", keep: tuple[str, ...] = ("doc_id",),
-         max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
+         owner_share: float = OWNER_SHARE, least_owners: int = LEAST_OWNERS) -> DataFrame:
     """The ``keep`` columns of every row and ``spans``: array of (start, rank, end, kind, hash, length, owners, repositories, verdict).
 
     Base kinds are always reported; candidates of the further kinds only if their owners are few
-    (live), since a value that many owners hold is a copied example. Null and empty texts have no
+    (live), since a value that a good share of all owners hold is a copied example. Null and empty texts have no
     spans; a null owner or repository counts as none; repeated rows are reported each but count once as
     repository; an empty table gives an empty one; columns of ``keep`` must not be called found, key or spans.
     The candidates are staged, since two steps read them; texts are read once and never shuffled.
@@ -137,7 +149,7 @@ def scan(docs: DataFrame, text: str = "text", repository: str = "doc_id", owner:
     cols = tuple(dict.fromkeys((*keep, repository, owner)))
     rows = candidates(docs, text, cols, BASE + EXTRA)
     rows = stage(rows.withColumn("key", key_of(F.col("found"), *map(F.col, cols))), "secrets")
-    spans = judged(rows, repository, owner, max_owners, max_repositories)
+    spans = judged(rows, repository, owner, widely(owners_of(rows, owner), owner_share, least_owners))
     joined = rows.select(*keep, "key").join(spans, "key", "left")
     return joined.select(*keep, F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)).alias("spans"))
 
@@ -152,13 +164,13 @@ def redacted(text: Column, spans: Column, mark: str) -> Column:
 
 
 def redact(docs: DataFrame, text: str = "text", repository: str = "doc_id", owner: str = "source", mark: str = "[secret]",
-           max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
+           owner_share: float = OWNER_SHARE, least_owners: int = LEAST_OWNERS) -> DataFrame:
     """``docs`` with live secrets replaced in the text; copied examples stay. Rows without candidates are not shuffled."""
     cols = tuple(dict.fromkeys((repository, owner)))
     found = "_found"
     held = docs.withColumn(found, candidates_of(F.col(text), BASE + EXTRA))
     rows = stage(held.where(F.size(found) > 0).select(*cols, F.col(found).alias("found"), key_of(F.col(found)).alias("key")), "redact")
-    live = judged(rows, repository, owner, max_owners, max_repositories).select(
+    live = judged(rows, repository, owner, widely(owners_of(docs, owner), owner_share, least_owners)).select(
         F.col("key").alias("_key"), F.filter("spans", lambda s: s["verdict"] == "live").alias("_spans")).where(F.size("_spans") > 0)
     plain = held.where(F.size(found) == 0).select(*docs.columns)
     some = held.where(F.size(found) > 0).withColumn("_key", key_of(F.col(found))).join(live, "_key", "left")

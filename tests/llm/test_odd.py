@@ -290,3 +290,16 @@ def test_quality_sample_passes_over_a_text_that_does_not_fit(spark):
     m = quality_model.train(long, labels, F.lit(True), sample_bytes=5000)
     assert m.good and m.bad
     assert all((r.score > 0.5) == (r.doc_id < 100) for r in quality_model.score(docs, m).collect())
+
+
+def test_few_of_many_owners_hold_a_live_secret(spark):
+    """Two of 20 owners make no example, nor do 1001 documents of one; half of the owners do."""
+    two, many, wide = (k + "aB3" * 8 for k in ("Tw9", "Mn8", "Wd7"))
+    rows = [(i, f"x {wide}" if i < 10 else "x", f"o{i}") for i in range(20)] + [(30, f"y {two} AKIA{'Q' * 16}", "o1"), (31, f"y {two} AKIA{'Q' * 16}", "o2")]
+    rows += [(1000 + i, f"z {many}", "o3") for i in range(1001)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    spans = {r.doc_id: [(s.kind, s.verdict) for s in r.spans] for r in secrets.scan(df).collect()}
+    assert spans[0] == [] and spans[30] == spans[31] == [("mixed", "live"), ("access", "live")] and spans[1000] == [("mixed", "live")]
+    clean = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert clean[0] == f"x {wide}" and clean[30] == clean[31] == "y [secret] [secret]" and clean[2000] == "z [secret]"
+    assert [secrets.widely(n) for n in (0, 1, 2, 3, 4, 6, 20, 1000)] == [2, 2, 2, 2, 3, 5, 5, 100]
