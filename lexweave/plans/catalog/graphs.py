@@ -63,6 +63,15 @@ def shared_between(load):
     return gr.shared_between(gr.term_pairs(band), band, want).select("a", "b", "term", F.col("n_bills").cast("long").alias("n_bills"))
 
 
+@query("shared_between_all", f"""with {_PAIRS} select a, b, term, n as n_bills from pairs join band using (term) where b = a + 1
+qualify row_number() over (partition by a, b order by n desc, term collate "C") <= 2""")
+def shared_between_all(load):
+    """The two most widely used tokens shared by neighbouring documents, all pairs of neighbours."""
+    band = gr.band_terms(uses(load))
+    want = load("documents").select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"))
+    return gr.shared_between(gr.term_pairs(band), band, want).select("a", "b", "term", F.col("n_bills").cast("long").alias("n_bills"))
+
+
 # -- region / nation / customer as a tree ----------------------------------
 def nodes(load):
     r = load("region").select(F.concat(F.lit("R"), "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent"), F.col("r_regionkey").cast("int").alias("ordinal"), F.col("r_name").alias("name"))

@@ -76,3 +76,17 @@ def test_texts_are_tokenised_once_per_use(spark, sf_dir):
     ix = search.text_index(read_table(spark, sf_dir, "documents"), "doc_id", F.lit("t"), ["text"])
     q = search.query_phrases(spark.createDataFrame([(0, "of the")], "query_id int, text string").withColumn("topic", F.lit("t")))
     assert plan(search.bm25(ix, q)).count("FileScan") <= 2
+
+
+@pytest.mark.parametrize("name", ["keep_first_all", "first_available_all", "source_priority_all", "shared_between_all"])
+def test_whole_tables_match_sql(spark, sf_dir, name):
+    ok, message = compare(spark, connect(sf_dir), sf_dir, name, entry.queries()[name], entry.oracle_sql()[name])
+    assert ok, message
+
+
+def test_whole_tables_are_covered(spark, sf_dir):
+    run = lambda name: entry.queries()[name](spark, sf_dir)
+    ids = {r.doc_id for r in read_table(spark, sf_dir, "documents").select("doc_id").collect()}
+    assert ids <= {r.doc_id for r in run("source_priority_all").select("doc_id").collect()}
+    assert run("keep_first_all").where("version_code = 'pl'").count() and run("first_available_all").where("version_code = 'pl'").count()
+    assert run("shared_between_all").where("a % 5 != 0").count()
