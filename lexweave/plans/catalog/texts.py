@@ -97,6 +97,12 @@ def break_offsets(load):
     return load("documents").select("doc_id", F.array_join(F.slice(spans.break_offsets(t), 1, 2), ",").alias("head"))
 
 
+@query("break_offsets_all")
+def break_offsets_all(load):
+    """All structural breaks inside every document text."""
+    return load("documents").select("doc_id", F.array_join(spans.break_offsets("text"), ",").alias("offsets"))
+
+
 @query("span_locate", r"""with l as (select doc_id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as n from documents)
 select doc_id, n::bigint as n, (strpos(text, line) - 1)::integer as start, (strpos(text, line) - 1 + length(line))::integer as "end" from l where line <> ''""")
 def span_locate(load):

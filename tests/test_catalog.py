@@ -90,3 +90,21 @@ def test_whole_tables_are_covered(spark, sf_dir):
     assert ids <= {r.doc_id for r in run("source_priority_all").select("doc_id").collect()}
     assert run("keep_first_all").where("version_code = 'pl'").count() and run("first_available_all").where("version_code = 'pl'").count()
     assert run("shared_between_all").where("a % 5 != 0").count()
+
+
+def test_all_breaks_of_whole_texts(spark, tmp_path):
+    """Against a plain scan of every text, breaks at its end included."""
+    import re
+
+    from lexweave import fixed
+
+    texts = ["Sec. 1 at the start. (a) one; (12) two", "x " * 5000 + "SEC. 7 y TITLE IV z Subtitle B, PART II DIVISION C CHAPTER 3. (iv) end", "no break (a) here", "", None,
+             "\U0001f600 é— (b) after wide letters Sec. 2", "Sec. 3 Sec. 4 Sec. 5. (abcde) x; (1) y.  (2) z"]
+
+    def brute(t):
+        found = {m.start() for p in fixed.HEADING_MARKERS for m in re.finditer(p, t)} | {m.start(1) for m in re.finditer(fixed.PROVISION_MARKER, t)}
+        return ",".join(map(str, sorted(o for o in found if 0 < o < len(t))))
+
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.offsets for r in entry.queries()["break_offsets_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: brute(t or "") for i, t in enumerate(texts)} and len(got[1].split(",")) == 7
