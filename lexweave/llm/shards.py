@@ -65,15 +65,18 @@ def reach(pieces: list[tuple[int, int, int]], shards: int, low: int, high: int)
 Piece = tuple[int, int, int]
 
 
-def refine(sums: Callable[[list[tuple[int, int]] | None, int], list[Piece]], shards: int, bin_bits: int) -> list[int]:
+def refine(sums: Callable[[list[tuple[int, int]] | None, int], list[Piece]], shards: int, bin_bits: int,
+           inside: list[tuple[int, int]] | None = None) -> list[int]:
     """The first order key of every shard but the first, for the least possible size of the largest shard.
 
     ``sums(ranges, shift)`` gives (least key, greatest key, size) of all keys in the ranges that agree
     but for their last ``shift`` bits. Ranges in which a cut may fall are split on until those are single
     keys; then packing ranges is the same as packing atoms, and the smallest capacity that works is exact.
+    Where one atom is that size, the others are no reason to fill shards up to it: what stands before
+    and after it is searched again by itself, with the shards left over. ``inside``: the keys to cut, all if None.
     """
     shift = max(0, 64 - bin_bits)
-    pieces = sorted(sums(None, shift))
+    pieces = sorted(sums(inside, shift))
     while pieces:
         total = sum(s for _, _, s in pieces)
         coarse = [s for _, _, s in pieces]
@@ -82,13 +85,34 @@ def refine(sums: Callable[[list[tuple[int, int]] | None, int], list[Piece]], sha
         low = lower_bound(pieces, shards, low, high)
         mixed = [pieces[i] for i in sorted(reach(pieces, shards, low, high)) if pieces[i][0] != pieces[i][1]]
         if not mixed:
-            return [pieces[e][0] for e in feasible(coarse, shards, high)[:-1]]
+            forced = next((i for i, (a, b, s) in enumerate(pieces) if a == b and s == high), None)
+            if forced is None or len(pieces) == 1:
+                return [pieces[e][0] for e in feasible(coarse, shards, high)[:-1]]
+            left, right = pieces[:forced], pieces[forced + 1:]
+            k = share_out(left, right, shards - 1, high)
+            parts = [refine(sums, n, bin_bits, [(run[0][0], run[-1][1])]) if run else [] for run, n in ((left, k), (right, shards - 1 - k))]
+            return [*parts[0], *[pieces[forced][0]] * bool(left), *[x[0] for x in right[:1]], *parts[1]]
         shift = max(0, shift - max(1, bin_bits - len(mixed).bit_length()))
         closed = {p[0] for p in mixed}
         pieces = sorted([p for p in pieces if p[0] not in closed] + sums([p[:2] for p in mixed], shift))
     return []
 
 
+def share_out(left: list[Piece], right: list[Piece], shards: int, capacity: int) -> int:
+    """How many of the shards go to the pieces on the left, so that both sides keep the capacity and the larger bound is least."""
+    def bound(run: list[Piece], n: int) -> int | None:
+        """None if the run does not fit into n shards."""
+        if not run:
+            return 0
+        sizes = [s for _, _, s in run]
+        if n < 1 or feasible(sizes, n, capacity) is None:
+            return None
+        return lower_bound(run, n, max([-(-sum(sizes) // n), *[s for a, b, s in run if a == b]]), capacity)
+
+    found = [(max(x, y), k) for k in range(shards + 1) if (x := bound(left, k)) is not None and (y := bound(right, shards - k)) is not None]
+    return min(found)[1]
+
+
 def cuts(groups: DataFrame, shards: int, bin_bits: int = BIN_BITS) -> list[int]:
     """``refine`` over a table of ``order_key`` and ``size``; rows of one key are one atom.
 

@@ -303,3 +303,14 @@ def test_few_of_many_owners_hold_a_live_secret(spark):
     clean = {r.doc_id: r.text for r in secrets.redact(df).collect()}
     assert clean[0] == f"x {wide}" and clean[30] == clean[31] == "y [secret] [secret]" and clean[2000] == "z [secret]"
     assert [secrets.widely(n) for n in (0, 1, 2, 3, 4, 6, 20, 1000)] == [2, 2, 2, 2, 3, 5, 5, 100]
+
+
+def test_shards_beside_a_hot_group_are_even():
+    """One atom of a third of all bytes: the other seven shards share the rest, none is empty."""
+    rows = [(k, 1500 if k == 7 else 100) for k in range(-15, 16)]
+    scaled = [(k << 57, s) for k, s in rows]
+    for bits in (1, 3, 6):
+        spread, load = _cuts(scaled, 8, bits), {}
+        for k, s in scaled:
+            load[sum(k >= c for c in spread)] = load.get(sum(k >= c for c in spread), 0) + s
+        assert len(load) == 8 and max(load.values()) == 1500 and sorted(load.values())[-2] <= 500
