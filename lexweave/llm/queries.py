@@ -7,7 +7,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import bpe, decontaminate, jaccard, quality, quality_model, secrets, shards, tokenfile, urls, warc
+from lexweave.llm import (bpe, decontaminate, exact, jaccard, phrases, quality, quality_model, repair, secrets, shards, tokenfile, urls,
+                          warc)
 from lexweave.llm.common import fresh_uri
 from lexweave.llm.twins import SQL
 
@@ -117,4 +118,21 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+@query
+def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = exact.mark(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return marked.select("doc_id", F.col("_keep").alias("keep_id"), F.col("_n").alias("group_size"), F.col("_kept").alias("kept"), F.col("_digest").alias("text_sha256"))
+
+
+@query
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair.audit(repair.damaged(rows), rows.select(F.col("conv_id").alias("conv")).distinct()).withColumnRenamed("conv", "conv_id")
+
+
 __all__ = ["QUERIES", "SQL"]

@@ -1,5 +1,5 @@
 """SQL twins of those queries that SQL can express."""
-from lexweave.llm import quality, urls
+from lexweave.llm import phrases, quality, urls
 
 SQL: dict[str, str] = {}
 
@@ -46,3 +46,34 @@ c as (
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {_fails(quality.BASE)} as base_failed,
        not ({_fails(quality.BASE + quality.RULES)}) as kept from c
 """
+
+SQL["op11_exact"] = r"""
+with d as (select row_number() over () as k, doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as h from documents),
+m as (select *, row_number() over (partition by h order by doc_id nulls last, k) as place from d)
+select doc_id, first_value(doc_id) over (partition by h order by place) as keep_id, count(*) over (partition by h) as group_size,
+       place = 1 as kept, h as text_sha256 from m
+"""
+
+SQL["op12_phrases"] = rf"""
+with d as (select coalesce(lang, '{phrases.UNKNOWN}') as lang, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t
+           from documents where text is not null),
+p as (select lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) as piece from d),
+w as (select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') as ws from p),
+s as (select lang, ws, unnest(range(1, len(ws) + 1)) as i from w where len(ws) > 0),
+e as (select lang, ws, i, unnest(range(1, least({phrases.LONGEST}, len(ws) - i + 1) + 1)) as m from s),
+f as (select lang, array_to_string(ws[i:i + m - 1], ' ') as phrase, any_value(m) as m, count(*) as a from e group by 1, 2),
+n as (select lang, sum(a) as n from f where m = 1 group by 1),
+c as (select lang, phrase, string_split(phrase, ' ') as ws, m, a from f where m > 1 and a >= {phrases.LEAST}),
+k as (select lang, phrase, ws, m, a, unnest(range(1, m)) as k from c),
+x as (select k.lang, k.phrase, k.m, k.a, k.k, u.a as l, v.a as r, n.n,
+             (1000::hugeint * k.a::hugeint * n.n::hugeint) // (u.a::hugeint * v.a::hugeint) as score
+      from k join n using (lang) join f u on u.lang = k.lang and u.phrase = array_to_string(k.ws[1:k.k], ' ')
+      join f v on v.lang = k.lang and v.phrase = array_to_string(k.ws[k.k + 1:], ' ')),
+b as (select * from x qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+o as (select lang, a, ws, m, unnest(range(2, m)) as len from c),
+q as (select lang, a, ws, len, unnest(range(1, m - len + 2)) as st from o),
+g as (select lang, array_to_string(ws[st:st + len - 1], ' ') as phrase, max(a) as longer from q group by 1, 2),
+z as (select b.* from b left join g using (lang, phrase) where longer is null or 100 * longer < {phrases.INSIDE} * a),
+r as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from z)
+select lang, rank, phrase, a, l, r, n::bigint as n, score::bigint as score from r where rank <= {phrases.KEEP}
+"""

@@ -143,3 +143,89 @@ def urls(pages, rules):
         fits = [(len(h + p), len(h), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
         best = max(fits, default=(0, 0, None, "allow"))
         yield k, host, path, best[2], best[3]
+
+
+def exact(docs):
+    """Of equal texts the smallest key stays (nulls last); of rows that tie, one."""
+    groups: dict[str, list] = {}
+    for k, text in docs:
+        groups.setdefault(sha(re.sub(r"[\x20\x09-\x0D]+", " ", text or "")), []).append(k)
+    for h, keys in groups.items():
+        keys.sort(key=lambda k: (k is None, k))
+        for i, k in enumerate(keys):
+            yield k, keys[0], len(keys), i == 0, h
+
+
+def phrases(docs, least=100, keep=2000, longest=5, inside=100):
+    counts: dict[str, Counter] = {}
+    for lang, text in docs:
+        f = counts.setdefault("und" if lang is None else lang, Counter())
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOWER)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            f.update(tuple(w[i: i + m]) for i in range(len(w)) for m in range(1, longest + 1) if i + m <= len(w))
+    for lang, f in counts.items():
+        n = sum(c for p, c in f.items() if len(p) == 1)
+        candidates = {p: a for p, a in f.items() if len(p) > 1 and a >= least}
+        longer = Counter()
+        for p, a in candidates.items():
+            for m in range(2, len(p)):
+                for i in range(len(p) - m + 1):
+                    longer[p[i: i + m]] = max(longer[p[i: i + m]], a)
+        rows = []
+        for p, a in candidates.items():
+            score, k = min((1000 * a * n // (f[p[:k]] * f[p[k:]]), k) for k in range(1, len(p)))
+            if not longer[p] or 100 * longer[p] < inside * a:
+                rows.append((-score, -a, " ".join(p).encode(), f[p[:k]], f[p[k:]]))
+        for rank, (score, a, p, left, right) in enumerate(sorted(rows)[:keep], 1):
+            yield lang, rank, p.decode(), -a, left, right, n, -score
+
+
+def conversations(rows):
+    """Damage and repair of (conv_id, turn, role, text), every audit tried turn by turn over the four states."""
+    said = lambda x: " " if x is None else str(x)
+    kept: dict = {r[0]: [] for r in rows}
+    for conv, turn, role, text in rows:
+        kind = zlib.crc32(f"{said(conv)}:{said(turn)}".encode()) % 20
+        role, text = said(role), said(text)
+        if kind == 0:
+            continue
+        text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+        kept[conv] += [(turn, "user" if kind == 4 else role, text)] * (2 if kind == 3 else 1)
+    after = {("s", 0): 1, ("u", 0): 2, ("u", 1): 2, ("u", 3): 2, ("a", 2): 3}
+    names = {"u": "user", "a": "assistant"}
+    for conv, mine in kept.items():
+        mine.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), r[2].encode()))
+        turns = [t for t, _, _ in mine if t is not None]
+        gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+        seen, faults = set(), []
+        for _, role, text in mine:
+            end = re.findall(r"[^\x20\x09-\x0D]", text)
+            faults.append("blank" if not end else "duplicate" if (role, text) in seen else "truncated" if end[-1] not in ".!?" else None)
+            seen.add((role, text))
+        illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(mine, mine[1:]))
+        best = {0: (0, "", ())}
+        def added(ways):
+            out = dict(ways)
+            for _ in range(2):
+                for s, (c, a, t) in list(out.items()):
+                    x = "a" if s == 2 else "u"
+                    new = (c + 2, a + "I", t + ((names[x], ""),))
+                    to = after[x, s]
+                    out[to] = min(out.get(to, new), new, key=lambda w: w[:2])
+            return out
+        for (_, role, text), fault in zip(mine, faults):
+            ways: dict = {}
+            def offer(s, w):
+                ways[s] = min(ways.get(s, w), w, key=lambda v: v[:2])
+            for s, (c, a, t) in added(best).items():
+                offer(s, (c + 3, a + "D", t))
+                if fault not in ("blank", "duplicate"):
+                    extra = int(fault == "truncated")
+                    if (role[:1], s) in after:
+                        offer(after[role[:1], s], (c + extra, a + "K", t + ((role, text),)))
+                    x = "a" if s == 2 else "u"
+                    offer(after[x, s], (c + 2 + extra, a + "R", t + ((names[x], text),)))
+            best = ways
+        c, a, t = min((w for s, w in added(best).items() if s in (0, 3)), key=lambda w: w[:2])
+        n = Counter(faults)
+        yield (conv, gaps, n["blank"], n["duplicate"], n["truncated"], illegal, c, a, sha("\n".join(f"{r}:{x}" for r, x in t)))

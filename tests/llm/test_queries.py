@@ -69,3 +69,18 @@ def test_columns_of_twins(spark, sf_dir, name):
     import oracle
     ok, said = oracle.compare(spark, oracle.connect(sf_dir), sf_dir, name, queries.QUERIES[name], queries.SQL[name])
     assert ok, said
+
+
+def test_exact(spark, sf_dir, docs):
+    same(queries.op11_exact(spark, sf_dir), brute.exact(docs), "doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def test_phrases(spark, sf_dir):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", "text").collect()]
+    same(queries.op12_phrases(spark, sf_dir), brute.phrases(rows), "lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def test_conversations(spark, sf_dir):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    same(queries.op13_conversations(spark, sf_dir), brute.conversations(rows), "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit",
+         "repaired_sha256")
