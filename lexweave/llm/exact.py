@@ -15,7 +15,6 @@ from lexweave.sources.tables import stage
 #: Lanes are numbered in digits of so many bits; a round exchanges one digit, that is, it does as many binomial rounds at once.
 DIGIT_BITS = 4
 LANE_ROWS, LEAST_DIGITS, MOST_DIGITS = 1 << 18, 2, 6
-RUN = ["digest", "bytes", "id", "row", "n"]
 
 
 def normalised(text: Column) -> Column:
@@ -31,7 +30,7 @@ def merged(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.R
     """
     held = None
     for b in batches:
-        t = pa.Table.from_batches([b])
+        t = pa.Table.from_arrays(b.columns, b.schema.names)  # without what Spark says of nulls
         t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
         if not t.num_rows:
             continue
