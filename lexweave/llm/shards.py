@@ -1,9 +1,9 @@
 """Sharding: minimax contiguous partition of ordered atomic groups into shards of nearly equal bytes."""
 from __future__ import annotations
 
-import bisect
-import itertools
+import functools
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from lexweave.sources.tables import stage
 
-BIN_BITS = 12
+BIN_BITS, SPLIT_BITS = 12, 8
 SALTS = 64
 ORDER = "order_key"
 
@@ -43,58 +43,77 @@ def smallest(low: int, high: int, works: Callable[[int], bool]) -> int:
     return low
 
 
-def reach(pieces: list[tuple[int, int, int]], shards: int, low: int, high: int) -> set[int]:
-    """Positions of the pieces in which greedy packing can cut for some capacity in [low, high].
+class Piece(NamedTuple):
+    """A range of order keys that agree but for their last ``shift`` bits: least and greatest key, size. One key: an atom."""
+    least: int
+    greatest: int
+    size: int
+    shift: int
 
-    Between the earliest and the latest byte at which a shard can begin plus the capacity, a cut
-    falls into the piece that holds that byte: at its start if the piece is one atom, anywhere in it if not.
-    """
-    prefix = [0, *itertools.accumulate(s for _, _, s in pieces)]
-    out: set[int] = set()
-    first = last = 0
-    for _ in range(shards - 1):
-        if first + low >= prefix[-1]:
-            break
-        i = bisect.bisect_right(prefix, first + low) - 1
-        j = min(bisect.bisect_right(prefix, last + high) - 1, len(pieces) - 1)
-        out.update(range(i, j + 1))
-        first, last = prefix[i], prefix[j] if pieces[j][0] == pieces[j][1] else last + high
-    return out
+    @property
+    def atom(self) -> bool:
+        return self.least == self.greatest
+
+
+Sums = Callable[[list[Piece] | None, int], list[Piece]]
+
+
+def fluid(pieces: list[Piece], capacity: int) -> tuple[int, set[int]]:
+    """Shards needed if a range could be cut at any byte, and the ranges that are cut inside: no real packing needs fewer."""
+    used, load, inside = 1, 0, set()
+    for i, p in enumerate(pieces):
+        if p.atom:
+            if load + p.size > capacity:
+                used, load = used + 1, 0
+            load += p.size
+            continue
+        load += p.size
+        if load > capacity:
+            inside.add(i)
+            used, load = used + (load - 1) // capacity, (load - 1) % capacity + 1
+    return used, inside
 
 
-Piece = tuple[int, int, int]
+def bounds(pieces: list[Piece], shards: int) -> tuple[int, int]:
+    """Between these lies the smallest capacity: the least if ranges could be cut anywhere, and the least if nowhere."""
+    total = sum(p.size for p in pieces)
+    sizes = [p.size for p in pieces]
+    least = max([-(-total // shards), *[p.size for p in pieces if p.atom]])
+    high = smallest(least, total, lambda c: feasible(sizes, shards, c) is not None)
+    return smallest(least, high, lambda c: fluid(pieces, c)[0] <= shards), high
 
 
-def refine(sums: Callable[[list[tuple[int, int]] | None, int], list[Piece]], shards: int, bin_bits: int,
-           inside: list[tuple[int, int]] | None = None) -> list[int]:
+def at_cuts(pieces: list[Piece], shards: int, capacities: tuple[int, ...]) -> set[int]:
+    """The ranges in which, or before which, a shard ends for one of the capacities: at most two per shard and capacity."""
+    sizes, out = [p.size for p in pieces], set()
+    for c in capacities:
+        out |= fluid(pieces, c)[1] | {e for e in (feasible(sizes, shards, c) or [])[:-1] if not pieces[e].atom}
+    return out
+
+
+def refine(sums: Sums, shards: int, bin_bits: int, pieces: list[Piece] | None = None) -> list[int]:
     """The first order key of every shard but the first, for the least possible size of the largest shard.
 
-    ``sums(ranges, shift)`` gives (least key, greatest key, size) of all keys in the ranges that agree
-    but for their last ``shift`` bits. Ranges in which a cut may fall are split on until those are single
-    keys; then packing ranges is the same as packing atoms, and the smallest capacity that works is exact.
-    Where one atom is that size, the others are no reason to fill shards up to it: what stands before
-    and after it is searched again by itself, with the shards left over. ``inside``: the keys to cut, all if None.
+    The capacity is halved between two bounds. Only the ranges at the cuts of the bounds and of the
+    capacity between them are split on, so a round asks for at most six ranges per shard, whatever
+    the sizes of atoms; it ends when the bounds meet, and then the packing of ranges is exact.
+    Where one atom is the capacity, the others are no reason to fill shards up to it: what stands before
+    and after it is searched again by itself, with the shards left over. ``pieces``: what to cut, all if None.
     """
-    shift = max(0, 64 - bin_bits)
-    pieces = sorted(sums(inside, shift))
+    pieces = sorted(sums(None, bin_bits)) if pieces is None else pieces
     while pieces:
-        total = sum(s for _, _, s in pieces)
-        coarse = [s for _, _, s in pieces]
-        low = max([-(-total // shards), *[s for a, b, s in pieces if a == b]])
-        high = smallest(low, total, lambda c: feasible(coarse, shards, c) is not None)
-        low = lower_bound(pieces, shards, low, high)
-        mixed = [pieces[i] for i in sorted(reach(pieces, shards, low, high)) if pieces[i][0] != pieces[i][1]]
-        if not mixed:
-            forced = next((i for i, (a, b, s) in enumerate(pieces) if a == b and s == high), None)
+        low, high = bounds(pieces, shards)
+        if low == high:
+            ends = feasible([p.size for p in pieces], shards, high)
+            forced = next((i for i, p in enumerate(pieces) if p.atom and p.size == high), None)
             if forced is None or len(pieces) == 1:
-                return [pieces[e][0] for e in feasible(coarse, shards, high)[:-1]]
+                return [pieces[e].least for e in ends[:-1]]
             left, right = pieces[:forced], pieces[forced + 1:]
             k = share_out(left, right, shards - 1, high)
-            parts = [refine(sums, n, bin_bits, [(run[0][0], run[-1][1])]) if run else [] for run, n in ((left, k), (right, shards - 1 - k))]
-            return [*parts[0], *[pieces[forced][0]] * bool(left), *[x[0] for x in right[:1]], *parts[1]]
-        shift = max(0, shift - max(1, bin_bits - len(mixed).bit_length()))
-        closed = {p[0] for p in mixed}
-        pieces = sorted([p for p in pieces if p[0] not in closed] + sums([p[:2] for p in mixed], shift))
+            parts = [refine(sums, n, bin_bits, run) if run else [] for run, n in ((left, k), (right, shards - 1 - k))]
+            return [*parts[0], *[pieces[forced].least] * bool(left), *[x.least for x in right[:1]], *parts[1]]
+        split = at_cuts(pieces, shards, (low, (low + high) // 2, high))
+        pieces = sorted([p for i, p in enumerate(pieces) if i not in split] + sums([pieces[i] for i in sorted(split)], SPLIT_BITS))
     return []
 
 
@@ -104,10 +123,9 @@ def share_out(left: list[Piece], right: list[Piece], shards: int, capacity: int)
         """None if the run does not fit into n shards."""
         if not run:
             return 0
-        sizes = [s for _, _, s in run]
-        if n < 1 or feasible(sizes, n, capacity) is None:
+        if n < 1 or feasible([p.size for p in run], n, capacity) is None:
             return None
-        return lower_bound(run, n, max([-(-sum(sizes) // n), *[s for a, b, s in run if a == b]]), capacity)
+        return bounds(run, n)[0]
 
     found = [(max(x, y), k) for k in range(shards + 1) if (x := bound(left, k)) is not None and (y := bound(right, shards - k)) is not None]
     return min(found)[1]
@@ -116,37 +134,26 @@ def share_out(left: list[Piece], right: list[Piece], shards: int, capacity: int)
 def cuts(groups: DataFrame, shards: int, bin_bits: int = BIN_BITS) -> list[int]:
     """``refine`` over a table of ``order_key`` and ``size``; rows of one key are one atom.
 
-    Sums of at most about 2^bin_bits ranges come to the driver at a time, whatever the size of the input.
+    At first the sums of at most 2^bin_bits ranges come to the driver, then those of at most six ranges per
+    shard, cut into 2^SPLIT_BITS each, whatever the size of the input.
     """
-    def sums(ranges: list[tuple[int, int]] | None, shift: int) -> list[Piece]:
-        picked = groups
-        if ranges is not None:
-            inside = F.lit(False)
-            for a, b in ranges:
-                inside = inside | F.col(ORDER).between(a, b)
-            picked = groups.where(inside)
-        low = F.shiftleft(F.shiftright(ORDER, shift), shift) if shift else F.col(ORDER)
-        rows = picked.groupBy(low.alias("low")).agg(F.min(ORDER).alias("a"), F.max(ORDER).alias("b"), F.sum("size").alias("s")).collect()
-        return [(r.a, r.b, r.s) for r in rows]
+    def of(rows: DataFrame, shift: int) -> DataFrame:
+        return rows.groupBy(F.shiftright(ORDER, shift).alias("prefix")).agg(
+            F.min(ORDER).alias("a"), F.max(ORDER).alias("b"), F.sum("size").alias("s")).withColumn("shift", F.lit(shift))
+
+    def sums(ranges: list[Piece] | None, split: int) -> list[Piece]:
+        if ranges is None:
+            found = of(groups, max(0, 64 - split))
+        else:
+            by_shift: dict[int, list[int]] = {}
+            for p in ranges:
+                by_shift.setdefault(p.shift, []).append(p.least >> p.shift)
+            found = functools.reduce(DataFrame.unionAll, [
+                of(groups.where(F.shiftright(ORDER, shift).isin(prefixes)), max(0, shift - split)) for shift, prefixes in sorted(by_shift.items())])
+        return [Piece(r.a, r.b, r.s, r.shift) for r in found.collect()]
     return refine(sums, shards, bin_bits)
 
 
-def lower_bound(pieces: list[tuple[int, int, int]], shards: int, low: int, high: int) -> int:
-    """The least capacity that could work if every mixed piece could be cut anywhere."""
-    def works(capacity: int) -> bool:
-        used, load = 1, 0
-        for a, b, s in pieces:
-            if a == b:
-                if load + s > capacity:
-                    used, load = used + 1, 0
-                load += s
-            else:
-                load += s
-                used, load = used + (load - 1) // capacity, (load - 1) % capacity + 1
-        return used <= shards
-    return smallest(low, high, works)
-
-
 def assign(docs: DataFrame, shards: int = 8, text: str = "text", keep: tuple[str, ...] = ("doc_id",), bin_bits: int = BIN_BITS) -> DataFrame:
     """The ``keep`` columns with ``size``, ``text_crc32``, ``shard`` and ``slot`` (gapless from 0 in each shard).
 
