@@ -1,13 +1,16 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, operator by operator."""
 import brute
+import contextlib
+
 import numpy as np
 import pyarrow as pa
+import pytest
 from conftest import same
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lexweave.llm import bpe, decontaminate, jaccard, quality, quality_model, secrets, shards, tokenfile, urls, warc
+from lexweave.llm import bpe, decontaminate, exact, jaccard, phrases, quality, quality_model, repair, secrets, shards, tokenfile, urls, warc
 from lexweave.llm.queries import TOKENIZER
 
 SHA = ("doc_id", "n", "i", "d")
@@ -163,18 +166,53 @@ def test_cuts_equal_those_over_all_atoms(rows, n, bits):
     assert max(load.values()) == brute.shards(scaled, n) and len(load) <= n
 
 
-def _cuts(rows, n, bits):
-    def sums(ranges, shift):
+def _cuts(rows, n, bits, asked=None):
+    def sums(ranges, split):
         got = {}
         for k, s in rows:
-            if ranges is None or any(a <= k <= b for a, b in ranges):
-                low = k >> shift << shift
-                a, b, t = got.get(low, (k, k, 0))
-                got[low] = (min(a, k), max(b, k), t + s)
-        return list(got.values())
+            of = [None] if ranges is None else [p for p in ranges if p.least <= k <= p.greatest]
+            for p in of:
+                shift = max(0, (64 if p is None else p.shift) - split)
+                a, b, t, _ = got.get((k >> shift, shift), (k, k, 0, 0))
+                got[k >> shift, shift] = (min(a, k), max(b, k), t + s, shift)
+        if asked is not None:
+            asked.append(0 if ranges is None else len(ranges))
+        return [shards.Piece(*p) for p in got.values()]
     return shards.refine(sums, n, bits)
 
 
+def test_large_atoms_do_not_widen_the_search():
+    """With one atom of any share, a round asks for a few ranges per shard, and the shards are the best there are."""
+    rng = np.random.default_rng(5)
+    keys = rng.integers(-(1 << 63), 1 << 63, 30_000, np.int64).tolist()
+    sizes = rng.integers(1, 5000, 30_000).tolist()
+    for share in (0.03, 0.06, 0.12, 0.3, 0.6):
+        hot = int(sum(sizes) * share / (1 - share))
+        rows, asked = [*zip(keys, sizes), (keys[777], hot)], []
+        found, load = _cuts(rows, 8, 12, asked), np.zeros(8, np.int64)
+        for k, s in rows:
+            load[sum(k >= c for c in found)] += s
+        assert load.max() == brute.shards(rows) and max(asked) <= 6 * 8 and len(asked) <= 40 and (load > 0).all(), (share, asked)
+
+
+def test_shards_with_a_hot_text(spark):
+    """200,000 texts beside one that holds 5 % or a third of the bytes; sizes and checksums against plain ones."""
+    import zlib
+    for share in (20, 2):
+        text = F.when(F.col("id") % share == 0, F.repeat(F.lit("hot text "), 8)).otherwise(F.concat(F.lit("text number "), F.sha2(F.col("id").cast("string"), 256)))
+        df = spark.range(200_000 * share // (share - 1)).select(F.col("id").alias("doc_id"), text.alias("text"))
+        rows = shards.assign(df, 8, keep=("doc_id", "text")).toPandas()
+        assert len(rows) == df.count() and (rows["size"] == rows["text"].str.len() + 1).all()
+        some = rows.iloc[::997]
+        assert [zlib.crc32(t.encode()) for t in some["text"]] == some["text_crc32"].tolist()
+        assert rows.groupby("text")["shard"].nunique().max() == 1
+        load = rows.groupby("shard")["size"].sum()
+        hot = rows.loc[rows["text"].str.startswith("hot"), "size"].sum()
+        assert load.max() <= max(hot, load.sum() / 8 + 10_000) and len(load) == 8
+        slots = rows.groupby("shard")["slot"].agg(["min", "max", "nunique", "count"])
+        assert (slots["min"] == 0).all() and (slots["max"] == slots["count"] - 1).all() and (slots["nunique"] == slots["count"]).all()
+
+
 def test_secrets(odd_docs, odd_rows):
     rows = secrets.scan(odd_docs)
     text = lambda s: F.array_join(F.transform(s, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
@@ -314,3 +352,128 @@ def test_shards_beside_a_hot_group_are_even():
         for k, s in scaled:
             load[sum(k >= c for c in spread)] = load.get(sum(k >= c for c in spread), 0) + s
         assert len(load) == 8 and max(load.values()) == 1500 and sorted(load.values())[-2] <= 500
+
+
+@contextlib.contextmanager
+def small_batches(spark, rows):
+    """Arrow batches of so few rows that every stream crosses many of them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name)
+
+
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_exact(spark, odd_docs, odd_rows, batch):
+    with small_batches(spark, batch):
+        same(exact.mark(odd_docs), brute.exact(odd_rows), "doc_id", "_keep", "_n", "_kept", "_digest")
+        kept = exact.keep_one(odd_docs)
+        assert kept.columns == odd_docs.columns and kept.count() == len({d[4] for d in brute.exact(odd_rows)})
+        assert exact.mark(odd_docs.where("false")).collect() == []
+
+
+def test_exact_of_a_hot_text(spark):
+    """A third of 30,000 rows is one text, under text keys; three rounds of lanes."""
+    df = spark.range(30_000).repartition(16).select(F.concat(F.lit("k"), F.lpad("id", 6, "0")).alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot  text").otherwise(
+        F.concat(F.lit("hot \t"), F.col("id").cast("string"))).alias("text"))
+    run = exact.mark(df).collect()
+    hot = [r for r in run if r._n > 1]
+    assert len(run) == 30_000 and len(hot) == 10_000 and {(r._keep, r._n) for r in hot} == {("k000000", 10_000)}
+    assert [r.doc_id for r in hot if r._kept] == ["k000000"] and all(r._kept and r._keep == r.doc_id for r in run if r._n == 1)
+    assert exact.digits_for(1) == 2 and exact.digits_for(1 << 30) == 3 and exact.digits_for(10 ** 13) == 6
+
+
+PHRASE_TEXTS = ["New York city, new york CITY! the the the the the\nthe new york", "new york city hall is in new york city hall", None, "", " \t ", "a.b.c", "x " * 40,
+                "\u00c9a \u00e9a \u00c9a \u00e9a. \u00c9a \u00e9a", "one two three four five six seven " * 6, "one two three four five six seven", "the\u00a0new york"]
+
+
+@pytest.mark.parametrize("least", [1, 2, 5])
+def test_phrases(spark, monkeypatch, least):
+    """Odd texts, repeated rows, null languages; many small ranges and sent parts."""
+    monkeypatch.setattr(phrases, "PIECE_BYTES", 64)
+    monkeypatch.setattr(phrases, "STATES", 20)
+    rows = [(i, t, [None, "en", "und"][i % 3], 1) for i, t in enumerate(PHRASE_TEXTS * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, a int").repartition(3)
+    columns = ("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    for inside in (100, 60):
+        want = list(brute.phrases([(r[2], r[1]) for r in rows if r[2] != "und"] + [(None, r[1]) for r in rows if r[2] == "und"], least, keep=7, inside=inside))
+        same(phrases.mine(df, least=least, keep=7, inside=inside), want, *columns)
+    assert phrases.mine(df.where("false")).collect() == []
+
+
+def test_minimal_automata_keep_their_paths():
+    from lexweave.llm import automaton as am
+    rng = np.random.default_rng(2)
+    alphabet = np.unique(rng.integers(1, 1 << 62, 9).astype(np.uint64))
+    def made():
+        rows = np.unique(rng.integers(0, len(alphabet), (200, 4)), axis=0)
+        for row in rows[::3]:
+            row[rng.integers(1, 4):] = -1
+        rows = np.unique(rows, axis=0)
+        n = rng.integers(1, 3, len(rows))
+        want = {}
+        for row, w in zip(rows.tolist(), n.tolist()):
+            for k in range(1, 5):
+                if row[k - 1] >= 0:
+                    key = tuple(alphabet[row[:k]].tolist())
+                    want[key] = want.get(key, 0) + w
+        return am.build(rows, n, alphabet), want
+    def told(a):
+        return {tuple(s): int(w[-1]) for k in range(len(a.labels)) for s, w in zip(am.paths(a, k)[0].tolist(), am.paths(a, k)[1])}
+    (a, x), (b, y) = made(), made()
+    both = {k: x.get(k, 0) + y.get(k, 0) for k in {*x, *y}}
+    assert told(a) == x and told(am.unpack(am.pack(b))) == y and told(am.united([a, b])) == both
+    assert told(am.pruned(am.united([a, b]), 6)) == {k: w for k, w in both.items() if w >= 6}
+    asked = np.array([list(k) + [0] * (4 - len(k)) for k in both] + [[5, 0, 0, 0]], np.uint64)
+    assert am.composed(am.united([a, b]), asked, np.array([len(k) for k in both] + [1])).tolist() == [*both.values(), 0]
+    few = am.pack(am.build(np.array([[i, 3, 4] for i in range(3)]), np.ones(3, np.int64), alphabet))
+    assert few["sizes"] == [1, 3, 1, 1, 1, 1]  # three ways, one continuation
+
+
+TURNS = [(1, t, r, x) for t, (r, x) in enumerate([("system", "S."), ("user", "Hi."), ("user", "Hi."), ("assistant", "Yes"), ("tool", "x."), ("user", " \n"), ("assistant", "Ok!")])]
+TURNS += [(2, None, "user", "q."), (2, None, None, None), (2, 5, "assistant", "a."), (2, 9, "assistant", "a."), (None, 1, "assistant", "b?"), (None, None, "", "c."), (3, 0, "system", "only.")]
+TURNS += [(4, t, "ua"[t % 2] + "x", f"long {t}.") for t in range(300)] + [(5, 7, "user", "same.")] * 40 + [(6, t, "assistant", f"{t}!") for t in range(50)]
+
+
+@pytest.mark.parametrize("block", [4, 1 << 16])
+def test_conversations(spark, monkeypatch, block):
+    """Odd conversations in blocks of four rows and in one; repaired turns give the digests."""
+    monkeypatch.setattr(repair, "BLOCK_ROWS", block)
+    df = spark.createDataFrame([(*r, "x") for r in TURNS], "conv_id long, turn long, role string, text string, cost string").repartition(5)
+    names = ("conv", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+    with small_batches(spark, 50):
+        ids = df.select(F.col("conv_id").alias("conv")).distinct()
+        want = list(brute.conversations(TURNS))
+        same(repair.audit(repair.damaged(df), ids), want, *names)
+        turns = repair.repaired(repair.damaged(df)).collect()
+        assert repair.audit(df.where("false")).collect() == [] and repair.repaired(df.where("false")).collect() == []
+    for conv, *_, audit, sha in want:
+        mine = sorted((r for r in turns if r.conv == conv), key=lambda r: r.place)
+        assert brute.sha("\n".join(f"{r.role}:{r.text}" for r in mine)) == sha and "".join(r.edit for r in mine) == audit.replace("D", "")
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 8), min_size=1, max_size=30), min_size=1, max_size=6))
+def test_grammar_gives_the_cheapest_audits(rows):
+    """Matrices and ropes of the grammar against trying every way turn by turn."""
+    symbols = np.array([s for r in rows for s in r], np.int64)
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    g, roots, _ = repair.repair_pairs(symbols, owner)
+    _, _, letters = repair.row_edits()
+    for row, root in zip(rows, roots):
+        ways = {0: (0, "")}
+        for s in row:
+            new = {}
+            cost, _, _ = repair.row_edits()
+            for i, (c, a) in ways.items():
+                for k in range(4):
+                    if letters[s][i][k]:
+                        w = (c + int(cost[s, i, k]), a + letters[s][i][k])
+                        new[k] = min(new.get(k, w), w)
+            ways = new
+        for k, (c, a) in ways.items():
+            assert g.cost[root, 0, k] == c
+            got = repair.unrolled(g, np.array([root]), np.array([0]), np.array([k]))
+            assert "".join(letters[s][i][j] for s, i, j in zip(*(x.tolist() for x in got))) == a
