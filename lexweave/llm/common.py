@@ -79,6 +79,19 @@ def gather(table: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ids: np.nda
     return table[where], ends
 
 
+def bits(places: DataFrame, log: int) -> np.ndarray:
+    """A bitmap of the column ``place`` (below 2^log); whatever the number of rows, at most 2^log / 64 words come to the driver."""
+    one = F.expr("shiftleft(1L, cast(place & 63 as int))")
+    rows = places.groupBy(F.shiftright("place", 6).alias("at")).agg(F.bit_or(one).alias("b")).toArrow()
+    out = np.zeros(1 << (log - 6), np.int64)
+    out[rows["at"].to_numpy()] = rows["b"].to_numpy()
+    return out
+
+
+def passes(bitmap: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (bitmap[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)).astype(np.int64)) & 1 == 1
+
+
 def ready(spark: SparkSession) -> None:
     """Ship the package, and keep the batches that Python workers get small, unless the session says otherwise."""
     ship_package(spark)

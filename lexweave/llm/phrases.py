@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.llm import automaton as am
-from lexweave.llm.common import LOWER, ready, text_bytes
+from lexweave.llm.common import LOWER, bits, passes, ready, text_bytes
 from lexweave.sources.tables import stage
 
 LONGEST, LEAST, KEEP, INSIDE = 5, 100, 2000, 100
@@ -94,19 +94,6 @@ def keyed(lang: str, *symbols: np.ndarray) -> np.ndarray:
     return (h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - FILTER_BITS)
 
 
-def bits(places: DataFrame) -> np.ndarray:
-    """A bitmap of the column ``place``; whatever the number of rows, at most 2^FILTER_BITS / 64 words come to the driver."""
-    one = F.expr("shiftleft(1L, cast(place & 63 as int))")
-    rows = places.groupBy(F.shiftright("place", 6).alias("at")).agg(F.bit_or(one).alias("b")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    out[rows["at"].to_numpy()] = rows["b"].to_numpy()
-    return out
-
-
-def passes(bitmap: np.ndarray, place: np.ndarray) -> np.ndarray:
-    return (bitmap[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)).astype(np.int64)) & 1 == 1
-
-
 def windows(lang: str, coded: pa.DictionaryArray, piece: np.ndarray, depth: int, salt: int, words: np.ndarray, pairs: np.ndarray | None) -> am.Automaton | None:
     """From every frequent word on, the longest run of at most ``depth`` words of its piece whose pairs may all be frequent."""
     h = word_hash(coded.dictionary.to_pylist(), salt)
@@ -340,13 +327,13 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int =
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     range_bits = range_of_words(words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     send = spark.sparkContext.broadcast
-    common = send(bits(words.where(F.col("n") >= least).select("lang", "h").mapInArrow(word_places, "place bigint")))
+    common = send(bits(words.where(F.col("n") >= least).select("lang", "h").mapInArrow(word_places, "place bigint"), FILTER_BITS))
 
     def automata(depth: int, pairs) -> DataFrame:
         blobs = texts.mapInArrow(lambda b: count_windows(b, depth, salt, common, pairs, range_bits), SENT)
         return unite(unite(blobs, ["lang", "range", "part"]), ["lang", "range"], least)
 
-    pairs = send(bits(automata(2, None).mapInArrow(frequent_pairs, "place bigint")))
+    pairs = send(bits(automata(2, None).mapInArrow(frequent_pairs, "place bigint"), FILTER_BITS))
     counted = stage(automata(longest, pairs), "automata")
     phrases = stage(counted.mapInArrow(phrases_of, "lang string, path array<bigint>, a bigint, firsts array<bigint>"), "phrases")
 
