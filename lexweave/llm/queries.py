@@ -35,7 +35,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write(warc.records(table(spark, sf_dir, "pages")), path)
     read = warc.read(spark, path)
     response = F.col("record_type") == "response"
-    key = lambda c: F.when(F.col(c).isNotNull(), warc.page_key(F.col(c)).cast("long"))
+    key = lambda c: warc.page_key(F.col(c)).try_cast("long")
     return read.select(
         key("record_id").alias("page_id"), F.when(response, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
         F.when(response, F.sha2("payload", 256)).otherwise(F.regexp_replace("payload_digest", "^sha256:", "")).alias("payload_digest"),

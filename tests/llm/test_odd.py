@@ -262,18 +262,99 @@ def test_warc(spark, tmp_path):
     path = f"file:{tmp_path}/w"
     warc.write(warc.records(pages), path, split_bytes=300)
     got = warc.read(spark, path)
-    key = lambda c: F.when(F.col(c).isNotNull(), warc.page_key(F.col(c)).cast("long"))
+    key = lambda c: warc.page_key(F.col(c)).try_cast("long")
+    assert got.where("record_id is null").count() == 0
     told = got.select(key("record_id").alias("k"), "payload_bytes", F.regexp_replace("payload_digest", "sha256:", "").alias("d"), "record_type", key("refers_to").alias("r"))
     same(told, brute.warc(rows), "k", "payload_bytes", "d", "record_type", "r")
     same(got, [(u,) for _, u, _ in rows], "uri")
     whole = {r.payload_digest[7:]: bytes(r.payload).decode() for r in got.where("record_type = 'response'").collect()}
     assert set(whole.values()) == {t or "" for _, _, t in rows}
     plan = got.where("record_type = 'revisit'")
-    assert plan.count() == 2 and warc.read(spark, path, payload=False).where("payload is not null").count() == 0
+    assert plan.count() == 2 and "payload" not in warc.read(spark, path, payload=False).columns
     warc.write(warc.records(pages.where("false")), path + "0")
     assert warc.read(spark, path + "0").collect() == []
 
 
+def test_warc_appends_and_replaces(spark, tmp_path):
+    """Two appends read back whole, archives without a manifest count only if they are not our own, overwrite replaces all."""
+    path = f"file:{tmp_path}/w"
+    pages = lambda a, b: warc.records(spark.range(a, b).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.col("id").cast("string").alias("html")))
+    warc.write(pages(0, 5), path)
+    warc.write(pages(5, 9), path)
+    ids = lambda: sorted(int(r.payload) for r in warc.read(spark, path).collect())
+    assert ids() == list(range(9))
+    (tmp_path / "w" / "lexweave-of-a-lost-task.warc").write_bytes(warc.record({"record_type": "response"}, b"77"))
+    (tmp_path / "w" / "other.warc").write_bytes(warc.record({"record_type": "response"}, b"99"))
+    assert ids() == [*range(9), 99]
+    warc.write(pages(20, 22), path, mode="overwrite")
+    assert ids() == [20, 21]
+
+
+FOREIGN = (b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 7\r\n\r\nhello\r\n\r\n\r\n"
+           b"WARC/1.1\r\nwarc-type:response\r\nWARC-Target-URI: http://a/%41?q=%e9\r\nWARC-Record-ID: <urn:uuid:1>\r\nX-Other: a\r\n  folded\r\n"
+           b"WARC-Date: 2020-01-01T00:00:00Z\r\nContent-Length: 26\r\n\r\nWARC/1.1\r\n\r\n\r\n\r\nWARC/1.1\r\n\r\n\r\n" + b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: b\r\n c\r\n"
+           b"Content-Length: 200000\r\n\r\n" + b"z" * 200000 + b"\r\n\r\n")
+
+
+def test_warc_of_others(spark, tmp_path):
+    """Hand-written archives, plain, gzipped whole and by record; headers as they are, folded ones joined."""
+    import gzip
+    cut = [FOREIGN.index(b"WARC/1.1\r\nwarc-type"), FOREIGN.index(b"WARC/1.1\r\nWARC-Type: response")]
+    members = [FOREIGN[: cut[0]], FOREIGN[cut[0]: cut[1]], FOREIGN[cut[1]:]]
+    (tmp_path / "a.warc").write_bytes(FOREIGN)
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(FOREIGN))
+    (tmp_path / "c.warc.gz").write_bytes(b"".join(map(gzip.compress, members)))
+    (tmp_path / "notes.txt").write_bytes(b"x")
+    rows = warc.read(spark, f"file:{tmp_path}").collect()
+    want = [("warcinfo", None, 7, b"hello\r\n"), ("response", "http://a/%41?q=%e9", 26, FOREIGN[FOREIGN.index(b"WARC/1.1\r\n\r\n\r\n"):][:26]), ("response", "b c", 200000, b"z" * 200000)]
+    assert sorted((r.record_type, str(r.uri), r.payload_bytes, bytes(r.payload)) for r in rows) == sorted((t, str(u), n, p) for t, u, n, p in want * 3)
+    some = warc.read(spark, f"file:{tmp_path}", columns=("uri", "record_type")).where("record_type = 'response' and uri like 'http://%'")
+    assert [r.uri for r in some.collect()] == ["http://a/%41?q=%e9"] * 3
+
+
+def test_warc_pushes_filters_and_skips_payloads(spark, tmp_path):
+    warc.write(warc.records(spark.createDataFrame([(1, "u", "a" * 500), (2, "v", "a" * 500)], "page_id long, url string, html string")), f"file:{tmp_path}/w")
+    some = warc.read(spark, f"file:{tmp_path}/w").where("record_type = 'revisit' and uri in ('u', 'v')")
+    said = some._jdf.queryExecution().explainString(some._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert some.count() == 1 and "* Filter (" not in said, said
+    reads: list[tuple[int, int]] = []
+    class Watched(warc.Plain):
+        def get(self, at, n):
+            reads.append((at, n))
+            return super().get(at, n)
+    reader = warc.WarcReader(f"file:{tmp_path}/w", ["uri"])
+    reader.tests.append(("record_type", "EqualTo", "revisit"))
+    for part in reader.partitions():
+        s = part.value
+        with open(f"{tmp_path}/w/{s.file}", "rb") as f:
+            for row, length, at in warc.headers(Watched(f), s.start, s.end):
+                assert not any(at < a + 1 and a >= at and a < at + length for a, _ in reads)
+
+
+def test_decontaminate_by_join_in_bulk(spark):
+    """Ten windows in common, over many texts and items with text ids, by the set and by the join; one window in a third of all texts."""
+    rng = np.random.default_rng(3)
+    w = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 40, n))
+    items = [(f"i{k}", w(int(rng.integers(1, 30)))) for k in range(60)] + [("same", "w1 w2 w3"), ("same", "w1 w2 w3"), ("é", None)]
+    texts = [(k, " ".join([w(int(rng.integers(0, 60))), items[k % 60][1] if k % 5 == 0 else "", items[7][1] if k % 3 == 0 else ""])) for k in range(400)]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string").repartition(5), spark.createDataFrame(items, "item_id string, text string")
+    told = lambda **o: [(r.doc_id, r._n_words, r._n_hit, r._items, r._spans) for r in decontaminate.mark(docs, bench, **o).orderBy("doc_id").collect()]
+    assert told() == told(block_bytes=1)
+    joined = [(i, " ".join(t for k, t in items if k == i and t)) for i in dict.fromkeys(k for k, _ in items) if i != "same"] + [("same", "w1 w2 w3")]
+    want = {k: (n, h, c) for k, n, h, c, _, _ in brute.decontaminate(texts, joined)}
+    assert {k: (n, h, len(i)) for k, n, h, i, _ in told()} == want
+
+
+def test_a_large_benchmark_compiles_at_once():
+    """4 MB of item text in a few seconds."""
+    import time
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 50_000, 200)) for _ in range(3000)]
+    t = time.time()
+    bench = decontaminate.compile_items(list(range(len(texts))), pa.array(texts, pa.large_string()))
+    assert time.time() - t < 20 and sum(len(x.hashes) for x in bench.by_length) > 500_000
+
+
 def test_quality_model(spark, odd_docs):
     labels = spark.createDataFrame([(i, int(i > 14)) for i in range(30)] + [(3, None), (None, 1)], "doc_id long, quality int")
     m = quality_model.train(odd_docs, labels, F.lit(True))
