@@ -17,12 +17,12 @@ SAMPLE_ROWS = 2000
 SAMPLE_BYTES = 16 << 20
 DICTIONARY_BYTES = 112 << 10
 LEVEL = 3
-#: Texts meet the dictionaries in pieces of so many bytes: zstandard drops a dictionary once its window has passed it.
-PIECE = 64 << 10
+#: Texts meet the dictionaries in pieces of so many bytes: a long piece is soon its own best dictionary, and sizes differ less.
+PIECE = 1 << 10
 
 
 class Model(NamedTuple):
-    """Two dictionaries and the weights of (1, normalised difference, compressed share, log size)."""
+    """Two dictionaries, and offset and slope of the normalised difference."""
     good: bytes
     bad: bytes
     weights: tuple[float, ...]
@@ -31,21 +31,18 @@ class Model(NamedTuple):
 @functools.lru_cache(4)
 def compressors(model: Model):
     import zstandard as z
-    return [z.ZstdCompressor(level=LEVEL, dict_data=z.ZstdCompressionDict(d)) if d else z.ZstdCompressor(level=LEVEL)
-            for d in (model.good, model.bad, b"")]
+    return [z.ZstdCompressor(level=LEVEL, dict_data=z.ZstdCompressionDict(d)) if d else z.ZstdCompressor(level=LEVEL) for d in (model.good, model.bad)]
 
 
-def size_in_pieces(compressor, text: bytes) -> int:
-    return sum(len(compressor.compress(text[i: i + PIECE])) for i in range(0, max(1, len(text)), PIECE))
+def difference(text: bytes, model: Model) -> float:
+    """How many more bytes of 100 the text takes with the bad dictionary than with the good one, piece by piece."""
+    good, bad = compressors(model)
+    pieces = [text[i: i + PIECE] for i in range(0, max(1, len(text)), PIECE)]
+    return 100 * sum(len(bad.compress(p)) - len(good.compress(p)) for p in pieces) / (len(text) + 16)
 
 
 def features(texts: list[bytes], model: Model) -> np.ndarray:
-    good, bad, plain = compressors(model)
-    out = np.zeros((len(texts), 4))
-    for i, t in enumerate(texts):
-        a, b, p, n = size_in_pieces(good, t), size_in_pieces(bad, t), len(plain.compress(t)), len(t) + 16
-        out[i] = 1.0, 10 * (b - a) / max(a, b), p / n, np.log(n) / 10
-    return out
+    return np.array([(1.0, difference(t, model)) for t in texts], float).reshape(-1, 2)
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
@@ -75,7 +72,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, key: str = "doc_i
     """Learn from at most ``sample_rows`` labelled texts of each class, those whose hashed key comes first.
 
     ``allowed`` says of a row whether its label may be seen. Two thirds of the sample make the
-    dictionaries, the rest the weights, so that the score is calibrated on texts the dictionaries have
+    dictionaries, the rest offset and slope, so that the score is calibrated on texts the dictionaries have
     not seen. Keys and sizes alone are ranked; only the chosen texts are read. Null labels, null keys and empty texts teach nothing. Whole texts are taken that fit into
     ``sample_bytes`` of a class; one that does not is passed over. With one class missing, every text scores the share of class 1.
     """
@@ -97,7 +94,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, key: str = "doc_i
     bad, good = sample[0], sample[1]
     if not bad or not good:
         share = min(max(len(good) / max(1, len(good) + len(bad)), 0.01), 0.99) if good or bad else 0.5
-        return Model(b"", b"", (float(np.log(share / (1 - share))), 0.0, 0.0, 0.0))
+        return Model(b"", b"", (float(np.log(share / (1 - share))), 0.0))
     learn = [[t for i, t in enumerate(ts) if i % 3 < 2] for ts in (bad, good)]
     tune = [[t for i, t in enumerate(ts) if i % 3 == 2 or len(ts) < 3] for ts in (bad, good)]
     draft = Model(dictionary(learn[1], DICTIONARY_BYTES), dictionary(learn[0], DICTIONARY_BYTES), ())
@@ -107,7 +104,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, key: str = "doc_i
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
-    """``docs`` with the chance of label 1 in ``into``, from the whole text; null and empty texts are scored as empty.
+    """``docs`` with the chance of label 1 in ``into``, from the difference of the whole text alone; null and empty texts are scored as empty.
 
     Repeated rows are scored each and alike; an empty table gives an empty one; ``into`` must be a new column.
     """
