@@ -112,6 +112,14 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """``names`` with as many leading underscores as it takes to be none of the ``columns``."""
+    mark = "_"
+    while any(c.lower() == f"{mark}{n}" for c in columns for n in names):
+        mark += "_"
+    return [f"{mark}{n}" for n in names]
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, so that further columns of the input cannot clash with those made here."""
     return df.select(*names)

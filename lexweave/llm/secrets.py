@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import let
+from lexweave.llm.common import let, unused
 from lexweave.sources.tables import stage
 
 
@@ -33,6 +33,9 @@ FAST = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
 #: A value is widely copied if this share of all owners holds it, and this many; of few owners, all but one are enough.
 OWNER_SHARE = 0.1
 LEAST_OWNERS = 5
+#: Likewise of repositories, if more than one owner has it.
+REPOSITORY_SHARE = 0.01
+LEAST_REPOSITORIES = 100
 
 
 def running(values: Column) -> Column:
@@ -92,30 +95,39 @@ def candidates(docs: DataFrame, text: str, keep: tuple[str, ...], kinds: tuple[K
 
 
 def ownership(found: DataFrame, repository: str, owner: str) -> DataFrame:
-    """Per value hash: in how many distinct repositories and of how many distinct owners it stands.
+    """Per value hash: how often it stands, in how many distinct repositories and of how many distinct owners.
 
-    Repeats are folded before each shuffle and owners are counted after (hash, owner) pairs were
-    made distinct, so a value that a third of all rows hold is a few rows by then.
+    Repeats are folded before each shuffle; repositories and owners are each counted after their pairs with
+    the hash were made distinct, so a value that a third of all rows hold is a few rows by then.
     """
     seen = found.select(F.explode("found").alias("s"), F.col(repository).alias("r"), F.col(owner).alias("o")).select("s.hash", "r", "o")
-    by_repository = seen.groupBy("hash", "r", "o").agg(F.count("*").alias("n"))
-    by_owner = by_repository.groupBy("hash", "o").agg(F.sum("n").alias("n"), F.count("r").alias("repositories"))
-    return by_owner.groupBy("hash").agg(F.sum("n").alias("occurrences"), F.sum("repositories").alias("repositories"), F.count("o").alias("owners"))
+    folded = seen.groupBy("hash", "r", "o").agg(F.count("*").alias("n"))
+    by_owner = folded.groupBy("hash", "o").agg(F.sum("n").alias("n")).groupBy("hash").agg(F.sum("n").alias("occurrences"), F.count("o").alias("owners"))
+    by_repository = folded.select("hash", "r").distinct().groupBy("hash").agg(F.count("r").alias("repositories"))
+    return by_owner.join(by_repository, "hash")
+
+
+class Enough(NamedTuple):
+    """So many owners, or two owners and so many repositories, make a value a widely copied example."""
+    owners: int
+    repositories: int
 
 
 def widely(all_owners: int, owner_share: float = OWNER_SHARE, least_owners: int = LEAST_OWNERS) -> int:
-    """How many owners make a value an example, never fewer than two; the number of its repositories plays no part."""
+    """How many owners make a value an example, never fewer than two."""
     return max(2, min(least_owners, all_owners - 1), math.ceil(owner_share * all_owners))
 
 
-def verdict(enough: int) -> Column:
-    """A value is an ``example`` when ``enough`` owners hold it; otherwise it looks ``live``."""
-    return F.when(F.col("owners") >= enough, "example").otherwise("live")
+def verdict(enough: Enough) -> Column:
+    """``example``: a good share of all owners, or of all repositories and not of one owner alone; otherwise it looks ``live``."""
+    copied = (F.col("owners") >= enough.owners) | ((F.col("owners") >= 2) & (F.col("repositories") >= enough.repositories))
+    return F.when(copied, "example").otherwise("live")
 
 
-def owners_of(rows: DataFrame, owner: str) -> int:
-    """The number of distinct owners of all rows, with candidates or without."""
-    return rows.select(owner).where(F.col(owner).isNotNull()).distinct().count()
+def bounds_of(rows: DataFrame, repository: str, owner: str, owner_share: float, least_owners: int) -> Enough:
+    """The bounds for all rows, with candidates or without."""
+    owners, repositories = (rows.select(c).where(F.col(c).isNotNull()).distinct().count() for c in (owner, repository))
+    return Enough(widely(owners, owner_share, least_owners), max(LEAST_REPOSITORIES, math.ceil(REPOSITORY_SHARE * repositories)))
 
 
 FOUND = ("start", "rank", "end", "kind", "hash", "length")
@@ -127,7 +139,7 @@ def key_of(found: Column, *columns: Column) -> Column:
     return F.when(F.size(found) > 0, F.sha2(F.to_json(found), 256)).otherwise(spread)
 
 
-def judged(rows: DataFrame, repository: str, owner: str, enough: int) -> DataFrame:
+def judged(rows: DataFrame, repository: str, owner: str, enough: Enough) -> DataFrame:
     """Per distinct list of candidates (``key``) the spans that are reported, each with its owners and verdict."""
     holders = rows.where(F.size("found") > 0)
     stats = ownership(holders, repository, owner).withColumn("verdict", verdict(enough))
@@ -140,8 +152,8 @@ def scan(docs: DataFrame, text: str = "text", repository: str = "doc_id", owner:
          owner_share: float = OWNER_SHARE, least_owners: int = LEAST_OWNERS) -> DataFrame:
     """The ``keep`` columns of every row and ``spans``: array of (start, rank, end, kind, hash, length, owners, repositories, verdict).
 
-    Base kinds are always reported; candidates of the further kinds only if their owners are few
-    (live), since a value that a good share of all owners hold is a copied example. Null and empty texts have no
+    Base kinds are always reported; candidates of the further kinds only if they look live: a value that a good
+    share of all owners hold, or of all repositories under more than one owner, is a copied example. Null and empty texts have no
     spans; a null owner or repository counts as none; repeated rows are reported each but count once as
     repository; an empty table gives an empty one; columns of ``keep`` must not be called found, key or spans.
     The candidates are staged, since two steps read them; texts are read once and never shuffled.
@@ -149,7 +161,7 @@ def scan(docs: DataFrame, text: str = "text", repository: str = "doc_id", owner:
     cols = tuple(dict.fromkeys((*keep, repository, owner)))
     rows = candidates(docs, text, cols, BASE + EXTRA)
     rows = stage(rows.withColumn("key", key_of(F.col("found"), *map(F.col, cols))), "secrets")
-    spans = judged(rows, repository, owner, widely(owners_of(rows, owner), owner_share, least_owners))
+    spans = judged(rows, repository, owner, bounds_of(rows, repository, owner, owner_share, least_owners))
     joined = rows.select(*keep, "key").join(spans, "key", "left")
     return joined.select(*keep, F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)).alias("spans"))
 
@@ -165,14 +177,17 @@ def redacted(text: Column, spans: Column, mark: str) -> Column:
 
 def redact(docs: DataFrame, text: str = "text", repository: str = "doc_id", owner: str = "source", mark: str = "[secret]",
            owner_share: float = OWNER_SHARE, least_owners: int = LEAST_OWNERS) -> DataFrame:
-    """``docs`` with live secrets replaced in the text; copied examples stay. Rows without candidates are not shuffled."""
-    cols = tuple(dict.fromkeys((repository, owner)))
-    found = "_found"
-    held = docs.withColumn(found, candidates_of(F.col(text), BASE + EXTRA))
-    rows = stage(held.where(F.size(found) > 0).select(*cols, F.col(found).alias("found"), key_of(F.col(found)).alias("key")), "redact")
-    live = judged(rows, repository, owner, widely(owners_of(docs, owner), owner_share, least_owners)).select(
-        F.col("key").alias("_key"), F.filter("spans", lambda s: s["verdict"] == "live").alias("_spans")).where(F.size("_spans") > 0)
+    """``docs`` with live secrets replaced in the text; copied examples stay.
+
+    Candidates are evaluated once, into a staged copy of the rows; rows without any are not shuffled. Null and
+    empty texts stay as they are; repeated rows are each struck; an empty table gives an empty one; further columns may have any name.
+    """
+    found, key, live = unused(docs.columns, "found", "key", "live")
+    held = stage(docs.withColumn(found, candidates_of(F.col(text), BASE + EXTRA)), "redact")
+    rows = held.where(F.size(found) > 0).select(*dict.fromkeys((repository, owner)), F.col(found).alias("found"), key_of(F.col(found)).alias("key"))
+    told = judged(rows, repository, owner, bounds_of(held, repository, owner, owner_share, least_owners)).select(
+        F.col("key").alias(key), F.filter("spans", lambda s: s["verdict"] == "live").alias(live)).where(F.size(live) > 0)
     plain = held.where(F.size(found) == 0).select(*docs.columns)
-    some = held.where(F.size(found) > 0).withColumn("_key", key_of(F.col(found))).join(live, "_key", "left")
-    clean = F.when(F.col("_spans").isNull(), F.col(text)).otherwise(redacted(F.col(text), F.col("_spans"), mark))
+    some = held.where(F.size(found) > 0).withColumn(key, key_of(F.col(found))).join(told, key, "left")
+    clean = F.when(F.col(live).isNull(), F.col(text)).otherwise(redacted(F.col(text), F.col(live), mark))
     return plain.unionByName(some.select(*[clean.alias(c) if c == text else F.col(c) for c in docs.columns]))

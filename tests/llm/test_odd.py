@@ -424,6 +424,20 @@ def test_few_of_many_owners_hold_a_live_secret(spark):
     assert [secrets.widely(n) for n in (0, 1, 2, 3, 4, 6, 20, 1000)] == [2, 2, 2, 2, 3, 5, 5, 100]
 
 
+def test_repositories_are_counted_apart_from_owners(spark):
+    """One repository under three owners is one; two owners with a good share of all repositories make an example; names may clash."""
+    shared, wide, own = (k + "xY7" * 8 for k in ("Sh1", "Wi2", "Ow3"))
+    rows = [(1, f"a {shared}", o) for o in ("o1", "o2", "o3")] + [(100 + i, f"b {wide}", f"o{i % 2}") for i in range(120)] + [(1000 + i, f"c {own} {i}", "o4") for i in range(120)]
+    rows += [(5000 + i, "plain", f"o{i}") for i in range(40)]
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, source string, _found int, _key int, _live int")
+    told = {(s.hash, s.owners, s.repositories, s.verdict) for r in secrets.scan(df).collect() for s in r.spans}
+    import hashlib
+    h = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert told == {(h(shared), 3, 1, "live"), (h(own), 1, 120, "live")}
+    clean = secrets.redact(df)
+    assert clean.columns == df.columns and {r.text for r in clean.where("doc_id < 1000").collect()} == {"a [secret]", f"b {wide}"}
+
+
 def test_shards_beside_a_hot_group_are_even():
     """One atom of a third of all bytes: the other seven shards share the rest, none is empty."""
     rows = [(k, 1500 if k == 7 else 100) for k in range(-15, 16)]

@@ -1,5 +1,6 @@
 """Every registered query on the smallest tables, against the plain version of its contract."""
 import brute
+import numpy as np
 import pytest
 from conftest import same
 from pyspark.sql import functions as F
@@ -26,6 +27,25 @@ def test_quality_model(spark, sf_dir):
     assert rows.where("held_out").count() == rows.where(F.crc32(F.col("doc_id").cast("string")) % 3 == 1).count()
 
 
+def test_quality_scores_are_calibrated_differences(spark):
+    """Scores of some texts computed anew, and the ranking of rows that were held out."""
+    import zstandard as z
+
+    from lexweave.llm import quality_model as q
+    sf = "/root/testdata/sf0.1"  # 4,000 labels; a few hundred are too few for dictionaries
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = q.train(docs, labels, ~queries.held_out(F.col("doc_id")))
+    rows = q.score(docs, model).join(labels, "doc_id").where(queries.held_out(F.col("doc_id"))).collect()
+    good, bad = (z.ZstdCompressor(level=3, dict_data=z.ZstdCompressionDict(d)) for d in (model.good, model.bad))
+    for r in rows[:40]:
+        t = r.text.encode()
+        a, b = (sum(len(c.compress(t[i: i + 1024])) for i in range(0, len(t), 1024)) for c in (good, bad))
+        assert abs(r.score - 1 / (1 + np.exp(-(model.weights[0] + model.weights[1] * 100 * (b - a) / (len(t) + 16))))) < 1e-9
+    pos, neg = ([r.score for r in rows if r.quality == y] for y in (1, 0))
+    auc = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
+    assert model.weights[1] > 0 and auc > 0.99, auc
+
+
 def test_decontaminate(spark, sf_dir, docs):
     items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
     same(queries.op4_decontaminate(spark, sf_dir), brute.decontaminate(docs, items), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
