@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave import fixed
+from lexweave.functions import asked
 from lexweave.functions import text as tx
 from lexweave.operators.rank import top_k
 
@@ -104,15 +105,15 @@ def stem_index(index: DataFrame) -> DataFrame:
     return index.join(back, "doc", "left").withColumn("words", F.coalesce("stems", "words")).drop("stems")
 
 
-def stem_phrases(phrases: DataFrame) -> DataFrame:
-    """Parsed query phrases with every word replaced by its stem."""
-    flat = phrases.select("*", F.posexplode("words").alias("at", "term"))
-    keys = [c for c in phrases.columns if c not in ("words", "phrase")]
-    return (
-        flat.join(stem_vocabulary(flat.select("term")), "term")
-        .groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "stem"))), lambda x: x["stem"]).alias("words"))
-        .withColumn("phrase", F.concat(F.array_join("words", " "), F.when(F.col("prefix"), "*").otherwise("")))
-    )
+def stem_phrases(phrases: DataFrame, stems: DataFrame | None = None) -> DataFrame:
+    """Parsed query phrases with every word replaced by its stem: of a given table (``term, stem``), else by the rules."""
+    flat = phrases.select("*", F.posexplode("units").alias("part", "unit")).select("*", F.posexplode("unit.words").alias("at", "term"))
+    known = stems if stems is not None else stem_vocabulary(flat.select("term"))
+    keys = [c for c in phrases.columns if c not in ("units", "phrase")]
+    word = F.coalesce("stem", "term")
+    one = flat.join(known, "term", "left").groupBy(*keys, "part", "unit.prefix").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", word.alias("w")))), lambda x: x["w"]).alias("words"))
+    return one.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "words", "prefix"))), lambda u: F.struct(
+        u["words"].alias("words"), u["prefix"].alias("prefix"))).alias("units")).withColumn("phrase", phrase_name(F.col("units"), F.col("near")))
 
 
 # -- queries ---------------------------------------------------------------
@@ -124,22 +125,42 @@ def normalise_query(text) -> Column:
         F.array_join(F.transform(bare, lambda t: F.concat(F.lit('"'), t, F.lit('"'))), " "))
 
 
+def phrase_name(units: Column, near: Column) -> Column:
+    """A phrase as text: its words, a star where the last is open, or the NEAR group."""
+    one = F.transform(units, lambda u: F.concat(F.array_join(u["words"], " "), F.when(u["prefix"], "*").otherwise("")))
+    return F.when(near.isNull(), one[0]).otherwise(F.concat(F.lit("NEAR("), F.array_join(one, ", "), F.lit(", "), near.cast("string"), F.lit(")")))
+
+
 def query_phrases(queries: DataFrame, text: str = "text") -> DataFrame:
-    """Phrases of a batch of queries.
+    """Phrases of a batch of queries; the syntax is that of :func:`lexweave.functions.asked.alternatives`.
 
     One row per phrase: ``query_id, topic, grp`` (alternatives joined by OR), ``no`` (0 when the
-    phrase is required, else the number of the excluded unit), ``item, words, prefix, phrase``.
+    phrase is required, else the number of the excluded unit), ``item`` (its place in the query), ``near`` (null unless a NEAR
+    group), ``units`` (array of words and prefix; one unless a NEAR group), ``phrase``.
     """
-    q = queries.select("query_id", "topic", F.posexplode(F.split(normalise_query(text), r"\s+OR\s+")).alias("grp", "alt"))
-    q = q.select("query_id", "topic", "grp", F.posexplode(F.split("alt", r"\s+AND\s+")).alias("part", "expr"))
-    q = q.select("query_id", "topic", "grp", "part", F.posexplode(F.split("expr", r"(?:^|\s+)NOT\s+")).alias("cut", "unit"))
-    q = q.select(
-        "query_id", "topic", "grp", F.when(F.col("cut") > 0, F.col("part") * 1000 + F.col("cut")).otherwise(0).alias("no"),
-        "part", F.posexplode(F.regexp_extract_all("unit", F.lit(r'"[^"]*"\s*\*?|\S+'), F.lit(0))).alias("at", "raw"))
-    q = q.withColumn("words", tokens("raw")).withColumn("prefix", F.col("raw").endswith("*")).where(F.size("words") > 0)
-    return q.select(
-        "query_id", "topic", "grp", "no", (F.col("part") * 1000 + F.col("at")).alias("item"), "words", "prefix",
-        F.concat(F.array_join("words", " "), F.when(F.col("prefix"), "*").otherwise("")).alias("phrase"))
+    q = queries.select("query_id", "topic", F.explode(asked.parsed(F.col(text))).alias("p")).select("query_id", "topic", "p.*")
+    units = F.filter(F.transform("parts", lambda p: F.struct(tokens(p).alias("words"), p.endswith("*").alias("prefix"))), lambda u: F.size(u["words"]) > 0)
+    q = q.withColumn("units", units).where(F.size("units") > 0).drop("parts")
+    return q.withColumn("near", F.when(F.size("units") > 1, F.col("near"))).withColumn("phrase", phrase_name(F.col("units"), F.col("near")))
+
+
+def asked_units(phrases: DataFrame) -> DataFrame:
+    """The single phrases asked for, NEAR groups taken apart: ``unit`` (its name), ``n, off, word, open`` for each word."""
+    u = phrases.select(F.explode("units").alias("u")).select("u.words", "u.prefix").distinct()
+    u = u.withColumn("unit", phrase_name(F.array(F.struct("words", "prefix")), F.lit(None).cast("int")))
+    u = u.select("unit", "prefix", F.size("words").alias("n"), F.posexplode("words").alias("off", "word"))
+    return u.select("unit", "n", "off", "word", (F.col("prefix") & (F.col("off") == F.col("n") - 1)).alias("open"))
+
+
+def opened(units: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Units with every open word replaced by the words of ``vocabulary`` (``word``) that begin so; only distinct words are tried."""
+    initial = F.substring("word", 1, 1)
+    stems = units.where("open").select("unit", "n", "off", F.col("word").alias("stem"), initial.alias("initial"))
+    full = vocabulary.withColumn("initial", initial).join(stems, "initial").where(F.col("word").startswith(F.col("stem")))
+    return units.where("not open").select("unit", "n", "off", "word").unionByName(full.select("unit", "n", "off", "word"))
+
+
+KEYS = ["doc", "parent", "topic", "len"]
 
 
 def phrase_hits(index: DataFrame, phrases: DataFrame, prefixes: bool = False) -> DataFrame:
@@ -147,39 +168,35 @@ def phrase_hits(index: DataFrame, phrases: DataFrame, prefixes: bool = False) ->
 
     Words that no query asks for are dropped by the first join, before any shuffle; the query
     side is as small as the batch, so the planner's own size limit decides how it is joined.
-    ``prefixes`` also matches a trailing ``*``.
+    ``prefixes`` also matches a trailing ``*``, through the distinct words of the texts.
     """
-    units = phrases.select("phrase", "prefix", "words").distinct().select(
-        "phrase", "prefix", F.size("words").alias("n"), F.posexplode("words").alias("off", "word"))
-    open_end = F.col("prefix") & (F.col("off") == F.col("n") - 1)
-    keys = ["doc", "parent", "topic", "len"]
     # the outer form keeps the planner from testing (and so tokenising) each text twice
-    words = index.select(*keys, F.posexplode_outer("words").alias("at", "word"))
-    start = F.when(F.col("n") > 1, F.col("at") - F.col("off")).alias("start")
-    found = words.join(units.where(~open_end).drop("prefix"), "word").select(*keys, "phrase", "n", start)
-    if prefixes:
-        initial = F.substring("word", 1, 1)
-        stems = units.where(open_end).select("phrase", "n", "off", F.col("word").alias("stem"), initial.alias("initial"))
-        found = found.unionByName(
-            words.withColumn("initial", initial).join(stems, "initial").where(F.col("word").startswith(F.col("stem")))
-            .select(*keys, "phrase", "n", start))
-    per_phrase = found.groupBy(*keys, "phrase", "n").agg(F.count(F.lit(1)).alias("c"), F.collect_list("start").alias("starts"))
-    freq = F.when(F.col("n") == 1, F.col("c")).otherwise(_full_runs(F.array_sort("starts"), F.col("n")))
-    return (
-        per_phrase.withColumn("freq", freq).where("freq > 0")
-        .groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("phrase", "freq"))).alias("freqs"))
-    )
+    words = index.select(*KEYS, F.posexplode_outer("words").alias("at", "word"))
+    units = asked_units(phrases)
+    units = opened(units, words.where("word is not null").select("word").distinct()) if prefixes else units.where("not open").drop("open")
+    found = words.join(units, "word").select(*KEYS, "unit", "n", F.array(F.col("at") - F.col("off")).alias("starts"))
+    return counted(found, phrases)
+
+
+def counted(found: DataFrame, phrases: DataFrame) -> DataFrame:
+    """Phrase counts of texts from where words of units, less their offset, stand: rows of ``KEYS, unit, n, starts``."""
+    per_unit = found.groupBy(*KEYS, "unit", "n").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    places = F.when(F.col("n") == 1, F.col("starts")).otherwise(_full_runs(F.array_sort("starts"), F.col("n")))
+    per_unit = per_unit.withColumn("starts", places).where(F.size("starts") > 0)
+    groups = phrases.where("near is not null").select("phrase", "near", F.size("units").alias("parts"), F.posexplode("units").alias("part", "u")).distinct()
+    groups = groups.select("phrase", "near", "parts", "part", phrase_name(F.array("u"), F.lit(None).cast("int")).alias("unit"))
+    spots = F.transform("starts", lambda s: F.struct(s.alias("start"), (s + F.col("n")).alias("end"), F.col("part").alias("part")))
+    near = per_unit.join(groups, "unit").groupBy(*KEYS, "phrase", "near", "parts").agg(F.array_sort(F.flatten(F.collect_list(spots))).alias("places"))
+    near = near.withColumn("freq", asked.near_count(F.col("places"), F.col("near"), F.col("parts"))).where("freq > 0")
+    plain = phrases.where("near is null").select(F.col("phrase").alias("unit")).distinct()
+    single = per_unit.join(plain, "unit").select(*KEYS, F.col("unit").alias("phrase"), F.size("starts").cast("long").alias("freq"))
+    return single.unionByName(near.select(*KEYS, "phrase", "freq")).groupBy(*KEYS).agg(
+        F.map_from_entries(F.collect_list(F.struct("phrase", "freq"))).alias("freqs"))
 
 
 def _full_runs(starts: Column, n: Column) -> Column:
-    """How many values of a sorted array occur exactly ``n`` times (every word of a phrase present)."""
-    zero = F.struct(F.lit(-1).alias("at"), F.lit(0).alias("run"), F.lit(0).cast("long").alias("hits"))
-
-    def step(acc: Column, s: Column) -> Column:
-        run = F.when(acc["at"] == s, acc["run"] + 1).otherwise(1)
-        return F.struct(s.alias("at"), run.alias("run"), (acc["hits"] + (run == n).cast("long")).alias("hits"))
-
-    return F.aggregate(starts, zero, step, lambda a: a["hits"])
+    """The values of a sorted array that occur ``n`` times, which is the most any does (every word of a phrase present)."""
+    return F.filter(starts, lambda s, i: F.get(starts, (i + n - 1).cast("int")) == s)
 
 
 def collection_stats(index: DataFrame) -> DataFrame:
@@ -189,42 +206,52 @@ def collection_stats(index: DataFrame) -> DataFrame:
 
 def bm25(index: DataFrame, phrases: DataFrame, prefixes: bool = False,
          k1: float = fixed.BM25_K1, b: float = fixed.BM25_B) -> DataFrame:
-    """Okapi BM25 of every matching text: ``query_id, topic, doc, parent, score`` (higher is better).
-
-    A query's candidates are the texts of its rarest phrase only; its other phrases are then
-    looked up in the candidate's own row, so a batch of queries over common words never
-    multiplies out and the texts are shuffled once.
-    """
+    """Okapi BM25 of every matching text: ``query_id, topic, doc, parent, score`` (higher is better)."""
     hits = phrase_hits(index, phrases, prefixes)
     df = hits.select(F.explode(F.map_keys("freqs")).alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
-    wanted = phrases.groupBy("query_id", "topic", "grp", "no", "phrase").agg(F.count(F.lit(1)).alias("times"))
-    unit = (
+    return ranked_hits(hits, phrases, df, collection_stats(index), k1, b)
+
+
+def gain(tf: Column, df: Column, length: Column, n_docs: Column, avg_len: Column, k1: float = fixed.BM25_K1, b: float = fixed.BM25_B) -> Column:
+    """What one phrase adds to the score of a text."""
+    idf = F.log((n_docs - df + 0.5) / (df + 0.5))
+    return F.greatest(idf, F.lit(fixed.IDF_FLOOR)) * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * length / avg_len))
+
+
+def wanted_units(phrases: DataFrame, df: DataFrame) -> DataFrame:
+    """Required and excluded units of queries all of whose phrases occur: ``items`` (phrase, item, df) and the rarest ``phrase``."""
+    wanted = phrases.groupBy("query_id", "topic", "grp", "no", "phrase").agg(F.collect_set("item").alias("places"))
+    return (
         wanted.join(df, "phrase", "left").groupBy("query_id", "topic", "grp", "no")
         .agg(F.count(F.lit(1)).alias("need"), F.count("df").alias("have"), F.min(F.struct("df", "phrase")).alias("rare"),
-             F.collect_list(F.struct("phrase", "times", "df")).alias("items"))
-        .where("need = have").select("query_id", "topic", "grp", "no", "items", F.col("rare.phrase").alias("phrase"), F.lit(1).alias("one"))
+             F.collect_list(F.struct("phrase", "places", "df")).alias("items"))
+        .where("need = have").select("query_id", "topic", "grp", "no", "items", F.col("rare.phrase").alias("phrase"))
     )
-    unit = unit.join(collection_stats(index), "one")
+
+
+def ranked_hits(hits: DataFrame, phrases: DataFrame, df: DataFrame, stats: DataFrame, k1: float = fixed.BM25_K1, b: float = fixed.BM25_B) -> DataFrame:
+    """Scores of the texts in ``hits``, given the number of texts with each phrase and the size of the collection.
+
+    A query's candidates are the texts of its rarest phrase only; its other phrases are then
+    looked up in the candidate's own row, so a batch of queries over common words never
+    multiplies out and the texts are shuffled once. A phrase of the query counts once, in however many alternatives it stands.
+    """
+    unit = wanted_units(phrases, df).withColumn("one", F.lit(1)).join(stats, "one")
     cand = (
         hits.select("*", F.explode(F.map_keys("freqs")).alias("phrase")).join(unit, ["phrase", "topic"])
         .where(F.forall("items", lambda i: F.map_contains_key("freqs", i["phrase"])))
     )
 
-    def gain(i: Column) -> Column:
-        idf = F.log((F.col("n_docs") - i["df"] + 0.5) / (i["df"] + 0.5))
-        tf = F.try_element_at("freqs", i["phrase"]).cast("double")
-        return i["times"] * F.greatest(idf, F.lit(fixed.IDF_FLOOR)) * (tf * (k1 + 1)) / (
-            tf + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+    def gains(i: Column) -> Column:
+        worth = gain(F.try_element_at("freqs", i["phrase"]).cast("double"), i["df"], F.col("len"), F.col("n_docs"), F.col("avg_len"), k1, b)
+        return F.transform(i["places"], lambda p: F.struct(p.alias("item"), worth.alias("gain")))
 
-    full = cand.select("query_id", "topic", "grp", "no", "doc", "parent",
-                       F.aggregate("items", F.lit(0.0), lambda s, i: s + gain(i)).alias("score"))
+    full = cand.select("query_id", "topic", "grp", "no", "doc", "parent", F.flatten(F.transform("items", gains)).alias("gains"))
     # per query and text: alternatives that hold and are not excluded
-    alt = full.groupBy("query_id", "topic", "doc", "parent", "grp").agg(
-        F.max("no").alias("excluded"), F.sum(F.when(F.col("no") == 0, F.col("score"))).alias("score"))
-    return (
-        alt.where((F.col("excluded") == 0) & F.col("score").isNotNull())
-        .groupBy("query_id", "topic", "doc", "parent").agg(F.round(F.sum("score"), 6).alias("score"))
-    )
+    alt = full.groupBy("query_id", "topic", "doc", "parent", "grp").agg(F.max("no").alias("excluded"), F.flatten(F.collect_list(F.when(F.col("no") == 0, F.col("gains")))).alias("gains"))
+    every = alt.where((F.col("excluded") == 0) & (F.size("gains") > 0)).groupBy("query_id", "topic", "doc", "parent").agg(
+        F.array_distinct(F.flatten(F.collect_list("gains"))).alias("gains"))
+    return every.select("query_id", "topic", "doc", "parent", F.round(F.aggregate("gains", F.lit(0.0), lambda s, g: s + g["gain"]), 6).alias("score"))
 
 
 def lexical_leg(bill_scores: DataFrame, section_scores: DataFrame, limit: int) -> DataFrame:

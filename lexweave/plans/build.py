@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.operators import dense, extracts, graph, lookups, nodes, search, sections
+from lexweave.operators import dense, extracts, graph, lookups, nodes, postings, search, sections
 from lexweave.sources import corpus
 from lexweave.sources.tables import spread, stage
 
@@ -50,8 +50,9 @@ def build(spark: SparkSession, base: str, out: str, now: str, encode: bool = Tru
 
     topics = bills.select("bill_id", "topic")
     topical = sec.join(topics, "bill_id")
-    put("bill_index", search.text_index(bills, "bill_id", F.col("topic"), ["title", "short_title", "summary_text", "policy_area", "sponsor"]), "topic")
-    put("section_index", search.text_index(topical, "section_id", F.col("topic"), ["heading", "text_full"], "bill_id"), "topic")
+    for name, texts in (("bill_index", search.text_index(bills, "bill_id", F.col("topic"), ["title", "short_title", "summary_text", "policy_area", "sponsor"])),
+                        ("section_index", search.text_index(topical, "section_id", F.col("topic"), ["heading", "text_full"], "bill_id"))):
+        tables[name] = postings.write(texts, f"{out}/{name}", stems=True).docs
     if encode:
         put("section_vectors", dense.encode_sections(topical, None, "hashed-v1"), "topic")
     put("build_stats", lookups.table_counts({k: tables[k] for k in ("bills", "sections", "citations", "defined_terms", "amendments", "quarantine")}))

@@ -4,6 +4,8 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexweave.functions import ids, text as tx
@@ -136,6 +138,66 @@ def test_query_forms(spark):
     assert got == {0: {1, 2}, 1: {1}, 2: {1, 2, 4}, 3: {2}, 4: {1, 2}}
 
 
+GRAMMAR = {
+    '(a OR b) AND c': [(0, 0, "a"), (0, 0, "c"), (1, 0, "b"), (1, 0, "c")], '"cats OR dogs"': [(0, 0, "cats OR dogs")], "a NOT (b OR c)": [(0, 0, "a"), (0, 1, "b"), (0, 2, "c")],
+    "a NOT (b NOT c)": [(0, 0, "a"), (0, 1, "b"), (1, 0, "a"), (1, 0, "c")], "(a": [(0, 0, "a")], " ) OR (": [], "NOT a": [], "a OR": [(0, 0, "a")], '"new yo"*': [(0, 0, "new yo*")],
+    'NEAR(a "b c", 3) x': [(0, 0, (3, "a", "b c")), (0, 0, "x")], "NEAR(a b,5)": [(0, 0, (5, "a", "b"))], "NEAR(a , b)": [(0, 0, (10, "a", "b"))], "NEAR(a b 7)": [(0, 0, (10, "a", "b", "7"))]}
+
+
+@pytest.mark.parametrize("text", GRAMMAR)
+def test_grammar(text):
+    from lexweave.functions.asked import alternatives
+    assert [(r["grp"], r["no"], (r["near"], *r["parts"]) if r["near"] is not None else r["parts"][0]) for r in alternatives(text)] == GRAMMAR[text]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(list('ab" ()*,1') + [" AND ", " OR ", " NOT ", "NEAR("]), max_size=12))
+def test_any_query_text_is_read(parts):
+    from lexweave.functions.asked import alternatives
+    alternatives("".join(parts))
+
+
+NEAR_DOCS = [(1, "t", "alpha x x beta"), (2, "t", "beta x alpha beta gamma x x x x x x x alpha"), (3, "t", "alpha beta"), (4, "t", "big alpha big beta big"), (5, "t", "Éclair regulations")]
+
+
+def test_postings_equal_the_scan(spark, tmp_path):
+    """The stored index, read whole and by block maxima, against scoring over all words; small ranges."""
+    from lexweave.operators import postings
+    docs = NEAR_DOCS + [(10 + i, "tu"[i % 2], " ".join(f"{'alpha' if i % 3 else 'beta'} w{(i * k) % 7}" for k in range(1, 2 + i % 5))) for i in range(200)]
+    texts = search.text_index(spark.createDataFrame(docs, "id int, topic string, text string"), "id", F.col("topic"), ["text"])
+    old, postings.RANGE_DOCS = postings.RANGE_DOCS, 16
+    try:
+        ix = postings.write(texts, f"{tmp_path}/ix")
+    finally:
+        postings.RANGE_DOCS = old
+    q = search.query_phrases(ask(spark, "alpha", '"alpha w1"', "NEAR(alpha beta, 1)", "NEAR(alpha beta gamma, 3)", "(alpha OR beta) w3", "al* NOT w2", "w1 OR zebra", "beta w5", "alpha OR alpha"))
+    key = lambda df: sorted((r.query_id, r.doc, r.score) for r in df.collect())
+    want = key(search.bm25(texts, q, prefixes=True))
+    assert {d for i, d, _ in want if i == 2} == {2, 3, 4} and {d for i, d, _ in want if i == 3} == {2}
+    assert key(postings.bm25(ix, q, True)) == want
+    top = postings.top_hits(ix, q, 5, True, probes=1)
+    first = [sorted((-s, d) for i, d, s in want if i == n)[:5] for n in range(9)]
+    assert key(top.scores) == sorted((n, d, -s) for n, rows in enumerate(first) for s, d in rows)
+    report = top.report.collect()
+    assert all(0 < r.read <= r.ranges for r in report) and sum(r.read for r in report) < sum(r.ranges for r in report)
+    plan = postings.bm25(ix, q)._jdf.queryExecution().executedPlan().toString()
+    scans = [x for x in plan.split("\n") if "FileScan" in x]
+    assert scans and not any("words" in x for x in scans) and any("PartitionFilters: [bucket" in x and "places" in x for x in scans), scans
+
+
+def test_postings_over_stems(spark, tmp_path):
+    from lexweave.operators import postings
+    texts = search.text_index(spark.createDataFrame(NEAR_DOCS + [(6, "t", "regulation eclairs"), (7, "t", "the new regulations regulation")], "id int, topic string, text string"),
+                              "id", F.col("topic"), ["text"])
+    ix = postings.write(texts, f"{tmp_path}/ix", stems=True)
+    q = postings.stemmed(ix, search.query_phrases(ask(spark, "regulation", "eclair", '"REGULATING éclair"', "unheard-of")))
+    got = {}
+    for r in postings.bm25(ix, q).collect():
+        got.setdefault(r.query_id, set()).add(r.doc)
+    assert got == {0: {5, 6, 7}, 1: {5, 6}, 2: {6}}
+    assert {r.term for r in ix.stems.collect()} >= {"regulations", "éclair"} and ix.terms.where("term = 'regul'").first().df == 3
+
+
 def test_stemmed_index_and_accents(spark):
     ix = search.stem_index(index(spark))
     q = search.stem_phrases(search.query_phrases(ask(spark, "modeling")))
