@@ -92,7 +92,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenfile.write(table(spark, sf_dir, "documents"), TOKENIZER, END_ID, path)
     rows = tokenfile.read(spark, path, ids=False, checksum=True)
     return rows.join(tokenfile.file_starts(spark, path), "file").select(
-        F.when(F.col("key") != -(1 << 63), F.col("key")).alias("doc_id"), (F.col("file_start") + F.col("first")).alias("start"),
+        F.col("key").alias("doc_id"), (F.col("file_start") + F.col("first")).alias("start"),
         "n_tokens", F.col("checksum").alias("ids_crc32"))
 
 

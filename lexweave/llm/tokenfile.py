@@ -30,7 +30,7 @@ PERCENTILE = 95
 FILE_TOKENS = 1 << 20
 HEAD = struct.Struct("<4sII")
 BLOCK_HEAD = struct.Struct("<IIBI")
-FILES = "no long, first_key long, body binary"
+FILES = "no long, first_key long, tokens long, null_keys long, body binary"
 
 
 def pack(values: np.ndarray, width: int) -> bytes:
@@ -153,39 +153,49 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str, key: str = "d
           file_tokens: int = FILE_TOKENS) -> None:
     """Encode all texts in order of ``key`` and write the token files to ``path``, in order of their number.
 
-    Null and empty texts are the end id alone; a null key stands before all others and is stored as the
+    Null and empty texts are the end id alone; null keys stand before all others, in any number, apart from a key that is the
     least long; repeated rows follow one another; an empty table writes no file; other columns play no part.
-    Texts are dealt out by ranges of the key and sorted within them; a file never crosses a range.
+    Texts are dealt out by ranges of the key and of chance, so that repeated and null keys span many tasks, and sorted
+    within them; a file never crosses a range. Beside its body, a file's row has the number of its tokens and null keys.
     """
     ready(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("k"), F.col(text).alias("t"))
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), F.monotonically_increasing_id().alias("at"))
 
     def parts(batches):
         c = codec(tokenizer)
         for b in slices(batches, "t", ENCODE_BYTES):
-            yield b.column("k").to_numpy(zero_copy_only=False), with_end(c.encode(*text_bytes(b.column("t"))), end_id)
+            nulls.append(b.column("k").null_count)
+            yield b.column("k").fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), with_end(c.encode(*text_bytes(b.column("t"))), end_id)
+
+    nulls: list[int] = []
 
     def run(batches):
         from pyspark import TaskContext
-        part = TaskContext.get().partitionId()
+        part, left = TaskContext.get().partitionId(), 0
+        nulls.clear()
         for n, (keys, e) in enumerate(gathered(parts(batches), file_tokens)):
-            yield pa.RecordBatch.from_pydict({"no": [(part << 32) + n], "first_key": keys[:1], "body": [file_body(keys, e)]})
-
-    shuffled = rows.repartitionByRange("k").sortWithinPartitions("k")
+            left += sum(nulls)
+            nulls.clear()
+            mine = min(left, len(keys))
+            left -= mine
+            yield pa.RecordBatch.from_pydict({"no": [(part << 32) + n], "first_key": keys[:1], "tokens": [len(e.ids)], "null_keys": [mine], "body": [file_body(keys, e)]})
+
+    order = [F.asc_nulls_first("k"), F.col("at")]
+    shuffled = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("at")
     shuffled.mapInArrow(run, FILES).write.option("compression", "uncompressed").parquet(path)
 
 
 def read(spark: SparkSession, path: str, ids: bool = True, checksum: bool = False) -> DataFrame:
-    """The documents of token files: ``file`` number, ``place`` in it, ``key``, ``first`` token in the file, ``n_tokens``.
+    """The documents of token files: ``file`` number, ``place`` in it, ``key`` (null where it was), ``first`` token in the file, ``n_tokens``.
 
     On request also the ``ids``, and the ``checksum``: crc32 of the ids as little-endian unsigned 32-bit integers.
     """
     def run(batches):
         for b in batches:
-            for no, body in zip(b.column("no").to_pylist(), b.column("body").to_pylist()):
+            for no, nulls, body in zip(*(b.column(c).to_pylist() for c in ("no", "null_keys", "body"))):
                 f = TokenFile.open(body)
                 n = len(f.docs)
-                cols = {"file": pa.array(np.full(n, no)), "place": pa.array(np.arange(n)), "key": pa.array(f.docs[:, 0]),
+                cols = {"file": pa.array(np.full(n, no)), "place": pa.array(np.arange(n)), "key": pa.array(f.docs[:, 0], mask=np.arange(n) < nulls),
                         "first": pa.array(f.docs[:, 1]), "n_tokens": pa.array(f.docs[:, 2])}
                 got = f.tokens(0, int(f.docs[:, 2].sum())) if ids or checksum else None
                 if checksum:
@@ -201,14 +211,13 @@ def read(spark: SparkSession, path: str, ids: bool = True, checksum: bool = Fals
 
 
 def file_starts(spark: SparkSession, path: str) -> DataFrame:
-    """Per file the number of tokens in all files before it.
+    """Per file the number of tokens in all files before it, from the column beside the bodies, which stay closed.
 
     Files are numbered by range and place in it, so sums per range are added up first (as many rows as
     there were tasks) and then the files of each range on their own.
     """
     from pyspark.sql.window import Window
-    sizes = (read(spark, path, ids=False).groupBy("file").agg(F.sum("n_tokens").alias("n"))
-             .withColumn("range", F.shiftright("file", 32)))
+    sizes = spark.read.schema(FILES).parquet(path).select(F.col("no").alias("file"), F.col("tokens").alias("n"), F.shiftright("no", 32).alias("range"))
     upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     ranges = sizes.groupBy("range").agg(F.sum("n").alias("total")).select(
         "range", F.coalesce(F.sum("total").over(upto(Window.orderBy("range"))), F.lit(0)).alias("before"))

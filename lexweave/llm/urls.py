@@ -42,9 +42,9 @@ def compile_rules(rules: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules: DataFrame, url: str = "url", keep: tuple[str, ...] = ("page_id",), default: str = "allow") -> DataFrame:
     """The ``keep`` columns of every row with ``host``, ``path``, ``rule`` and ``verdict``.
 
-    Each distinct (host, path) is expanded once into its host suffixes, from the whole host down to
-    the last label, times the prefixes of its path, as long as some rule's path is long. The expressions meet the
-    rules on the first bytes of the digest; full digests confirm. The longest rule (host and path)
+    Each distinct (host, path) is expanded into its host suffixes, from the whole host down to
+    the last label, times the prefixes of its path, as long as some rule's path is long. The distinct expressions meet the
+    rules on the first bytes of the digest; full digests confirm; what is met goes back to the URLs. The longest rule (host and path)
     wins, then the longer host. Null, empty and malformed URLs have no expressions and get the
     default; repeated rows are judged each; without rules all get the default. Columns of ``keep``
     must not be called host, path, rule or verdict.
@@ -62,7 +62,8 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", keep: tuple[str,
                 .select("host", "path", "e_host", F.explode("ps").alias("e_path")))
     full = digest(F.col("e_host"), F.col("e_path"))
     keyed = expanded.select("host", "path", full.alias("e_full"), F.substring(full, 1, 2 * PREFIX_BYTES).alias("short"))
-    met = keyed.join(known, "short").where("e_full = full")
+    exprs = keyed.select("e_full", "short").distinct()  # "com/" is one expression, however many URLs have it
+    met = keyed.select("host", "path", "e_full").join(exprs.join(known, "short").where("e_full = full").drop("short", "full"), "e_full")
     rank = F.struct(F.length("r_host") + F.length("r_path"), F.length("r_host"), F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict"))
     best = met.groupBy("host", "path").agg(F.max(rank).alias("best")).select("host", "path", "best.rule", "best.r_verdict")
     return rows.join(best, ["host", "path"], "left").select(

@@ -56,7 +56,7 @@ def test_token_files(spark, odd_docs, odd_rows, tmp_path):
     tokenfile.write(odd_docs, TOKENIZER, 2, path, file_tokens=500)
     rows = tokenfile.read(spark, path, ids=True, checksum=True)
     told = rows.join(tokenfile.file_starts(spark, path), "file").select(
-        F.when(F.col("key") != -(1 << 63), F.col("key")).alias("doc_id"), (F.col("file_start") + F.col("first")).alias("start"), "n_tokens", "checksum")
+        F.col("key").alias("doc_id"), (F.col("file_start") + F.col("first")).alias("start"), "n_tokens", "checksum")
     ends = sorted(r.start + r.n_tokens for r in told.collect())
     assert sorted(r.start for r in told.collect()) == [0, *ends[:-1]]
     want = [(k, n, c) for k, _, n, c in brute.token_files(odd_rows)]
@@ -275,6 +275,16 @@ def test_warc(spark, tmp_path):
     assert warc.read(spark, path + "0").collect() == []
 
 
+def test_token_files_of_many_null_and_least_keys(spark, tmp_path):
+    """Null keys span files and tasks and stay apart from the least long; starts follow without a gap."""
+    rows = [(None, f"n {i}") for i in range(40)] + [(-(1 << 63), "least"), (5, "five"), (5, "five again")]
+    tokenfile.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), TOKENIZER, 2, str(tmp_path / "t"), file_tokens=9)
+    got = tokenfile.read(spark, str(tmp_path / "t"), ids=False).join(tokenfile.file_starts(spark, str(tmp_path / "t")), "file").collect()
+    got = sorted(((r.file_start + r.first, r.n_tokens, r.key) for r in got))
+    assert [k for _, _, k in got] == [None] * 40 + [-(1 << 63), 5, 5]
+    assert [s for s, _, _ in got] == [0, *np.cumsum([n for _, n, _ in got])[:-1].tolist()]
+
+
 def test_warc_appends_and_replaces(spark, tmp_path):
     """Two appends read back whole, archives without a manifest count only if they are not our own, overwrite replaces all."""
     path = f"file:{tmp_path}/w"
