@@ -140,6 +140,12 @@ def adjacency(cites: DataFrame, internal: DataFrame | None = None) -> DataFrame:
 
 
 # -- terms -----------------------------------------------------------------
+def _maybe(statutes: DataFrame) -> tuple[DataFrame, Column]:
+    """Statutes and the condition to join them to rows whose ``statute_id`` may be null: null keys, most of all rows, are dealt by row."""
+    row = F.coalesce(F.col("statute_id"), F.concat(F.lit("\0"), F.xxhash64("section_urn").cast("string")))
+    return statutes.withColumnRenamed("statute_id", "_statute"), row == F.col("_statute")
+
+
 def terms_of(bill_urns: DataFrame, terms: DataFrame, sections: DataFrame, statutes: DataFrame, few: bool = False) -> DataFrame:
     """Defined terms of the requested bills, one row per term id, with citation and target.
 
@@ -149,7 +155,7 @@ def terms_of(bill_urns: DataFrame, terms: DataFrame, sections: DataFrame, statut
     near = Near(mine.select("section_urn", "statute_id"), few)
     return (
         keep_first(mine, ["term_id"], [F.col("section_urn"), F.col("surface_form"), F.col("definition_type"), F.col("statute_id")])
-        .join(near(_cites(sections), "section_urn"), "section_urn", "left").join(near(_statutes(statutes), "statute_id"), "statute_id", "left")
+        .join(near(_cites(sections), "section_urn"), "section_urn", "left").join(*_maybe(near(_statutes(statutes), "statute_id")), "left").drop("_statute")
         .select("bill_urn", "term_id", "surface_form", "section_urn", F.coalesce("section_citation", F.lit("")).alias("citation"),
                 F.coalesce("scope", F.lit(fixed.DEFAULT_SCOPE)).alias("scope"), F.coalesce("definition_type", F.lit("direct")).alias("definition_type"),
                 "definition_text", "statute_id", "statute_citation")
@@ -178,7 +184,7 @@ def bills_defining(terms: DataFrame, bills: DataFrame, sections: DataFrame, stat
     return (
         rows.join(near(bills.select("bill_urn", "short_title", "title", "congress"), "bill_urn"), "bill_urn")
         .join(near(_cites(sections), "section_urn"), "section_urn", "left")
-        .join(near(_statutes(statutes), "statute_id"), "statute_id", "inner" if by_reference_to else "left")
+        .join(*_maybe(near(_statutes(statutes), "statute_id")), "inner" if by_reference_to else "left").drop("_statute")
         .select("bill_urn", "short_title", "title", "congress", "surface_form", "section_urn",
                 F.col("section_citation").alias("citation"), "definition_type", "statute_id", "statute_citation").distinct()
     )
@@ -190,7 +196,7 @@ def definitions_of(terms: DataFrame, bills: DataFrame, sections: DataFrame, stat
     near = Near(rows.select("bill_urn", "section_urn", "statute_id"))
     return (
         rows.join(near(bills.select("bill_urn", "short_title", "congress"), "bill_urn"), "bill_urn")
-        .join(near(_cites(sections), "section_urn"), "section_urn", "left").join(near(_statutes(statutes), "statute_id"), "statute_id", "left")
+        .join(near(_cites(sections), "section_urn"), "section_urn", "left").join(*_maybe(near(_statutes(statutes), "statute_id")), "left").drop("_statute")
         .select("bill_urn", "short_title", "congress", F.col("section_citation").alias("citation"), "definition_type",
                 "definition_text", "statute_citation").distinct()
     )
@@ -202,7 +208,7 @@ def amendments_of(bill_urns: DataFrame, amends: DataFrame, sections: DataFrame,
     mine = Near(bill_urns, few).only(amends, "bill_urn")
     near = Near(mine.select("section_urn", "statute_id"), few)
     return (
-        mine.join(near(_cites(sections), "section_urn"), "section_urn", "left").join(near(_statutes(statutes), "statute_id"), "statute_id", "left")
+        mine.join(near(_cites(sections), "section_urn"), "section_urn", "left").join(*_maybe(near(_statutes(statutes), "statute_id")), "left").drop("_statute")
         .select("bill_urn", "amendment_id", "section_urn", F.coalesce("section_citation", F.lit("")).alias("citation"),
                 "operation_type", "before_text", "after_text", "statute_id", "statute_citation")
     )

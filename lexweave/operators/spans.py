@@ -3,33 +3,41 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave import fixed
 from lexweave.functions import text as tx
+from lexweave.functions.arrays import let, running_sums
 
 _SPAN = "array<struct<start:int,end:int,match:string>>"
 
 
 def match_spans(text, pattern: str) -> Column:
-    """All matches of a pattern with their 0-based offsets, in order.
+    """All matches of a pattern with their 0-based offsets, in order; the text is scanned for the matches and for the gaps between them.
 
-    The pieces between the matches and the matches themselves add up to the text, so their running
-    length gives every offset.
+    Gaps and matches add up to the text, so the running sums of their lengths give every offset.
     """
     text = tx.col(text)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.length(x["gap"])
-        e = s + F.length(x["hit"])
-        span = F.struct(s.alias("start"), e.alias("end"), x["hit"].alias("match"))
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def place(m):
+        steps = F.zip_with(F.slice(m["gaps"], F.lit(1), F.size(m["hits"])), m["hits"], lambda g, h: (F.length(g) + F.length(h)).cast("long"))
+        return let(running_sums(steps), lambda ends: F.transform(m["hits"], lambda h, i: F.struct(
+            (F.get(ends, i) - F.length(h)).cast("int").alias("start"), F.get(ends, i).cast("int").alias("end"), h.alias("match"))))
 
-    pairs = F.zip_with(F.slice(F.split(text, pattern), F.lit(1), F.size(found)), found, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda a: a["out"])).otherwise(F.array().cast(_SPAN))
+    made = let(F.struct(found.alias("hits"), F.split(text, pattern).alias("gaps")), place)
+    return F.when(text.rlike(pattern), made).otherwise(F.array().cast(_SPAN))
+
+
+def starts_of(text, patterns: list[str]) -> Column:
+    """Offsets where any of the patterns begins a match: one scan cuts the text before each, and the pieces' lengths add up."""
+    text = tx.col(text)
+    ahead = "(?=" + "|".join(f"(?:{p})" for p in patterns) + ")"
+    pieces = F.split(text, ahead)
+    sums = running_sums(F.transform(pieces, lambda p: F.length(p).cast("long")))
+    cuts = let(sums, lambda s: F.transform(F.slice(s, F.lit(1), F.size(s) - 1), lambda x: x.cast("int")))
+    return F.when(F.size(pieces) > 1, cuts).otherwise(F.array().cast("array<int>"))
 
 
 def locate_span(haystack, needle) -> Column:
@@ -54,12 +62,12 @@ def locate_span(haystack, needle) -> Column:
 
 
 def break_offsets(text) -> Column:
-    """Sorted offsets inside the text where a heading or a lettered provision starts."""
+    """Sorted offsets inside the text where a heading or a lettered provision starts (all headings in one scan)."""
     text = F.coalesce(tx.col(text), F.lit(""))
-    starts = [F.transform(match_spans(text, p), lambda m: m["start"]) for p in fixed.HEADING_MARKERS]
     lead = F.transform(match_spans(text, fixed.PROVISION_MARKER),
                        lambda m: m["start"] + F.length(F.regexp_extract(m["match"], r"^[.;—]\s+", 0)))
-    return F.array_sort(F.array_distinct(F.filter(F.concat(*starts, lead), lambda o: (o > 0) & (o < F.length(text)))))
+    every = F.concat(starts_of(text, fixed.HEADING_MARKERS), lead)
+    return F.array_sort(F.array_distinct(F.filter(every, lambda o: (o > 0) & (o < F.length(text)))))
 
 
 def break_count(text) -> Column:
@@ -68,15 +76,26 @@ def break_count(text) -> Column:
 
 
 def bill_mentions(text) -> Column:
-    """``start, end, bill_type, bill_number`` of bills named in prose; overlaps go to the earliest."""
-    def of(kind: str, prose: str) -> Column:
-        return F.transform(match_spans(text, rf"\b{prose}\s?\d+\b"), lambda m: F.struct(
-            m["start"].alias("start"), m["end"].alias("end"), F.lit(kind).alias("bill_type"),
-            F.regexp_extract(m["match"], r"(\d+)$", 1).cast("long").alias("bill_number")))
-
-    every = F.array_sort(F.concat(*[of(k, p) for k, p in fixed.BILL_MENTION_PROSE.items()]))
-    kind = "array<struct<start:int,end:int,bill_type:string,bill_number:bigint>>"
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-    keep = lambda acc, m: F.when(m["start"] < acc["at"], acc).otherwise(
-        F.struct(m["end"].alias("at"), F.concat(acc["out"], F.array(m)).alias("out")))
-    return F.aggregate(every, first, keep, lambda a: a["out"])
+    """``start, end, bill_type, bill_number`` of bills named in prose, all forms in one scan; the earliest wins, then the longest form."""
+    forms = sorted(fixed.BILL_MENTION_PROSE.items(), key=lambda x: -len(x[1]))
+    every = "|".join(p for _, p in forms)
+
+    def kind(m: Column) -> Column:
+        out = F
+        for k, p in forms:
+            out = out.when(m.rlike(rf"^{p}\s?\d+$"), k)
+        return out
+
+    return F.transform(match_spans(text, rf"\b(?:{every})\s?\d+\b"), lambda m: F.struct(
+        m["start"].alias("start"), m["end"].alias("end"), kind(m["match"]).alias("bill_type"),
+        F.regexp_extract(m["match"], r"(\d+)$", 1).cast("long").alias("bill_number")))
+
+
+def resolved_mentions(mentions: DataFrame, bills: DataFrame) -> DataFrame:
+    """``mentions`` (``bill_type, bill_number`` among others) joined to the bills of that name: ``n_bills``, ``congresses`` and, if there is one, its ``bill_id``.
+
+    Bills are grouped by name first, so a mention of a number that many congresses know is one row still.
+    """
+    known = bills.groupBy("bill_type", "bill_number").agg(F.count(F.lit(1)).alias("n_bills"), F.sort_array(F.collect_set("congress")).alias("congresses"), F.min("bill_id").alias("one"))
+    out = mentions.join(known, ["bill_type", "bill_number"], "left")
+    return out.withColumn("n_bills", F.coalesce("n_bills", F.lit(0)).cast("long")).withColumn("bill_id", F.when(F.col("n_bills") == 1, F.col("one"))).drop("one")

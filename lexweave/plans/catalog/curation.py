@@ -14,16 +14,15 @@ from lexweave.plans.catalog.registry import query
 CODES = ["pl", "enr", "eas", "eh", "rs", "ih", "pcs", "zz"]
 
 
-def versions(load, every=False):
-    """Events as bill versions: the user is the bill, the event its package; without ``every`` those of code pl are left out."""
+def versions(load):
+    """Events as bill versions: the user is the bill, the event its package."""
     code = tx.lookup(F.col("event_id") % 8, dict(enumerate(CODES)))
-    return load("events").where(F.lit(True) if every else F.col("event_id") % 8 != 0).select(
+    return load("events").select(
         F.col("user_id").alias("bill_id"), code.alias("version_code"), F.date_format("ts", "yyyy-MM-dd").alias("date_issued"), F.col("event_id").alias("package_id"))
 
 
 _V = """v as (select user_id as bill_id, ['pl','enr','eas','eh','rs','ih','pcs','zz'][event_id % 8 + 1] as version_code, strftime(ts, '%Y-%m-%d') as date_issued, event_id as package_id
-  from events where event_id % 8 <> 0)"""
-_V_ALL = _V.replace(" where event_id % 8 <> 0", "")
+  from events)"""
 
 
 @query("keep_first", f"""with {_V} select bill_id, version_code, date_issued, package_id from v qualify row_number() over (partition by bill_id order by
@@ -40,18 +39,18 @@ def first_available(load):
     return cu.first_available(versions(load))
 
 
-@query("keep_first_all", f"""with {_V_ALL} select bill_id, version_code, date_issued, package_id from v qualify row_number() over (partition by bill_id order by
+@query("keep_first_all", f"""with {_V} select bill_id, version_code, date_issued, package_id from v qualify row_number() over (partition by bill_id order by
   case version_code when 'pl' then 99 when 'enr' then 90 when 'eas' then 80 when 'eh' then 70 when 'rs' then 60 when 'ih' then 50 else 0 end desc, date_issued, package_id) = 1""")
 def keep_first_all(load):
     """Canonical version per bill, of all events."""
-    return cu.canonical_version(versions(load, every=True))
+    return cu.canonical_version(versions(load))
 
 
-@query("first_available_all", f"""with {_V_ALL} select bill_id, version_code, date_issued, package_id from v where version_code <> 'zz' qualify row_number() over (partition by bill_id order by
+@query("first_available_all", f"""with {_V} select bill_id, version_code, date_issued, package_id from v where version_code <> 'zz' qualify row_number() over (partition by bill_id order by
   list_position(['pl','enr','eah','eas','es','eh','rh','rs','pcs','pp','ath','ats','ih','is'], version_code), date_issued, package_id) = 1""")
 def first_available_all(load):
     """First version of the alternative priority list, of all events."""
-    return cu.first_available(versions(load, every=True))
+    return cu.first_available(versions(load))
 
 
 def hits(load):
@@ -203,11 +202,11 @@ def reconcile_merge(load):
 
 
 @query("source_priority", """select coalesce(l.doc_id, d.doc_id) as doc_id, coalesce(case when quality = 1 then 'q' end, lang) as a, coalesce(toxic::varchar, source) as b
-from labels l full join (select * from documents where doc_id % 3 <> 0) d using (doc_id)""")
+from labels l full join documents d using (doc_id)""")
 def source_priority(load):
     """Two sources merged field by field."""
     first = load("labels").select("doc_id", F.when(F.col("quality") == 1, "q").alias("a"), F.col("toxic").cast("string").alias("b"))
-    second = load("documents").where(F.col("doc_id") % 3 != 0).select("doc_id", F.col("lang").alias("a"), F.col("source").alias("b"))
+    second = load("documents").select("doc_id", F.col("lang").alias("a"), F.col("source").alias("b"))
     return cu.merge_sources(first, second, "doc_id", ["a", "b"])
 
 

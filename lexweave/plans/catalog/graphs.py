@@ -54,12 +54,12 @@ def _landing(load):
     return gr.landing_graph(load("documents").select(F.col("doc_id").alias("bill"), (F.col("n_chars") / 100.0).alias("centrality")), e)
 
 
-@query("shared_between", f"""with {_PAIRS} select a, b, term, n as n_bills from pairs join band using (term) where a % 5 = 0 and b = a + 1
+@query("shared_between", f"""with {_PAIRS} select a, b, term, n as n_bills from pairs join band using (term) where b = a + 1
 qualify row_number() over (partition by a, b order by n desc, term collate "C") <= 2""")
 def shared_between(load):
     """The two most widely used tokens shared by neighbouring documents."""
     band = gr.band_terms(uses(load))
-    want = load("documents").where("doc_id % 5 = 0").select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"))
+    want = load("documents").select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"))
     return gr.shared_between(gr.term_pairs(band), band, want).select("a", "b", "term", F.col("n_bills").cast("long").alias("n_bills"))
 
 

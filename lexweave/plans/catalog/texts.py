@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lexweave import fixed
 from lexweave.functions import ids, text as tx
 from lexweave.operators import extracts, scoring as sc, search, spans, turns, usage
+from lexweave.plans.catalog import model
 from lexweave.plans.catalog.registry import query
 
 
@@ -89,15 +90,37 @@ def bill_mentions(load):
     return load("documents").select("doc_id", F.inline(spans.bill_mentions(t)))
 
 
-@query("break_offsets", r"""with t as (select doc_id, text, position('Sec. 4' in 'Lead. (a) x Sec. 4 ' || text) as p from documents)
-select doc_id, '6,12' as head from t""")
+@query("mentions_resolved", rf"""with {model.BILLS}, m as (select doc_id, unnest(['s', 'hr', 'hjres', 'hr']) as bill_type, unnest([doc_id, doc_id * 4 + 1, n_chars % 9, 999999999])::bigint as bill_number from documents),
+k as (select bill_type, bill_number, count(*) as n_bills, min(bill_id) as one from bills group by all)
+select doc_id, bill_type, bill_number, coalesce(n_bills, 0) as n_bills, case when n_bills = 1 then one end as bill_id from m left join k using (bill_type, bill_number)""")
+def mentions_resolved(load):
+    """Mentions before, inside and after every document text, joined to the bills of that name."""
+    n = lambda c: c.cast("string")
+    half = (F.length("text") / 2).cast("int")
+    t = F.concat(F.lit("S. "), n(F.col("doc_id")), F.lit("; "), F.substring(F.col("text"), F.lit(1), half), F.lit(" see H. R. "), n(F.col("doc_id") * 4 + 1), F.lit(" and "),
+                 F.substr(F.col("text"), half + 1), F.lit(". H.J. Res. "), n(F.col("n_chars") % 9), F.lit(", HR 999999999"))
+    m = load("documents").select("doc_id", F.inline(spans.bill_mentions(t)))
+    return spans.resolved_mentions(m, model.bills(load)).select("doc_id", "bill_type", "bill_number", "n_bills", "bill_id")
+
+
+PLANTED = " Sec. 4 x; (ab) y TITLE IV z. (2) PART II Subtitle B "
+
+# RE2 has no look-ahead: the twin puts a mark before every match, splits at it and adds up the lengths.
+_MARKED = f"""with t as (select doc_id, text, regexp_replace(text, '({"|".join(fixed.HEADING_MARKERS)})', chr(1) || '\\1', 'g') as h,
+  regexp_replace(text, '([.;—]\\s+)(\\((?:\\d{{1,3}}|[A-Za-z]{{1,4}})\\)\\s)', '\\1' || chr(1) || '\\2', 'g') as v from documents),
+p as (select doc_id, text, unnest([string_split(h, chr(1)), string_split(v, chr(1))]) as pieces from t),
+o as (select doc_id, text, unnest(list_transform(generate_series(1, len(pieces) - 1), lambda i: list_sum(list_transform(pieces[1:i], lambda x: length(x))))) as o from p),
+d as (select distinct doc_id, o::integer as o from o where o > 0 and o < length(text)),
+g as (select doc_id, string_agg(o::varchar, ',' order by o) as offsets from d group by doc_id)"""
+
+
+@query("break_offsets", f"""{_MARKED.replace("from documents)", f"from (select doc_id, replace(text, chr(10), '{PLANTED}') as text from documents))", 1)} select doc_id, coalesce(offsets, '') as head from documents left join g using (doc_id)""")
 def break_offsets(load):
-    """Structural breaks planted at the head of every document (the first two offsets)."""
-    t = F.concat(F.lit("Lead. (a) x Sec. 4 "), "text")
-    return load("documents").select("doc_id", F.array_join(F.slice(spans.break_offsets(t), 1, 2), ",").alias("head"))
+    """All structural breaks inside every document text whose line ends were made breaks."""
+    return load("documents").select("doc_id", F.array_join(spans.break_offsets(F.replace("text", F.lit("\n"), F.lit(PLANTED))), ",").alias("head"))
 
 
-@query("break_offsets_all")
+@query("break_offsets_all", f"""{_MARKED} select doc_id, coalesce(offsets, '') as offsets from documents left join g using (doc_id)""")
 def break_offsets_all(load):
     """All structural breaks inside every document text."""
     return load("documents").select("doc_id", F.array_join(spans.break_offsets("text"), ",").alias("offsets"))

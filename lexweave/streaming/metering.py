@@ -1,12 +1,17 @@
 """Usage metering on streams: lifetime totals and the cap, with no event-time eviction."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import StructField, StructType
 
 from lexweave import schemas
 from lexweave.operators import usage
+from lexweave.session import ship_package
 
 
 def read_calls(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
@@ -22,33 +27,59 @@ def totals_stream(calls: DataFrame) -> DataFrame:
     return usage.account_totals(calls)
 
 
-def start_gate(calls: DataFrame, ledger: str, limit: int, exempt: list[str] = (), bucket: str = "hour") -> StreamingQuery:
-    """Decide every call of the stream and keep the charged totals under ``ledger``.
+class Cap(StatefulProcessor):
+    """An account's running total as keyed state: its calls of a micro-batch are decided in order of time."""
 
-    Each micro-batch runs the batch operator over its own calls with the totals of earlier batches
-    as the opening balance, so a busy account is split by time like in the batch job. Decisions and
-    totals are written per batch id; a repeated batch overwrites its own output (exactly once).
-    """
-    def totals_path(batch_id: int) -> str:
-        return f"{ledger}/totals/batch={batch_id}"
-
-    def decide(batch: DataFrame, batch_id: int) -> None:
-        s = batch.sparkSession
-        schema = "user_id bigint, opening bigint"
-        opening = s.read.schema(schema).parquet(totals_path(batch_id - 1)) if batch_id else s.createDataFrame([], schema)
-        done = usage.gate(batch, limit, exempt, opening, bucket).drop("opening")
-        done.write.mode("overwrite").parquet(f"{ledger}/decisions/batch={batch_id}")
-        spent = s.read.parquet(f"{ledger}/decisions/batch={batch_id}").select("user_id", F.col("charged").alias("opening"))
-        opening.unionByName(spent).groupBy("user_id").agg(F.sum("opening").alias("opening")).write.mode("overwrite").parquet(totals_path(batch_id))
+    def __init__(self, limit: int, exempt: list[str]):
+        self.limit, self.exempt = limit, {x.strip().lower() for x in exempt}
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.total = handle.getValueState("total", "charged bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        calls = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
+        kept = self.total.get()
+        start = int(kept[0]) if kept else 0
+        before = start + calls["tokens"].cumsum() - calls["tokens"]
+        free = calls["email"].fillna("").str.strip().str.lower().isin(self.exempt)
+        calls["admitted"] = free | (before < self.limit)
+        calls["total_after"] = before + calls["tokens"]
+        calls["charged"] = calls["tokens"].where(calls["admitted"], 0)
+        self.total.update((start + int(calls["charged"].sum()),))
+        yield calls
+
+    def close(self) -> None:
+        pass
 
+
+def start_gate(calls: DataFrame, ledger: str, limit: int, exempt: list[str] = ()) -> StreamingQuery:
+    """Decide every call of the stream, with one running total per account in the state store.
+
+    Decisions go to the file sink under ``ledger``, whose log (which Spark compacts) and the state's
+    checkpoint make each charge count once; no copies of earlier balances are kept. An account's calls of one
+    micro-batch meet in one task, so ``maxFilesPerTrigger`` on the source bounds what that is.
+    """
+    spark = calls.sparkSession
+    ship_package(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    priced = calls.withColumn("tokens", usage.charge().cast("long"))
+    made = priced.withColumns({"admitted": F.lit(True), "total_after": F.lit(0).cast("long"), "charged": F.lit(0).cast("long")}).schema
+    decided = priced.groupBy("user_id").transformWithStateInPandas(
+        Cap(limit, list(exempt)), StructType([StructField(f.name, f.dataType) for f in made]), "Append", "None")
     return (
-        calls.writeStream.foreachBatch(decide).option("checkpointLocation", f"{ledger}/checkpoint")
-        .trigger(availableNow=True).start()
+        decided.writeStream.format("parquet").option("path", f"{ledger}/decisions").option("checkpointLocation", f"{ledger}/checkpoint")
+        .outputMode("append").trigger(availableNow=True).start()
     )
 
 
 def read_decisions(spark: SparkSession, ledger: str) -> DataFrame:
-    return spark.read.option("basePath", f"{ledger}/decisions").parquet(f"{ledger}/decisions")
+    return spark.read.parquet(f"{ledger}/decisions")
+
+
+def read_balances(spark: SparkSession, ledger: str) -> DataFrame:
+    """``user_id, charged``: the running totals as they stand in the state store."""
+    state = spark.read.format("statestore").option("stateVarName", "total").load(f"{ledger}/checkpoint")
+    return state.select(F.col("key.user_id").alias("user_id"), F.col("value.charged").alias("charged"))
 
 
 def trace_stream(spark: SparkSession, path: str) -> DataFrame:

@@ -375,7 +375,13 @@ def test_stream_equals_batch(spark, tmp_path):
     for e in (1, 3, 5):  # three landings, two calls each, one micro-batch per run
         calls(spark).where(f"event_id in ({e}, {e + 1})").coalesce(1).write.mode("append").json(src)
         metering.start_gate(metering.read_calls(spark, src), led, 100, ["boss@x"]).awaitTermination()
-    assert {(r.event_id, r.admitted, r.charged) for r in metering.read_decisions(spark, led).collect()} == want
+    assert sorted((r.event_id, r.admitted, r.charged) for r in metering.read_decisions(spark, led).collect()) == sorted(want)
+    spent = {}
+    for r in usage.gate(calls(spark), 100, ["boss@x"]).collect():
+        spent[r.user_id] = spent.get(r.user_id, 0) + r.charged
+    assert {tuple(r) for r in metering.read_balances(spark, led).collect()} == set(spent.items())  # one row per account
+    metering.start_gate(metering.read_calls(spark, src), led, 100, ["boss@x"]).awaitTermination()  # nothing new, nothing charged again
+    assert metering.read_decisions(spark, led).count() == len(want) and not [x for x in (tmp_path / "ledger").iterdir() if x.name not in ("decisions", "checkpoint")]
     q = metering.totals_stream(metering.read_calls(spark, src)).writeStream.outputMode("complete").format("memory").queryName("totals").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {tuple(r) for r in spark.table("totals").collect()} == {tuple(r) for r in usage.account_totals(calls(spark)).collect()}
