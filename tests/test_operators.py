@@ -212,6 +212,24 @@ def test_no_phrase_across_fields(spark):
     assert search.bm25(ix, search.query_phrases(ask(spark, '"frontier model"'))).count() == 0
 
 
+def test_clustered_vectors(spark, tmp_path):
+    """Every vector is in the index; with all clusters probed the result is the exact one, with some it has nine in ten."""
+    from lexweave.operators import vectors as nearby
+    rng = np.random.default_rng(7)
+    m = rng.normal(size=(40, 12))[rng.integers(0, 40, 1500)] + 0.3 * rng.normal(size=(1500, 12))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, i // 4, "tu"[i % 2], v.tolist()) for i, v in enumerate(m)] + [(9999, 0, "t", []), (9998, 0, None, [1.0] * 12)],
+                               "section_id long, bill_id long, topic string, vector array<double>")
+    ix = nearby.write(df, str(tmp_path / "v"), clusters=30)
+    assert ix.vectors.count() == 1500 and ix.centroids.count() == 30 and ix.vectors.select("cluster").distinct().count() > 20
+    q = df.where("section_id % 50 = 0").select(F.col("section_id").alias("query_id"), "topic", "vector")
+    key = lambda d: {(r.query_id, r.section_id, round(r.score, 6)) for r in d.collect()}
+    exact = key(dense.dense_scores(df, q, 10))
+    assert key(nearby.nearest(ix, q, 10, probes=30)) == exact
+    assert len(key(nearby.nearest(ix, q, 10, probes=5)) & exact) >= 0.9 * len(exact)
+    assert nearby.nearest(nearby.write(df.where("false"), str(tmp_path / "e")), q, 10).collect() == []
+
+
 def test_fusion(spark):
     lex = spark.createDataFrame([(0, "a", 1), (0, "b", 2)], "query_id int, bill_id string, lexical_rank int").withColumn("lexical_section", F.lit("l"))
     den = spark.createDataFrame([(0, "b", 1), (0, "c", 2), (1, "z", 1)], "query_id int, bill_id string, dense_rank int").withColumn("dense_section", F.lit("d"))
