@@ -5,7 +5,7 @@ from typing import NamedTuple
 
 import numpy as np
 
-PACKED = "alphabet binary, ends binary, labels binary, weights binary, targets binary, sizes array<bigint>"
+PACKED = "alphabet binary, arcs binary, labels binary, weights binary, targets binary, sizes array<bigint>"
 COLUMNS = tuple(c.split()[0] for c in PACKED.split(", "))
 
 
@@ -134,18 +134,27 @@ def pack(a: Automaton) -> dict:
         target = cls
     stored.reverse()
     joined = [np.concatenate([s[i] for s in stored]) if stored else np.zeros(0, np.int64) for i in range(4)]
-    return {"alphabet": a.alphabet.tobytes(), "ends": joined[0].astype(np.int32).tobytes(), "labels": joined[1].astype(np.int32).tobytes(),
-            "weights": joined[2].astype(np.int64).tobytes(), "targets": joined[3].astype(np.int32).tobytes(),
+    joined[0] = np.concatenate([np.diff(s[0], prepend=0) for s in stored]) if stored else joined[0]
+    return {"alphabet": a.alphabet.tobytes(), **{c: narrow(x) for c, x in zip(("arcs", "labels", "weights", "targets"), joined)},
             "sizes": [x for s in stored for x in (len(s[0]), len(s[1]))]}
 
 
+def narrow(x: np.ndarray) -> bytes:
+    """Numbers in as few bytes each as the largest needs; the first byte says how many."""
+    width = next(w for w in (1, 2, 4, 8) if not len(x) or int(x.max()) < 1 << (8 * w - (w == 8)))
+    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+
+
+def widened(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+
+
 def unpack(row: dict) -> Automaton:
-    get = lambda c, kind: np.frombuffer(row[c], kind).astype(np.int64)
-    ends, label, weight, target = get("ends", np.int32), get("labels", np.int32), get("weights", np.int64), get("targets", np.int32)
+    count, label, weight, target = (widened(row[c]) for c in ("arcs", "labels", "weights", "targets"))
     labels, up, weights = [], [], []
     state, e, t = np.zeros(1, np.int64), 0, 0
     for lists, arcs in zip(row["sizes"][::2], row["sizes"][1::2]):
-        stop = ends[e: e + lists]
+        stop = np.cumsum(count[e: e + lists])
         start = np.append(0, stop[:-1])
         n = (stop - start)[state]
         at = t + np.repeat(start[state] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())

@@ -18,7 +18,7 @@ LONGEST, LEAST, KEEP, INSIDE = 5, 100, 2000, 100
 #: Bytes of text counted at once, states a task unites before it sends them, and the bits of the filters.
 PIECE_BYTES, STATES, FILTER_BITS = 4 << 20, 1 << 19, 26
 #: Automata of one prefix range meet in this many parts first; a range covers about so many words of the corpus.
-FAN, RANGE_WORDS, LEAST_RANGE_BITS = 8, 1 << 22, 6
+FAN, RANGE_WORDS, LEAST_RANGE_BITS = 8, 1 << 24, 4
 SALTS = 64
 UNKNOWN = "und"
 #: Bytes at which texts are split into pieces, and bytes between words.
