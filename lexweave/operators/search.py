@@ -180,8 +180,19 @@ def phrase_hits(index: DataFrame, phrases: DataFrame, prefixes: bool = False) ->
 
 def counted(found: DataFrame, phrases: DataFrame) -> DataFrame:
     """Phrase counts of texts from where words of units, less their offset, stand: rows of ``KEYS, unit, n, starts``."""
-    per_unit = found.groupBy(*KEYS, "unit", "n").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    places = F.when(F.col("n") == 1, F.col("starts")).otherwise(_full_runs(F.array_sort("starts"), F.col("n")))
+    return by_text(phrase_counts(found, phrases))
+
+
+def by_text(counts: DataFrame) -> DataFrame:
+    """One row per text with its counts as ``freqs map<phrase, n>``."""
+    return counts.groupBy(*KEYS).agg(F.map_from_entries(F.collect_list(F.struct("phrase", "freq"))).alias("freqs"))
+
+
+def phrase_counts(found: DataFrame, phrases: DataFrame) -> DataFrame:
+    """``KEYS, phrase, freq``, one row per text and phrase that stands in it."""
+    # sorted in the aggregate: inside the lambda of _full_runs an expression is evaluated once per element
+    per_unit = found.groupBy(*KEYS, "unit", "n").agg(F.array_sort(F.flatten(F.collect_list("starts"))).alias("starts"))
+    places = F.when(F.col("n") == 1, F.col("starts")).otherwise(_full_runs(F.col("starts"), F.col("n")))
     per_unit = per_unit.withColumn("starts", places).where(F.size("starts") > 0)
     groups = phrases.where("near is not null").select("phrase", "near", F.size("units").alias("parts"), F.posexplode("units").alias("part", "u")).distinct()
     groups = groups.select("phrase", "near", "parts", "part", phrase_name(F.array("u"), F.lit(None).cast("int")).alias("unit"))
@@ -190,8 +201,7 @@ def counted(found: DataFrame, phrases: DataFrame) -> DataFrame:
     near = near.withColumn("freq", asked.near_count(F.col("places"), F.col("near"), F.col("parts"))).where("freq > 0")
     plain = phrases.where("near is null").select(F.col("phrase").alias("unit")).distinct()
     single = per_unit.join(plain, "unit").select(*KEYS, F.col("unit").alias("phrase"), F.size("starts").cast("long").alias("freq"))
-    return single.unionByName(near.select(*KEYS, "phrase", "freq")).groupBy(*KEYS).agg(
-        F.map_from_entries(F.collect_list(F.struct("phrase", "freq"))).alias("freqs"))
+    return single.unionByName(near.select(*KEYS, "phrase", "freq"))
 
 
 def _full_runs(starts: Column, n: Column) -> Column:
