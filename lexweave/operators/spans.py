@@ -43,24 +43,37 @@ def starts_of(text, patterns: list[str]) -> Column:
 def locate_span(haystack, needle) -> Column:
     """``start, end`` (0-based) of the needle in the haystack, or null.
 
-    Exact first; else with any whitespace between its words. Needles under three characters are
-    only matched exactly, and nothing is ever made up.
+    Exact first; else with any whitespace between its words: both sides are looked at with every
+    whitespace run as one blank, and the runs before a place give its offset in the haystack. (A pattern made of
+    the words nests as deep as the needle is long.) Needles under three characters are only matched exactly, and nothing is ever made up.
     """
     h, n = tx.col(haystack), tx.col(needle)
     exact = F.position(n, h)
     words = tx.clean_inline(n)
-    loose = F.concat(F.lit("(?U)"), F.regexp_replace(F.regexp_replace(words, r"([\\.\[\]{}()*+?^$|])", r"\\$1"), " ", r"\\s+"))
-    at = F.regexp_instr(h, loose)
-    end = at - 1 + F.length(F.regexp_substr(h, loose))
-    tail_blank = F.length(tx.strip(F.substr(h, end + 1))) == 0
-    loose_span = F.when(at > 0, F.struct((at - 1).alias("start"), F.when(tail_blank, F.length(h)).otherwise(end).alias("end")))
+    found = let(F.struct(h.alias("h"), words.alias("words"), F.regexp_replace(h, r"(?U)\s+", " ").alias("flat")),
+                lambda x: let(F.struct(x["h"].alias("h"), x["words"].alias("words"), x["flat"].alias("flat"), F.position(x["words"], x["flat"]).alias("at")), _unflattened))
     return (
         F.when(h.isNull() | n.isNull() | (h == "") | (n == ""), F.lit(None))
         .when(exact > 0, F.struct((exact - 1).alias("start"), (exact - 1 + F.length(n)).alias("end")))
-        .when(F.length(words) >= 3, loose_span)
+        .when(F.length(words) >= 3, found)
     )
 
 
+def _unflattened(x: Column) -> Column:
+    """``start, end`` in ``h`` of ``words`` at place ``at`` of ``flat``, the text with each whitespace run as one blank."""
+    blanks = lambda t: F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit("")))
+    widths = lambda runs: F.aggregate(runs, F.lit(0), lambda s, r: s + F.length(r) - 1)
+
+    def placed(r: Column) -> Column:
+        inner = F.slice(r["runs"], r["before"] + 1, blanks(x["words"]))
+        start = x["at"] - 1 + widths(F.slice(r["runs"], F.lit(1), r["before"]))
+        return let(F.struct(start.alias("start"), (start + F.length(x["words"]) + widths(inner)).alias("end")), lambda s: F.struct(
+            s["start"].alias("start"), F.when(F.length(tx.strip(F.substr(x["h"], s["end"] + 1))) == 0, F.length(x["h"])).otherwise(s["end"]).alias("end")))
+
+    runs = F.struct(F.regexp_extract_all(x["h"], F.lit(r"(?U)\s+"), F.lit(0)).alias("runs"), blanks(F.substr(x["flat"], F.lit(1), x["at"] - 1)).alias("before"))
+    return F.when(x["at"] > 0, let(runs, placed))
+
+
 def break_offsets(text) -> Column:
     """Sorted offsets inside the text where a heading or a lettered provision starts (all headings in one scan)."""
     text = F.coalesce(tx.col(text), F.lit(""))

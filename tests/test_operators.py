@@ -321,6 +321,13 @@ def test_locate_span(spark, hay, needle, want):
     assert (got and tuple(got)) == want
 
 
+def test_locate_span_of_a_long_text(spark):
+    lines = [f"word{i} and (a) x" for i in range(60000)]
+    hay, needle = "\t ".join(["intro", *lines]) + " \n", "\n".join(lines[1:])
+    got = spark.createDataFrame([(hay, needle)], "h string, n string").select(spans.locate_span("h", "n")).collect()[0][0]
+    assert tuple(got) == (hay.index("word1 "), len(hay))
+
+
 def test_breaks_and_mentions(spark):
     t = "Intro; (a) one. (2) two TITLE IV x Sec. 3 y"
     r = one(spark, spans.break_offsets(F.lit(t)), spans.bill_mentions(F.lit("See S. 12 and H.R. 5 or H.J. Res. 7.")), spans.break_count(F.lit(t)))
