@@ -25,4 +25,4 @@ def running_sums(values: Column) -> Column:
         return let(_short_sums(F.transform(parts, lambda p: F.element_at(p, -1))), lambda offs: F.flatten(
             F.transform(parts, lambda p, j: F.transform(p, lambda x: x + F.when(j > 0, F.get(offs, j - 1)).otherwise(0)))))
 
-    return F.when(F.size(values) > 0, let(values, lambda v: let(blocks(v), shifted))).otherwise(F.array().cast("array<bigint>"))
+    return let(values, lambda v: F.when(F.size(v) > 0, let(blocks(v), shifted)).otherwise(F.array().cast("array<bigint>")))

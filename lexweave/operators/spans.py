@@ -18,26 +18,32 @@ def match_spans(text, pattern: str) -> Column:
 
     Gaps and matches add up to the text, so the running sums of their lengths give every offset.
     """
-    text = tx.col(text)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-
     def place(m):
         steps = F.zip_with(F.slice(m["gaps"], F.lit(1), F.size(m["hits"])), m["hits"], lambda g, h: (F.length(g) + F.length(h)).cast("long"))
         return let(running_sums(steps), lambda ends: F.transform(m["hits"], lambda h, i: F.struct(
             (F.get(ends, i) - F.length(h)).cast("int").alias("start"), F.get(ends, i).cast("int").alias("end"), h.alias("match"))))
 
-    made = let(F.struct(found.alias("hits"), F.split(text, pattern).alias("gaps")), place)
-    return F.when(text.rlike(pattern), made).otherwise(F.array().cast(_SPAN))
+    def spans_in(t):
+        found = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+        made = let(F.struct(found.alias("hits"), F.split(t, pattern).alias("gaps")), place)
+        return F.when(t.rlike(pattern), made).otherwise(F.array().cast(_SPAN))
+
+    return let(tx.col(text), spans_in)
 
 
 def starts_of(text, patterns: list[str]) -> Column:
     """Offsets where any of the patterns begins a match: one scan cuts the text before each, and the pieces' lengths add up."""
     text = tx.col(text)
-    ahead = "(?=" + "|".join(f"(?:{p})" for p in patterns) + ")"
-    pieces = F.split(text, ahead)
-    sums = running_sums(F.transform(pieces, lambda p: F.length(p).cast("long")))
-    cuts = let(sums, lambda s: F.transform(F.slice(s, F.lit(1), F.size(s) - 1), lambda x: x.cast("int")))
-    return F.when(F.size(pieces) > 1, cuts).otherwise(F.array().cast("array<int>"))
+    # a word border that all patterns begin with is tried once per place, not once per pattern
+    border = r"\b" if all(p.startswith(r"\b") for p in patterns) else ""
+    ahead = f"(?={border}(?:" + "|".join(f"(?:{p.removeprefix(border)})" for p in patterns) + "))"
+
+    def cuts(pieces):
+        sums = running_sums(F.transform(pieces, lambda p: F.length(p).cast("long")))
+        inner = let(sums, lambda s: F.transform(F.slice(s, F.lit(1), F.size(s) - 1), lambda x: x.cast("int")))
+        return F.when(F.size(pieces) > 1, inner).otherwise(F.array().cast("array<int>"))
+
+    return let(F.split(text, ahead), cuts)
 
 
 def locate_span(haystack, needle) -> Column:
@@ -76,11 +82,14 @@ def _unflattened(x: Column) -> Column:
 
 def break_offsets(text) -> Column:
     """Sorted offsets inside the text where a heading or a lettered provision starts (all headings in one scan)."""
-    text = F.coalesce(tx.col(text), F.lit(""))
-    lead = F.transform(match_spans(text, fixed.PROVISION_MARKER),
-                       lambda m: m["start"] + F.length(F.regexp_extract(m["match"], r"^[.;—]\s+", 0)))
-    every = F.concat(starts_of(text, fixed.HEADING_MARKERS), lead)
-    return F.array_sort(F.array_distinct(F.filter(every, lambda o: (o > 0) & (o < F.length(text)))))
+    def offsets(x: Column) -> Column:
+        lead = F.transform(match_spans(x["text"], fixed.PROVISION_MARKER),
+                           lambda m: m["start"] + F.length(F.regexp_extract(m["match"], r"^[.;—]\s+", 0)))
+        every = F.concat(starts_of(x["text"], fixed.HEADING_MARKERS), lead)
+        return F.array_sort(F.array_distinct(F.filter(every, lambda o: (o > 0) & (o < x["size"]))))
+
+    # the text is made and measured once: inside a lambda an expression is evaluated once per element
+    return let(F.coalesce(tx.col(text), F.lit("")), lambda t: let(F.struct(t.alias("text"), F.length(t).alias("size")), offsets))
 
 
 def break_count(text) -> Column:

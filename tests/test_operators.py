@@ -335,6 +335,13 @@ def test_breaks_and_mentions(spark):
     assert [(m.bill_type, m.bill_number) for m in r[1]] == [("s", 12), ("hr", 5), ("hjres", 7)]
 
 
+def test_breaks_make_their_text_once(spark):
+    made = F.replace(F.col("t"), F.lit("\n"), F.lit("; (a) Sec. 1 "))
+    assert str(spans.break_offsets(made)).count("replace(t") == 1 == str(spans.bill_mentions(made)).count("replace(t")
+    got = spark.createDataFrame([("x\ny",), (None,)], "t string").select(spans.break_offsets(made).alias("o")).collect()
+    assert [r.o for r in got] == [[3, 7], []]
+
+
 # -- scoring ---------------------------------------------------------------
 def score(spark, answer, tool="", aborted=False, **c):
     base = {k: None for k in ("answer_must_contain", "answer_must_not_contain", "answer_must_cite", "bill_id_min", "bill_id_set_full")} | {"abstain": False} | c
