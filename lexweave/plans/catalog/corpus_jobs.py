@@ -12,6 +12,7 @@ from lexweave.plans.catalog.model import BILLS
 from lexweave.plans.catalog.registry import query
 from lexweave.session import checkpoint_dir
 from lexweave.sources import corpus
+from lexweave.sources.tables import stage
 
 
 def fresh(df, label):
@@ -142,5 +143,5 @@ def topic_search(load):
     index = documents.stored(load, "topics", lambda load: search.text_index(load("documents"), "doc_id", F.col("lang"), ["text"]))
     k = F.col("query_id") % 4
     asked = documents.questions(load).withColumn("topic", F.when(k == 0, "en").when(k == 1, "fr").when(k == 2, "de").otherwise("es"))
-    best = search.top_k(postings.bm25(index, search.query_phrases(asked)), ["query_id"], [F.desc("score"), F.asc("doc")], 20, "rank")
+    best = search.top_k(postings.bm25(index, stage(search.query_phrases(asked), "phrases")), ["query_id"], [F.desc("score"), F.asc("doc")], 20, "rank")
     return best.select("query_id", F.col("doc").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))

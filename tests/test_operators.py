@@ -313,6 +313,22 @@ def test_ego_graph_reports_missing(spark):
     assert {(r.src, r.dst) for r in e.collect()} == {("rel_0", "center"), ("center", "def_0"), ("center", "sec_0"), ("center", "cite_0"), ("def_0", "cite_0")}
 
 
+def test_index_of_odd_rows(spark, tmp_path):
+    from lexweave.operators import postings
+    rows = [(1, "a b a", "x"), (1, "a b a", "x"), (1, "b", "x"), (2, "", "x"), (3, None, None), (4, "a é b", None), (None, "b a", "x")]
+    texts = search.text_index(spark.createDataFrame(rows, "id long, t string, tp string"), "id", F.col("tp"), ["t", "tp"])
+    ix = postings.write(texts, f"{tmp_path}/odd")
+    got = {(r.topic, r.term): [(t.doc, t.len, t.places) for t in r.texts] for r in ix.blocks.collect()}
+    assert {k: sorted(v, key=str) for k, v in got.items() if k[1] in ("a", "é")} == {
+        ("x", "a"): [(1, 4, [0, 0, 2, 2]), (None, 3, [1])], (None, "a"): [(4, 3, [0])], (None, "é"): [(4, 3, [1])]}
+    assert got[("x", "x")] == [(None, 3, [3]), (1, 2, [2]), (1, 4, [4, 4]), (2, 1, [1])]
+    assert (ix.stats.first().n_docs, {r.term: r.df for r in ix.terms.collect()}) == (7, {"a": 3, "b": 4, "é": 1, "x": 4})
+    q = search.query_phrases(spark.createDataFrame([(0, "a", "x")], "query_id long, text string, topic string"))
+    # what a unit is worth is read, not worked out beside every hit
+    scores = postings.ranked(postings.hits_of(ix, q), q, postings.document_frequencies(ix, q), ix)
+    assert any("/stage-units-" in f for f in scores.inputFiles()) and [r.doc for r in scores.orderBy("doc").collect()] == [None, 1]
+
+
 # -- spans -----------------------------------------------------------------
 @pytest.mark.parametrize("hay, needle, want", [
     ("abc def", "c d", (2, 5)), ("abc  def\n ghi ", "def ghi", (5, 14)), ("a.c (x)", "a.c  (x)", (0, 7)), ("ab", "a  b", None), ("abc", "zzz", None), ("a b", "xy", None)])
