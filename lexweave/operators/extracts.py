@@ -206,7 +206,8 @@ def thin_metadata(nodes: DataFrame) -> DataFrame:
         F.concat_ws("-", F.substring(day, 1, 4), F.substring(day, 5, 2), F.substring(day, 7, 2))))
 
     def first(tag: str, value: Column) -> Column:
-        return F.min_by(value, F.when((F.col("tag") == tag) & value.isNotNull(), F.col("pos")))
+        mine = F.when(F.col("tag") == tag, value)
+        return F.min_by(mine, F.when(mine.isNotNull(), F.col("pos")))
 
     # a sponsor is its searchable name when it has one, else all text below it
     sponsor = F.try_element_at(F.filter("path", lambda p: p["tag"] == "sponsor"), F.lit(1))
@@ -223,10 +224,12 @@ def thin_metadata(nodes: DataFrame) -> DataFrame:
         .withColumn("sponsor", F.coalesce("name", tx.blank_to_null(tx.clean_inline("all"))))
         .groupBy("bill_id").agg(F.min_by("sponsor", F.when(F.col("sponsor").isNotNull(), F.col("at"))).alias("sponsor"))
     )
-    rest = nodes.where(F.col("error").isNull()).groupBy("bill_id").agg(
+    # a document's root is its row at 0, so every readable document keeps a row and paths are not read
+    told = nodes.where(F.col("error").isNull() & ((F.col("pos") == 0) | F.col("tag").isin("official-title", "short-title", "action-date")))
+    rest = told.groupBy("bill_id").agg(
         first("official-title", own).alias("title"), first("short-title", own).alias("short_title"),
         first("action-date", iso).alias("introduced_date"),
-        F.min_by("stage", F.when(F.size("path") == 1, F.col("pos"))).alias("bill_stage"))
+        F.min_by("stage", F.when(F.col("pos") == 0, F.col("pos"))).alias("bill_stage"))
     return rest.join(texts, "bill_id", "left")
 
 

@@ -7,6 +7,7 @@ code over these rows, mostly without looking at any other row.
 """
 from __future__ import annotations
 
+import itertools
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
@@ -20,12 +21,14 @@ from lexweave.functions.text import clean_inline
 from lexweave.session import ship_package
 
 NODE_SCHEMA = (
-    "bill_id string, error string, body_pos int, has_body boolean, pos int, end int, tag string, id string,"
+    "bill_id string, error string, body_pos int, body_depth int, has_body boolean, pos int, end int, tag string, id string,"
     "legal_doc string, cite string, date string, stage string, text string, tail string,"
     "path array<struct<pos:int,end:int,tag:string,id:string,holds:boolean,quotes:boolean,defines:boolean>>"
 )
 _ATTRS = ["id", "legal-doc", "parsable-cite", "date", "bill-stage"]
 _MARKS = ["holds", "quotes", "defines"]
+_LEVELS = frozenset(fixed.LEVELS)
+BATCH_ROWS = 4096
 _PATH = pa.struct([("pos", pa.int32()), ("end", pa.int32()), ("tag", pa.string()),
                    ("id", pa.string()), *((m, pa.bool_()) for m in _MARKS)])
 
@@ -33,22 +36,30 @@ _PATH = pa.struct([("pos", pa.int32()), ("end", pa.int32()), ("tag", pa.string()
 def _tree_rows(root: ET.Element) -> dict:
     """Document order columns of a tree; ``pos``/``end`` number the start and end events."""
     out = {k: [] for k in ("pos", "end", "tag", "text", "tail", "chain", *_MARKS, *_ATTRS)}
+    pos, end, tags, texts, tails, chains = (out[k] for k in ("pos", "end", "tag", "text", "tail", "chain"))
+    marks, attrs = [out[m] for m in _MARKS], [(out[a], a) for a in _ATTRS]
     clock, todo, headed = 0, [(root, (), None)], set()
     while todo:
         elem, chain, closing = todo.pop()
         if closing is not None:
-            out["end"][closing] = clock
+            end[closing] = clock
             clock += 1
             continue
-        row = len(out["pos"])
+        row = len(pos)
         chain += (row,)
         tag = elem.tag.rsplit("}", 1)[-1]
-        for key, value in (("pos", clock), ("end", -1), ("tag", tag), ("text", elem.text),
-                           ("tail", elem.tail), ("chain", chain), *((m, False) for m in _MARKS)):
-            out[key].append(value)
-        for name in _ATTRS:
-            out[name].append(elem.get(name))
-        mark = "holds" if tag in fixed.LEVELS else "quotes" if tag == "quoted-block" else None
+        pos.append(clock)
+        end.append(-1)
+        tags.append(tag)
+        texts.append(elem.text)
+        tails.append(elem.tail)
+        chains.append(chain)
+        for m in marks:
+            m.append(False)
+        get = elem.attrib.get
+        for column, name in attrs:
+            column.append(get(name))
+        mark = "holds" if tag in _LEVELS else "quotes" if tag == "quoted-block" else None
         for above in chain[:-1] if mark else ():
             out[mark][above] = True
         if tag in fixed.HEADING_TAGS and len(chain) > 1 and chain[-2] not in headed:
@@ -60,35 +71,54 @@ def _tree_rows(root: ET.Element) -> dict:
     return out
 
 
-def _document_batch(bill_id: str, xml: bytes) -> pa.RecordBatch:
+def _document(bill_id: str, xml: bytes) -> dict:
+    """The columns of one document, without what all its rows share spelled out per row."""
     try:
         rows, error = _tree_rows(ET.fromstring(xml)), None
     except (ET.ParseError, ValueError, LookupError) as e:
         rows, error = _tree_rows(ET.Element("unreadable")), f"{type(e).__name__}: {e}"
-    n = len(rows["pos"])
     bodies = [rows["tag"].index(t) for t in fixed.BODY_TAGS if t in rows["tag"]]
-    col = {k: pa.array(rows[k], pa.int32()) for k in ("pos", "end")}
-    col |= {k: pa.array(rows[k], pa.string()) for k in ("tag", "text", "tail", *_ATTRS)}
+    at = bodies[0] if bodies else None
+    shared = {"bill_id": bill_id, "error": error, "body_pos": 0 if at is None else rows["pos"][at], "has_body": at is not None,
+              "body_depth": 1 if at is None else len(rows["chain"][at])}
+    return rows | {"shared": shared}
+
+
+def _documents_batch(docs: list[dict]) -> pa.RecordBatch:
+    """The rows of some documents as one batch."""
+    every = lambda k: list(itertools.chain.from_iterable(d[k] for d in docs))
+    col = {k: pa.array(every(k), pa.int32()) for k in ("pos", "end")}
+    col |= {k: pa.array(every(k), pa.string()) for k in ("tag", "text", "tail", *_ATTRS)}
     elements = pa.StructArray.from_arrays(
-        [col["pos"], col["end"], col["tag"], col["id"], *[pa.array(rows[m], pa.bool_()) for m in _MARKS]],
+        [col["pos"], col["end"], col["tag"], col["id"], *[pa.array(every(m), pa.bool_()) for m in _MARKS]],
         fields=list(_PATH))
-    offsets, flat = [0], []
-    for chain in rows["chain"]:
-        flat.extend(chain)
-        offsets.append(len(flat))
+    offsets, flat, base = [0], [], 0
+    for d in docs:
+        for steps in d["chain"]:
+            flat.extend([base + i for i in steps])
+            offsets.append(len(flat))
+        base += len(d["pos"])
     path = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), elements.take(pa.array(flat, pa.int32())))
+    of = pa.array([i for i, d in enumerate(docs) for _ in d["pos"]], pa.int32())
+    shared = {k: pa.array([d["shared"][k] for d in docs], t).take(of) for k, t in (
+        ("bill_id", pa.string()), ("error", pa.string()), ("body_pos", pa.int32()), ("body_depth", pa.int32()), ("has_body", pa.bool_()))}
     return pa.RecordBatch.from_arrays(
-        [pa.array([bill_id] * n), pa.array([error] * n, pa.string()),
-         pa.array([rows["pos"][bodies[0]] if bodies else 0] * n, pa.int32()), pa.array([bool(bodies)] * n),
-         col["pos"], col["end"], col["tag"], *[col[a] for a in _ATTRS], col["text"], col["tail"], path],
-        names=["bill_id", "error", "body_pos", "has_body", "pos", "end", "tag", "id", "legal_doc", "cite",
-               "date", "stage", "text", "tail", "path"])
+        [*shared.values(), col["pos"], col["end"], col["tag"], *[col[a] for a in _ATTRS], col["text"], col["tail"], path],
+        names=[*shared, "pos", "end", "tag", "id", "legal_doc", "cite", "date", "stage", "text", "tail", "path"])
 
 
 def _flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Small documents share a batch: one of about ``BATCH_ROWS`` rows, or a single document."""
+    some, n = [], 0
     for batch in batches:
         for bill_id, xml in zip(batch.column(0).to_pylist(), batch.column(1)):
-            yield _document_batch(bill_id, xml.as_py())
+            some.append(_document(bill_id, xml.as_py()))
+            n += len(some[-1]["pos"])
+            if n >= BATCH_ROWS:
+                yield _documents_batch(some)
+                some, n = [], 0
+    if some:
+        yield _documents_batch(some)
 
 
 def elements(docs: DataFrame) -> DataFrame:
@@ -123,12 +153,11 @@ def has_id(p: Column) -> Column:
 
 def in_body(nodes: DataFrame) -> DataFrame:
     """Readable elements strictly inside the body, with their path from the body down."""
-    b = F.col("body_pos")
+    depth = F.col("body_depth")
     return (
-        nodes.where(F.col("error").isNull() & F.exists("path", lambda p: p["pos"] == b))
-        .withColumn("rel", F.filter("path", lambda p: p["pos"] > b))
-        .where(F.size("rel") > 0)
-        .drop("path")
+        nodes.where(F.col("error").isNull() & (F.get("path", depth - 1)["pos"] == F.col("body_pos")) & (F.size("path") > depth))
+        .withColumn("rel", F.slice("path", depth + 1, F.size("path")))
+        .drop("path", "body_depth")
     )
 
 

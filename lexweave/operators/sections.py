@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexweave import fixed
 from lexweave.functions import ids, text as tx
+from lexweave.functions.arrays import let
 from lexweave.operators import nodes as nd
 from lexweave.operators.rank import keep_first
 
@@ -64,11 +65,15 @@ def _text(pieces: Column) -> Column:
 
     ``pieces`` are in order. Rows without any text are dropped, empty cells of other rows stay.
     """
+    return let(pieces, _text_of)
+
+
+def _text_of(pieces: Column) -> Column:
     plain = F.array_join(F.transform(F.filter(pieces, lambda x: x["txt"] != ""), lambda x: x["txt"]), " ")
     live = F.array_distinct(F.transform(F.filter(pieces, lambda x: x["tr"].isNotNull() & (tx.strip(x["txt"]) != "")), lambda x: x["tr"]))
-    kept = F.filter(pieces, lambda x: x["tbl"].isNull() | F.array_contains(live, x["tr"]))
+    kept = let(live, lambda rows: F.filter(pieces, lambda x: x["tbl"].isNull() | F.array_contains(rows, x["tr"])))
 
-    def part(x: Column, i: Column) -> Column:
+    def part(kept: Column, x: Column, i: Column) -> Column:
         before = F.try_element_at(kept, F.when(i > 0, i))
         cell = (before["tbl"] == x["tbl"]) & (before["tr"] == x["tr"]) & (before["cell"] == x["cell"])
         sep = F.when(x["tbl"].isNull() | cell, " ").when((before["tbl"] == x["tbl"]) & (before["tr"] == x["tr"]), " | ").when(
@@ -77,7 +82,7 @@ def _text(pieces: Column) -> Column:
         txt = F.when(x["tbl"].isNull(), x["txt"]).otherwise(F.regexp_replace(x["txt"], r"(?U)\s+", " "))
         return F.when(opens | (txt != ""), F.concat(F.when(i == 0, "").otherwise(sep), txt))
 
-    tabular = F.array_join(F.array_compact(F.transform(kept, part)), "")
+    tabular = let(kept, lambda k: F.array_join(F.array_compact(F.transform(k, lambda x, i: part(k, x, i))), ""))
     return F.when(F.exists(pieces, lambda x: x["tbl"].isNotNull()), tabular).otherwise(plain)
 
 
@@ -88,8 +93,11 @@ def _assemble(located: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list("piece")).alias("pieces"))
 
     def first_child(kind: str) -> Column:
-        mine = F.filter("pieces", lambda x: x["kind"] == kind)
-        return F.when(F.size(mine) > 0, _text(F.filter(mine, lambda x: x["part"] == F.try_element_at(mine, F.lit(1))["part"])))
+        def text(mine: Column) -> Column:
+            one = let(F.get(mine, 0)["part"], lambda part: F.filter(mine, lambda x: x["part"] == part))
+            return F.when(F.size(mine) > 0, _text(one))
+
+        return let(F.filter("pieces", lambda x: x["kind"] == kind), text)
 
     return got.select(
         "bill_id", "owner", "chain", "direct", first_child("enum").alias("enum_raw"), first_child("head").alias("head_raw"),
@@ -102,8 +110,7 @@ def walk(nodes: DataFrame) -> DataFrame:
     ``bill_id, pos, local_id, xml_id, level, enum, heading, text_self, text_full, ordinal, id_path,
     enum_path``. All grouping is by document, so the fragments are shuffled once.
     """
-    frags = nd.fragments(nodes).repartition("bill_id")
-    own = _assemble(_locate(frags))
+    own = _assemble(_locate(nd.fragments(nodes)).repartition("bill_id"))
     doc = Window.partitionBy("bill_id").orderBy("pos")
     before = doc.rowsBetween(Window.unboundedPreceding, -1)
     until = doc.rowsBetween(Window.unboundedPreceding, 0)
