@@ -140,3 +140,17 @@ def test_thin_metadata(bill):
     r = extracts.thin_metadata(bill[0]).where("bill_id = '119-hr-9'").collect()[0]
     assert (r.title, r.short_title, r.sponsor, r.introduced_date, r.bill_stage) == (
         "To define terms.", "Sample Act", "Ms. Doe", "2025-01-13", "Introduced-in-House")
+
+
+def test_small_documents_share_a_batch():
+    import pyarrow as pa
+
+    from lexweave.operators import nodes
+    xml = [b"<bill><legis-body><section id='a'><text>x</text></section></legis-body></bill>", b"<broken", b"<bill><form/></bill>"]
+    got = list(nodes._flatten([pa.RecordBatch.from_pydict({"bill_id": ["p", "q", "r"], "xml": xml})]))
+    assert len(got) == 1
+    rows = got[0].to_pylist()
+    assert [(r["bill_id"], r["tag"], r["body_depth"], [p["tag"] for p in r["path"]]) for r in rows] == [
+        ("p", "bill", 2, ["bill"]), ("p", "legis-body", 2, ["bill", "legis-body"]), ("p", "section", 2, ["bill", "legis-body", "section"]),
+        ("p", "text", 2, ["bill", "legis-body", "section", "text"]), ("q", "unreadable", 1, ["unreadable"]), ("r", "bill", 1, ["bill"]), ("r", "form", 1, ["bill", "form"])]
+    assert rows[4]["error"] and not rows[5]["has_body"]
