@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexweave.functions import ids, text as tx
+from lexweave.operators.rank import keep_first
+from lexweave.sources.tables import pieces
 
 TYPES = ["hr", "s", "hjres", "sjres", "hconres"]
 OPS = ["insert", "strike", "replace", "repeal", "strike_and_insert", "add_at_end", "other"]
@@ -31,21 +33,35 @@ def bills(load):
 
 
 def lines(load):
-    l = load("lineitem").join(bills(load).select("okey", "bill_id", "bill_urn", "congress", "bill_type", "bill_number"),
-                              F.col("l_orderkey") == F.col("okey"))
-    part = F.col("l_partkey")
+    """Line items with their bill: both sides dealt by order key into pieces that do not grow, ids built after the join."""
+    l, b = load("lineitem"), bills(load).select("okey", "congress", "bill_type", "bill_number")
+    k, key, part = pieces(l), ("congress", "bill_type", "bill_number"), F.col("l_partkey")
+    l = l.repartition(k, "l_orderkey").join(b.repartition(k, "okey").hint("merge"), F.col("l_orderkey") == F.col("okey"))
+    l = l.withColumn("bill_id", ids.legacy_bill_id(*key)).withColumn("bill_urn", ids.bill_urn(*key))
     return l.withColumn("section_urn", F.concat("bill_urn", F.lit("::L"), F.col("l_linenumber").cast("string"))).withColumn(
         "statute_id", ids.statute_id((part % 50 + 1).cast("string"), part.cast("string")))
 
 
 def sections(load):
-    n = F.col("l_linenumber").cast("string")
-    return lines(load).select(
-        "bill_id", "bill_urn", "section_urn", F.concat("bill_id", F.lit("::L"), n).alias("section_id"), F.col("l_linenumber").alias("ordinal"),
+    """Distinct (order, line number) pairs.
+
+    Both sides are dealt by order key once, are made distinct there while they are still narrow, and are
+    joined in the same order; ids and citations are built last. A task holds two sorted pieces, whose
+    size does not grow with the tables.
+    """
+    l, b = load("lineitem"), bills(load).select("okey", "congress", "bill_type", "bill_number")
+    k = pieces(l)
+    l = keep_first(l.where("l_orderkey is not null").select("l_orderkey", "l_linenumber").repartition(k, "l_orderkey"),
+                   ["l_orderkey", "l_linenumber"], [F.col("l_linenumber")])
+    b = keep_first(b.where("okey is not null").repartition(k, "okey"), ["okey", "bill_type"], [F.col("bill_type")])
+    key, n = ("congress", "bill_type", "bill_number"), F.col("l_linenumber").cast("string")
+    return l.join(b.hint("merge"), F.col("l_orderkey") == F.col("okey")).select(
+        "l_linenumber", *key, ids.legacy_bill_id(*key).alias("bill_id"), ids.bill_urn(*key).alias("bill_urn")).select(
+        "bill_id", "bill_urn", F.concat("bill_urn", F.lit("::L"), n).alias("section_urn"), F.concat("bill_id", F.lit("::L"), n).alias("section_id"),
+        F.col("l_linenumber").alias("ordinal"),
         n.alias("enum"), F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("Line "), n)).alias("heading"),
         F.lit(None).cast("string").alias("parent_section_id"),
-        F.concat(F.lit("Sec. "), n, F.lit(" of "), tx.bill_citation("congress", "bill_type", "bill_number")).alias("canonical_citation"),
-    ).distinct()
+        F.concat(F.lit("Sec. "), n, F.lit(" of "), tx.bill_citation("congress", "bill_type", "bill_number")).alias("canonical_citation"))
 
 
 def statutes(load):

@@ -108,3 +108,33 @@ def test_all_breaks_of_whole_texts(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.offsets for r in entry.queries()["break_offsets_all"](spark, str(tmp_path)).collect()}
     assert got == {i: brute(t or "") for i, t in enumerate(texts)} and len(got[1].split(",")) == 7
+
+
+def odd_orders(spark, folder):
+    """Orders and line items with repeated rows, keys that repeat with another priority, null keys and lines without an order."""
+    at = "timestamp '1995-01-02 00:00:00'"
+    o = [(1, "1-URGENT"), (1, "1-URGENT"), (1, "2-HIGH"), (2, None), (2, None), (3, "5-LOW"), (None, "1-URGENT"), (-7, "3-MEDIUM")]
+    l = [(1, 1), (1, 1), (1, 2), (2, 1), (2, None), (2, None), (3, 4), (None, 1), (9, 1), (-7, 6)]
+    orders = spark.createDataFrame(o, "o_orderkey long, o_orderpriority string").selectExpr(
+        "o_orderkey", "1L as o_custkey", "'F' as o_orderstatus", "1.0D as o_totalprice", f"{at} as o_orderdate", "o_orderpriority")
+    items = spark.createDataFrame(l, "l_orderkey long, l_linenumber int").selectExpr(
+        "l_orderkey", "1L as l_partkey", "1L as l_suppkey", "l_linenumber", "'A' as l_returnflag", "'O' as l_linestatus")
+    orders.write.parquet(f"{folder}/orders.parquet")
+    items.write.parquet(f"{folder}/lineitem.parquet")
+    return lambda name: read_table(spark, str(folder), name)
+
+
+def test_sections_are_distinct_pairs_in_pieces_that_do_not_grow(spark, tmp_path, monkeypatch):
+    from lexweave.plans.catalog import model
+    from lexweave.sources import tables
+
+    load = odd_orders(spark, tmp_path)
+    kept = ["bill_id", "bill_urn", "section_urn", "section_id", "ordinal"]
+    want = model.lines(load).selectExpr("bill_id", "bill_urn", "section_urn", "concat(bill_id, '::L', cast(l_linenumber as string)) as section_id", "l_linenumber as ordinal").distinct()
+    got = model.sections(load)
+    assert sorted(map(str, got.select(*kept).collect())) == sorted(map(str, want.collect())) and got.distinct().count() == got.count() == 8
+    assert "HashAggregate" not in got._jdf.queryExecution().executedPlan().toString()  # no map of wide rows in a task
+    monkeypatch.setattr(tables, "PIECE_BYTES", 512)
+    k = tables.pieces(load("lineitem"))
+    assert k > 4 and "hashpartitioning(l_orderkey" in plan(model.sections(load)) and f", {k}), REPARTITION_BY_NUM" in plan(model.sections(load))
+    assert f", {k}), REPARTITION_BY_NUM" in plan(model.cites(load)) and model.sections(load).count() == 8
