@@ -8,6 +8,7 @@ from lexweave.operators import lookups as lk
 from lexweave.plans.catalog import model
 from lexweave.plans.catalog.model import BILLS, LINES
 from lexweave.plans.catalog.registry import query
+from lexweave.sources.tables import pieces
 
 TERM, ALSO, STATUTE = "red widget", ["Blue Bolt"], "12/711"
 
@@ -225,8 +226,8 @@ def ref_filter(load):
 @query("carry_topic", f"""with {LINES} select section_id, topic from sections join bills using (bill_id) where topic = 'redistricting'""")
 def carry_topic(load):
     """Sections take their bill's topic; one topic is read."""
-    topics = model.bills(load).select("bill_id", "topic")
-    return model.sections(load).join(topics, "bill_id").where("topic = 'redistricting'").select("section_id", "topic")
+    topics, k = model.bills(load).select("bill_id", "topic"), pieces(load("lineitem"))
+    return model.sections(load).repartition(k, "bill_id").join(topics.repartition(k, "bill_id").hint("merge"), "bill_id").where("topic = 'redistricting'").select("section_id", "topic")
 
 
 @query("id_normalise", f"""with {BILLS}, s as (select case okey % 4 when 0 then bill_id when 1 then bill_urn when 2 then {model._LABELS} || ' ' || bill_number || ' (' || congress || 'th Cong.)' else {model._LABELS} || ' ' || bill_number end as raw, * from bills)

@@ -138,3 +138,8 @@ def test_sections_are_distinct_pairs_in_pieces_that_do_not_grow(spark, tmp_path,
     k = tables.pieces(load("lineitem"))
     assert k > 4 and "hashpartitioning(l_orderkey" in plan(model.sections(load)) and f", {k}), REPARTITION_BY_NUM" in plan(model.sections(load))
     assert f", {k}), REPARTITION_BY_NUM" in plan(model.cites(load)) and model.sections(load).count() == 8
+
+
+def test_topic_of_sections_is_joined_in_pieces(spark, sf_dir):
+    p = plan(entry.queries()["carry_topic"](spark, sf_dir))
+    assert sum("hashpartitioning(bill_id" in x and "REPARTITION_BY_NUM" in x for x in p.splitlines()) >= 2
