@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lexweave import fixed
 from lexweave.functions import ids, text as tx
 from lexweave.operators.rank import keep_first, top_k
+from lexweave.sources.tables import pieces
 
 
 # Keys of at most this many rows are broadcast (about 6 MB of section ids).
@@ -35,6 +36,13 @@ class Near:
             return table
         return self.only(table, key)
 
+    def join(self, rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+        """Rows with what the table says of them; many rows and the table are dealt by the key into pieces that do not grow with the table."""
+        if self.few:
+            return rows.join(self.only(table, key), key, how)
+        k = pieces(table)
+        return rows.repartition(k, key).join(table.repartition(k, key).hint("merge"), key, how)
+
     def only(self, table: DataFrame, key: str) -> DataFrame:
         """Exactly the table rows the few (or many) rows refer to."""
         keys = self.rows.select(key)
@@ -181,10 +189,10 @@ def bills_defining(terms: DataFrame, bills: DataFrame, sections: DataFrame, stat
     """Every bill that defines a term (exact surface form, case-insensitive), complete and distinct."""
     rows = _matching(terms, [term, *also_match], definition_type, by_reference_to)
     near = Near(rows.select("bill_urn", "section_urn", "statute_id"))
+    named = near.join(near.join(rows, bills.select("bill_urn", "short_title", "title", "congress"), "bill_urn"), _cites(sections), "section_urn", "left")
+    known = near(_statutes(statutes), "statute_id") if near.few else _statutes(statutes).hint("merge")
     return (
-        rows.join(near(bills.select("bill_urn", "short_title", "title", "congress"), "bill_urn"), "bill_urn")
-        .join(near(_cites(sections), "section_urn"), "section_urn", "left")
-        .join(*_maybe(near(_statutes(statutes), "statute_id")), "inner" if by_reference_to else "left").drop("_statute")
+        named.join(*_maybe(known), "inner" if by_reference_to else "left").drop("_statute")
         .select("bill_urn", "short_title", "title", "congress", "surface_form", "section_urn",
                 F.col("section_citation").alias("citation"), "definition_type", "statute_id", "statute_citation").distinct()
     )
@@ -194,9 +202,10 @@ def definitions_of(terms: DataFrame, bills: DataFrame, sections: DataFrame, stat
     """Each bill's definition of one term, side by side."""
     rows = _matching(terms, [term], None, None)
     near = Near(rows.select("bill_urn", "section_urn", "statute_id"))
+    named = near.join(near.join(rows, bills.select("bill_urn", "short_title", "congress"), "bill_urn"), _cites(sections), "section_urn", "left")
+    known = near(_statutes(statutes), "statute_id") if near.few else _statutes(statutes).hint("merge")
     return (
-        rows.join(near(bills.select("bill_urn", "short_title", "congress"), "bill_urn"), "bill_urn")
-        .join(near(_cites(sections), "section_urn"), "section_urn", "left").join(*_maybe(near(_statutes(statutes), "statute_id")), "left").drop("_statute")
+        named.join(*_maybe(known), "left").drop("_statute")
         .select("bill_urn", "short_title", "congress", F.col("section_citation").alias("citation"), "definition_type",
                 "definition_text", "statute_citation").distinct()
     )

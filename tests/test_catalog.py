@@ -143,3 +143,13 @@ def test_sections_are_distinct_pairs_in_pieces_that_do_not_grow(spark, tmp_path,
 def test_topic_of_sections_is_joined_in_pieces(spark, sf_dir):
     p = plan(entry.queries()["carry_topic"](spark, sf_dir))
     assert sum("hashpartitioning(bill_id" in x and "REPARTITION_BY_NUM" in x for x in p.splitlines()) >= 2
+
+
+@pytest.mark.parametrize("name", ["bills_defining", "terms_side_by_side"])
+def test_many_definitions_are_joined_in_pieces(spark, sf_dir, monkeypatch, name):
+    monkeypatch.setattr(lookups, "FEW_ROWS", 0)
+    run, sql = entry.queries()[name], entry.oracle_sql()[name]
+    ok, message = compare(spark, connect(sf_dir), sf_dir, name, run, sql)
+    assert ok, message
+    p = run(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert sum("hashpartitioning(section_urn" in x and "REPARTITION_BY_NUM" in x for x in p.splitlines()) == 2
