@@ -230,6 +230,25 @@ def test_clustered_vectors(spark, tmp_path):
     assert nearby.nearest(nearby.write(df.where("false"), str(tmp_path / "e")), q, 10).collect() == []
 
 
+def test_products_with_centroids_are_bounded(spark):
+    """The fit and the choice of clusters hold a bounded number of products, however many vectors and clusters there are."""
+    import tracemalloc
+
+    from lexweave.operators import vectors as nearby
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(6000, 4))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "section_id long, vector array<double>")
+    tracemalloc.start()
+    try:
+        c = nearby.centroids_of(df, 1500)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert c.shape == (1500, 4) and peak < 40e6, peak
+    assert (nearby.nearest_of(m, c) == np.argmax(m @ c.T, axis=1)).all()
+
+
 def test_fusion(spark):
     lex = spark.createDataFrame([(0, "a", 1), (0, "b", 2)], "query_id int, bill_id string, lexical_rank int").withColumn("lexical_section", F.lit("l"))
     den = spark.createDataFrame([(0, "b", 1), (0, "c", 2), (1, "z", 1)], "query_id int, bill_id string, dense_rank int").withColumn("dense_section", F.lit("d"))
