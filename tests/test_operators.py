@@ -348,6 +348,27 @@ def test_index_of_odd_rows(spark, tmp_path):
     assert any("/stage-units-" in f for f in scores.inputFiles()) and [r.doc for r in scores.orderBy("doc").collect()] == [None, 1]
 
 
+def test_the_index_shuffles_texts_only(spark, tmp_path, monkeypatch):
+    """Blocks are packed, sorted and written by the task that has their slice of the texts; words are not stored beside them."""
+    from lexweave.operators import postings
+    monkeypatch.setattr(postings, "RANGE_DOCS", 16)
+    monkeypatch.setattr(postings, "SLICE_WORDS", 400)
+    rows = [(i, " ".join(f"w{(i * k) % 37}" for k in range(1, 8)) + (" rare" if i == 5 else "")) for i in range(300)]
+    texts = search.text_index(spark.createDataFrame(rows, "id long, t string"), "id", F.lit("x"), ["t"])
+    ix = postings.write(texts, f"{tmp_path}/ix")
+    assert ix.docs.columns == ["doc", "parent", "topic", "len", "range"]
+    got = {(r.term, t.doc): (t.len, t.places) for r in ix.blocks.collect() for t in r.texts}
+    want = {}
+    for i, t in rows:
+        for at, w in enumerate(t.split()):
+            want.setdefault((w, i), (len(t.split()), []))[1].append(at)
+    assert got == want
+    # a bucket has a file per slice of ranges at most, and each range's blocks of a bucket lie in one file
+    files = ix.blocks.select("bucket", "range", F.input_file_name().alias("f")).distinct()
+    assert 2 < files.groupBy("bucket").agg(F.countDistinct("f").alias("n")).agg(F.max("n")).first()[0] <= 6
+    assert files.groupBy("bucket", "range").count().where("count > 1").count() == 0
+
+
 # -- spans -----------------------------------------------------------------
 @pytest.mark.parametrize("hay, needle, want", [
     ("abc def", "c d", (2, 5)), ("abc  def\n ghi ", "def ghi", (5, 14)), ("a.c (x)", "a.c  (x)", (0, 7)), ("ab", "a  b", None), ("abc", "zzz", None), ("a b", "xy", None)])
