@@ -1,7 +1,7 @@
 """Array helpers that stay linear on long arrays."""
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -10,6 +10,11 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def fixed_once(df: DataFrame, *keep: str, **values: Column) -> DataFrame:
+    """``keep`` and the named values, each worked out once a row: what is asked of them later is not moved below, where it would work them out again."""
+    return df.select(*keep, F.inline(F.array(F.struct(*[v.alias(k) for k, v in values.items()]))))
+
+
 def _short_sums(values: Column) -> Column:
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("sums"))
     return F.aggregate(values, zero, lambda a, v: F.struct((a["at"] + v).alias("at"), F.concat(a["sums"], F.array(a["at"] + v)).alias("sums")), lambda a: a["sums"])

@@ -88,6 +88,7 @@ def defined_terms(nodes: DataFrame) -> DataFrame:
     A piece of text finds its definitions container and term on its own path, so only text inside
     definitions is shuffled, once.
     """
+    nodes = nodes.where(F.array_contains(F.col("path")["defines"], True))  # all that _boxed can keep
     boxed = _boxed(_frags(nodes))
     child, live = F.col("child"), ~F.col("quoted")
     piece = F.when(live & (F.col("txt") != ""), F.struct(F.col("ord").alias("o"), F.col("txt").alias("t")))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexweave import fixed
 from lexweave.functions import ids, text as tx
-from lexweave.functions.arrays import let
+from lexweave.functions.arrays import fixed_once, let
 from lexweave.operators import nodes as nd
 from lexweave.operators.rank import keep_first
 
@@ -16,22 +16,19 @@ def _locate(frags: DataFrame) -> DataFrame:
     Containers count as sections while the path from the outermost container holds nothing but
     containers and quoting wrappers; whatever lies below that is the owner's own text.
     """
-    lvl = F.transform("rel", nd.is_level)
-    df = (
-        frags.withColumn("first", F.array_position(lvl, F.lit(True)).cast("int"))
-        .where(F.col("first") > 0)
-        .withColumn("inner", F.slice("rel", F.greatest("first", F.lit(1)), F.size("rel")))
-        .withColumn("stop", F.array_position(
-            F.transform("inner", lambda p: nd.is_level(p) | nd.is_wrapper(p)), F.lit(False)).cast("int"))
-        .withColumn("run", F.when(F.col("stop") == 0, F.col("inner")).otherwise(
-            F.slice("inner", F.lit(1), F.greatest(F.col("stop") - 1, F.lit(0)))))
-        .withColumn("k", (F.size("run") - F.array_position(
-            F.reverse(F.transform("run", nd.is_level)), F.lit(True)) + 1).cast("int"))
-        .withColumn("owner", F.try_element_at("run", F.greatest("k", F.lit(1))))
-        .withColumn("below", F.try_element_at("inner", F.greatest("k", F.lit(1)) + 1))
-        .withColumn("chain", F.transform(F.filter("run", nd.is_level), lambda p: p["pos"]))
-        .withColumn("direct", (F.col("first") == 1) & (F.size("chain") == 1))
-    )
+    own = ("bill_id", "ord", "txt", "opens", "tag")
+    df = fixed_once(frags, *own, "rel", first=F.array_position(F.transform("rel", nd.is_level), F.lit(True)).cast("int")).where(F.col("first") > 0)
+    df = fixed_once(df, *own, "first", inner=F.slice("rel", F.greatest("first", F.lit(1)), F.size("rel")))
+    df = fixed_once(df, *own, "first", "inner", marks=F.transform("inner", lambda p: F.when(nd.is_level(p), "l").when(nd.is_wrapper(p), "w").otherwise("-")))
+    stop = F.array_position("marks", F.lit("-")).cast("int")
+    df = fixed_once(df, *own, "first", "inner", "marks", length=F.when(stop == 0, F.size("marks")).otherwise(F.greatest(stop - 1, F.lit(0))))
+    last = F.col("length") - F.array_position(F.reverse(F.slice("marks", F.lit(1), F.col("length"))), F.lit("l")) + 1
+    df = fixed_once(df, *own, "first", "inner", "length", k=last.cast("int"))
+    df = fixed_once(
+        df, *own, "first", "inner", "k", owner=F.try_element_at("inner", F.greatest("k", F.lit(1))), below=F.try_element_at("inner", F.greatest("k", F.lit(1)) + 1),
+        chain=F.transform(F.filter(F.slice("inner", F.lit(1), F.col("length")), nd.is_level), lambda p: p["pos"]),
+        at_table=F.array_position(F.col("inner")["tag"], F.lit("table")).cast("int"))
+    df = df.withColumn("direct", (F.col("first") == 1) & (F.size("chain") == 1))
     below = F.col("below")
     kind = (
         F.when(below.isNull(), "self")
@@ -40,8 +37,7 @@ def _locate(frags: DataFrame) -> DataFrame:
         .when(nd.is_wrapper(below) & below["holds"], F.lit(None))
         .otherwise("self")
     )
-    table = F.try_element_at(
-        F.filter("inner", lambda p: p["tag"] == "table"), F.lit(1))["pos"]
+    table = F.when(F.col("at_table") > 0, F.try_element_at("inner", F.greatest("at_table", F.lit(1)))["pos"])
     breaks = F.col("opens") & F.col("tag").isin("br", "p") & (F.size("inner") > F.col("k") + 1)
     cells = F.array_compact(F.transform("inner", lambda p, i: F.when(
         (p["tag"] == "tr") & F.try_element_at("inner", (i + 2).cast("int"))["tag"].isin("td", "th"),
@@ -138,7 +134,7 @@ def _with_full_text(s: DataFrame) -> DataFrame:
 
     Two neighbouring pieces share a line only when the first is the label of a section that
     encloses the second; otherwise a new line starts. That rule does not depend on the section
-    whose text is built, so each piece gets its separator once and is sent to all its ancestors.
+    whose text is built, so each section's label and text get theirs once and are sent to all its ancestors.
     """
     # what the last section with any text before this one ended on: its label (0) or its text (1)
     ends_on = F.when(F.col("text_self") != "", F.struct(F.lit(1).alias("step"), F.col("end").alias("end"))).when(
@@ -147,34 +143,35 @@ def _with_full_text(s: DataFrame) -> DataFrame:
     s = s.withColumn("prev", F.last(ends_on, ignorenulls=True).over(before))
     outer = F.when((F.col("prev.step") == 0) & (F.col("pos") <= F.col("prev.end")), " ").otherwise("\n")
     said = F.col("label") != ""
-    pieces = s.withColumn("p", F.explode(F.array(
-        F.struct(F.lit(0).alias("step"), F.when(said, F.concat(outer, "label")).alias("txt")),
-        F.struct(F.lit(1).alias("step"), F.when(F.col("text_self") != "", F.concat(F.when(said, " ").otherwise(outer), "text_self")).alias("txt")),
-    ))).select("*", "p.step", "p.txt").drop("p")
-    keep = ["chain", "level", "xml_id", "local_id", "enum", "heading", "text_self", "ordinal"]
-    carrier = F.when(F.col("step") == 1, F.struct(*keep))
-    sent = pieces.select(
-        "bill_id", "pos", "step", "txt", carrier.alias("me"), F.explode("chain").alias("to"))
-    sent = sent.where((F.col("to") != F.col("pos")) | (F.col("step") == 1)).withColumn(
-        "me", F.when(F.col("to") == F.col("pos"), F.col("me")))
-    sent = sent.where(F.col("txt").isNotNull() | (F.col("step") == 1))
-    piece = F.when(F.col("txt").isNotNull(), F.struct("pos", "step", "txt"))
+    mine = F.col("to") == F.col("pos")
+    sent = s.select(
+        "bill_id", "pos", *KEEP, F.when(said, F.concat(outer, "label")).alias("named"),
+        F.when(F.col("text_self") != "", F.concat(F.when(said, " ").otherwise(outer), "text_self")).alias("own"), F.explode("chain").alias("to"))
+    # its own text goes to the section itself, its label and text to those around it
+    txt = F.when(mine, F.col("own")).otherwise(F.coalesce(F.concat("named", "own"), "named", "own"))
+    piece = F.when(txt.isNotNull(), F.struct("pos", txt.alias("txt")))
     full = F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["txt"]), "")
     return sent.groupBy("bill_id", "to").agg(
-        tx.clean_block(full).alias("text_full"), F.first("me", ignorenulls=True).alias("me"),
-        F.collect_list(F.when(F.col("step") == 1, F.col("pos"))).alias("below"))
+        tx.clean_block(full).alias("text_full"), *_of_itself(mine, KEEP), F.collect_list("pos").alias("below"))
+
+
+#: What a section knows about itself. Each is carried as a column of its own, so that a query that does not ask for one does not build it.
+KEEP = ("chain", "level", "xml_id", "local_id", "enum", "heading", "text_self", "ordinal")
+
+
+def _of_itself(mine: Column, names: tuple[str, ...]) -> list[Column]:
+    """Aggregates: the values of the one row of a group that is the section itself."""
+    return [F.first(F.when(mine, F.col(c)), ignorenulls=True).alias(c) for c in names]
 
 
 def _with_paths(full: DataFrame) -> DataFrame:
     """Let every section tell its id and enumerator to itself and all its descendants."""
-    step = F.struct(F.size("me.chain").alias("depth"), F.col("me.local_id").alias("local_id"), F.col("me.enum").alias("enum"))
-    told = full.select("bill_id", "to", step.alias("step"), "me", "text_full", F.explode("below").alias("pos"))
-    mine = F.col("to") == F.col("pos")
+    step = F.struct(F.size("chain").alias("depth"), "local_id", "enum")
+    told = full.select("bill_id", "to", step.alias("step"), *KEEP, "text_full", F.explode("below").alias("pos"))
     got = told.groupBy("bill_id", "pos").agg(
-        F.array_sort(F.collect_list("step")).alias("steps"), F.first(F.when(mine, F.col("me")), ignorenulls=True).alias("me"),
-        F.first(F.when(mine, F.col("text_full")), ignorenulls=True).alias("text_full"))
+        F.array_sort(F.collect_list("step")).alias("steps"), *_of_itself(F.col("to") == F.col("pos"), (*KEEP, "text_full")))
     return got.select(
-        "bill_id", "pos", "me.*", "text_full", F.transform("steps", lambda x: x["local_id"]).alias("id_path"),
+        "bill_id", "pos", *KEEP, "text_full", F.transform("steps", lambda x: x["local_id"]).alias("id_path"),
         F.filter(F.transform("steps", lambda x: x["enum"]), lambda e: e.isNotNull()).alias("enum_path"))
 
 

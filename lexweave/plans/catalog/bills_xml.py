@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexweave.functions.arrays import fixed_once
 from lexweave.operators import extracts, nodes, sections, tree
 from lexweave.plans.catalog.registry import query
 from lexweave.sources.tables import stage
@@ -15,7 +16,7 @@ from lexweave.sources.tables import stage
 def lines(load):
     clean = lambda l: F.trim(F.regexp_replace(F.regexp_replace(l, r"[^\p{L}\p{N} .,;:-]+", " "), " +", " "))
     arr = F.filter(F.transform(F.split("text", "\n"), clean), lambda l: l != "")
-    return load("documents").select("doc_id", arr.alias("lines")).where(F.size("lines") > 0)
+    return fixed_once(load("documents"), "doc_id", lines=arr).where(F.size("lines") > 0)
 
 
 def derived(load):

@@ -154,3 +154,15 @@ def test_small_documents_share_a_batch():
         ("p", "bill", 2, ["bill"]), ("p", "legis-body", 2, ["bill", "legis-body"]), ("p", "section", 2, ["bill", "legis-body", "section"]),
         ("p", "text", 2, ["bill", "legis-body", "section", "text"]), ("q", "unreadable", 1, ["unreadable"]), ("r", "bill", 1, ["bill"]), ("r", "form", 1, ["bill", "form"])]
     assert rows[4]["error"] and not rows[5]["has_body"]
+
+
+def test_sections_build_only_what_is_asked(spark):
+    """Ids alone need no text: no piece of it is gathered, and the section that owns a piece is found once, not again by a filter."""
+    def plan(*columns):
+        n = spark.createDataFrame([], nodes.NODE_SCHEMA)
+        bills = spark.createDataFrame([], "bill_id string, congress long, bill_type string, bill_number long")
+        return sections.section_table(n, bills).select(*columns)._jdf.queryExecution().optimizedPlan().toString()
+    ids, whole = plan("section_id", "xml_id"), plan("section_id", "text_full")
+    assert "array_join" in whole and "array_join" not in ids
+    filters = [x for x in whole.split("\n") if x.strip(" :+-").startswith("Filter")]
+    assert not [x for x in filters if x.count("lambdafunction") > 2], filters
